@@ -61,9 +61,8 @@ def record(entries: DataFrame, run_metrics: DataFrame) -> DataFrame:
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Add JSON records to the ledger; entries of one run share a folder, so they can be read alone."""
-    stored = entries.withColumn("run", F.coalesce("run_id", F.lit("none")))
-    stored.write.mode("append").partitionBy("run").json(path)
+    """Add JSON records to the ledger. One table serves all runs: a run's own ledger is a filter."""
+    entries.write.mode("append").json(path)
 
 
 def read(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:

@@ -1 +1,319 @@
-"""Placeholder."""
+"""Stateless and fold-safe features and their check SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldsafe.config import FeaturesConfig
+from foldsafe.functions import numeric, text
+from foldsafe.operators import features, loo, splits
+from foldsafe.plans.profile_queries import _DECK_SQL, _FAMILY_SQL, _TITLE_SQL
+from foldsafe.plans.registry import FOLDED, FOLDS, HOLDOUTS, SEED, query, rounded, with_tables
+from foldsafe.sources import derived
+
+# Some titles are this seldom in the small tables, so the merge into Rare is exercised.
+_RARE_BELOW = 50
+CONFIG = FeaturesConfig(
+    add_family=True,
+    add_is_alone=True,
+    add_title=True,
+    add_deck=True,
+    add_ticket_group_size=True,
+    log_fare=True,
+    bin_age=True,
+    rare_title_threshold=_RARE_BELOW,
+    columns=derived.PASSENGER_COLUMNS,
+)
+_NUMBERS = ["age", "fare", "parch", "pclass", "sibsp"]
+_TEXTS = ["embarked", "sex"]
+
+
+def _r(expression: str, places: int = 6) -> str:
+    return f"round({expression}, {places}) + 0.0"
+
+
+def folded(spark, sf):
+    return splits.stratified(derived.passengers(spark, sf), "row_id", "target", FOLDS, SEED)
+
+
+_NORMAL_TITLE = (
+    f"CASE {_TITLE_SQL} WHEN 'Mlle' THEN 'Miss' WHEN 'Ms' THEN 'Miss' WHEN 'Mme' THEN 'Mrs' "
+    f"ELSE {_TITLE_SQL} END"
+)
+_ROYAL_TITLE = (
+    f"CASE WHEN {_TITLE_SQL} IN ('Mlle', 'Ms') THEN 'Miss' WHEN {_TITLE_SQL} = 'Mme' THEN 'Mrs' "
+    f"WHEN {_TITLE_SQL} IN ('Lady', 'Countess', 'Dona', 'Sir', 'Don') THEN 'Royal' "
+    f"WHEN {_TITLE_SQL} IN ('Jonkheer', 'Capt', 'Col', 'Dr', 'Major', 'Rev') THEN 'Rare' "
+    f"ELSE {_TITLE_SQL} END"
+)
+_AGE_BIN = (
+    "CASE "
+    + " ".join(
+        f"WHEN age > {lo} AND age <= {hi} THEN '({lo}, {hi}]'"
+        for lo, hi in zip(numeric.AGE_EDGES, numeric.AGE_EDGES[1:])
+    )
+    + " ELSE 'nan' END"
+)
+
+
+@query(
+    "title_extract",
+    with_tables("passengers", then=f"SELECT row_id, {_NORMAL_TITLE} AS title FROM passengers"),
+)
+def title_extract(spark, sf):
+    return derived.passengers(spark, sf).select(
+        "row_id", text.normal_title(F.col("full_name")).alias("title")
+    )
+
+
+@query(
+    "title_royal",
+    with_tables("passengers", then=f"SELECT row_id, {_ROYAL_TITLE} AS title FROM passengers"),
+)
+def title_royal(spark, sf):
+    return derived.passengers(spark, sf).select(
+        "row_id", text.grouped_title(F.col("full_name")).alias("title")
+    )
+
+
+@query(
+    "family_features",
+    with_tables(
+        "passengers",
+        then=f"""SELECT row_id, {_FAMILY_SQL} AS family_size,
+        CAST({_FAMILY_SQL} = 1 AS INT) AS is_alone FROM passengers""",
+    ),
+)
+def family_features(spark, sf):
+    size = numeric.family_size(F.col("sibsp"), F.col("parch"))
+    return derived.passengers(spark, sf).select(
+        "row_id", size.alias("family_size"), numeric.is_alone(size).alias("is_alone")
+    )
+
+
+@query(
+    "deck_feature",
+    with_tables("passengers", then=f"SELECT row_id, {_DECK_SQL} AS deck FROM passengers"),
+)
+def deck_feature(spark, sf):
+    return derived.passengers(spark, sf).select("row_id", text.deck(F.col("cabin")).alias("deck"))
+
+
+@query(
+    "log_fare",
+    with_tables("passengers", then=f"SELECT row_id, {_r('ln(1 + fare)')} AS log_fare FROM passengers"),
+)
+def log_fare(spark, sf):
+    df = derived.passengers(spark, sf)
+    return rounded(df.select("row_id", numeric.log_amount(F.col("fare")).alias("log_fare")), "log_fare")
+
+
+@query(
+    "age_bin_feature",
+    with_tables("passengers", then=f"SELECT row_id, {_AGE_BIN} AS age_bin FROM passengers"),
+)
+def age_bin_feature(spark, sf):
+    return derived.passengers(spark, sf).select("row_id", numeric.age_bin(F.col("age")).alias("age_bin"))
+
+
+# What a row of fold f may use: everything outside f.
+_SIZES = """sizes AS (
+  SELECT f.fold AS holdout, o.ticket, count(*) AS n
+  FROM (SELECT DISTINCT fold FROM folded) f JOIN folded o ON o.fold <> f.fold GROUP BY 1, 2)"""
+_TITLED = f"titled AS (SELECT f.*, {_NORMAL_TITLE} AS raw_title FROM folded f)"
+_TITLES = """titles AS (
+  SELECT f.fold AS holdout, o.raw_title, count(*) AS n
+  FROM (SELECT DISTINCT fold FROM titled) f JOIN titled o ON o.fold <> f.fold GROUP BY 1, 2)"""
+
+
+@query(
+    "ticket_group_size",
+    with_tables(
+        "passengers",
+        extra=f"{FOLDED}, {_SIZES}",
+        then="""SELECT row_id, fold, CAST(coalesce(n, 1) AS INT) AS ticket_group_size
+        FROM folded LEFT JOIN sizes ON holdout = fold AND sizes.ticket = folded.ticket""",
+    ),
+)
+def ticket_group_size(spark, sf):
+    cfg = FeaturesConfig(add_ticket_group_size=True, columns=derived.PASSENGER_COLUMNS)
+    df = features.leave_fold_out(folded(spark, sf).select("row_id", "fold", "ticket"), cfg, FOLDS)
+    return df.select("row_id", "fold", F.col(features.TICKET_GROUP).alias("ticket_group_size"))
+
+
+@query(
+    "title_rare",
+    with_tables(
+        "passengers",
+        extra=f"{FOLDED}, {_TITLED}, {_TITLES}",
+        then=f"""SELECT row_id, fold, CASE WHEN n < {_RARE_BELOW} THEN 'Rare' ELSE t.raw_title END AS title
+        FROM titled t LEFT JOIN titles ON holdout = fold AND titles.raw_title = t.raw_title""",
+    ),
+)
+def title_rare(spark, sf):
+    cfg = FeaturesConfig(
+        add_title=True, rare_title_threshold=_RARE_BELOW, columns=derived.PASSENGER_COLUMNS
+    )
+    df = features.leave_fold_out(folded(spark, sf).select("row_id", "fold", "full_name"), cfg, FOLDS)
+    return df.select("row_id", "fold", F.col(features.TITLE).alias("title"))
+
+
+@query(
+    "features_loo",
+    with_tables(
+        "passengers",
+        extra=f"{FOLDED}, {_SIZES}, {_TITLED}, {_TITLES}",
+        then=f"""SELECT t.row_id, t.fold, {_FAMILY_SQL} AS family_size,
+        CAST({_FAMILY_SQL} = 1 AS INT) AS is_alone,
+        CASE WHEN titles.n < {_RARE_BELOW} THEN 'Rare' ELSE t.raw_title END AS title,
+        {_DECK_SQL} AS deck, CAST(coalesce(sizes.n, 1) AS INT) AS ticket_group_size,
+        {_r('ln(1 + fare)')} AS log_fare, {_AGE_BIN} AS age_bin
+        FROM titled t
+        LEFT JOIN sizes ON sizes.holdout = t.fold AND sizes.ticket = t.ticket
+        LEFT JOIN titles ON titles.holdout = t.fold AND titles.raw_title = t.raw_title""",
+    ),
+)
+def features_loo(spark, sf):
+    df = features.leave_fold_out(folded(spark, sf), CONFIG, FOLDS).select(
+        "row_id",
+        "fold",
+        F.col(features.FAMILY).alias("family_size"),
+        F.col(features.ALONE).alias("is_alone"),
+        F.col(features.TITLE).alias("title"),
+        F.col(features.DECK).alias("deck"),
+        F.col(features.TICKET_GROUP).alias("ticket_group_size"),
+        F.col(features.LOG_FARE).alias("log_fare"),
+        F.col(features.AGE_BIN).alias("age_bin"),
+    )
+    return rounded(df, "log_fare")
+
+
+def _stats_cte(fill: str) -> str:
+    """Fill, mean and deviation per holdout and column, by re-reading the training rows."""
+    long = " UNION ALL ".join(
+        f"""SELECT row_id, fold, '{c}' AS "column", CAST({c} AS DOUBLE) AS x FROM folded""" for c in _NUMBERS
+    )
+    return f"""{FOLDED}, {HOLDOUTS}, long AS ({long}),
+    fills AS (SELECT holdout, "column", {fill} AS fill
+      FROM long JOIN holdouts ON fold <> holdout GROUP BY 1, 2),
+    filled AS (SELECT f.holdout, l."column", coalesce(x, fill) AS x, x IS NOT NULL AS known, fill
+      FROM long l JOIN fills f ON l.fold <> f.holdout AND l."column" = f."column"),
+    stats AS (SELECT holdout, "column", count(*) AS rows, CAST(sum(CAST(known AS INT)) AS BIGINT) AS n,
+      any_value(fill) AS fill, avg(x) AS mean,
+      CASE WHEN max(x) = min(x) THEN 1.0 ELSE stddev_pop(x) END AS sd FROM filled GROUP BY 1, 2)"""
+
+
+_MEDIAN = "quantile_cont(x, 0.5)"
+
+
+@query(
+    "loo_impute_stats",
+    with_tables(
+        "passengers",
+        extra=_stats_cte(_MEDIAN),
+        then=f"""SELECT holdout, "column", rows, n, {_r('fill', 4)} AS fill FROM stats""",
+    ),
+)
+def loo_impute_stats(spark, sf):
+    df = loo.numeric_stats(folded(spark, sf), _NUMBERS, FOLDS)
+    return rounded(df.select("holdout", "column", "rows", "n", "fill"), "fill", places=4)
+
+
+@query(
+    "loo_impute_mean",
+    with_tables(
+        "passengers",
+        extra=_stats_cte("avg(x)"),
+        then=f"""SELECT holdout, "column", {_r('fill', 4)} AS fill, {_r('mean', 4)} AS mean, {_r('sd', 4)} AS sd FROM stats""",
+    ),
+)
+def loo_impute_mean(spark, sf):
+    df = loo.numeric_stats(folded(spark, sf), _NUMBERS, FOLDS, "mean")
+    return rounded(df.select("holdout", "column", "fill", "mean", "sd"), "fill", "mean", "sd", places=4)
+
+
+@query(
+    "loo_impute_mode",
+    with_tables(
+        "passengers",
+        extra=FOLDED
+        + f""", {HOLDOUTS}, long AS ({" UNION ALL ".join(
+            f'''SELECT fold, '{c}' AS "column", CAST({c} AS VARCHAR) AS level FROM folded WHERE {c} IS NOT NULL'''
+            for c in _TEXTS)}),
+        counts AS (SELECT holdout, "column", level, count(*) AS n
+          FROM long JOIN holdouts ON fold <> holdout GROUP BY 1, 2, 3),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY holdout, "column" ORDER BY n DESC, level) AS place
+          FROM counts)""",
+        then="""SELECT holdout, "column", level AS fill FROM ranked WHERE place = 1""",
+    ),
+)
+def loo_impute_mode(spark, sf):
+    return loo.modes(loo.level_counts(folded(spark, sf), _TEXTS, FOLDS, "stratified"))
+
+
+@query(
+    "loo_scale_stats",
+    with_tables(
+        "passengers",
+        extra=_stats_cte(_MEDIAN),
+        then=f"""SELECT holdout, "column", {_r('mean', 4)} AS mean, {_r('sd', 4)} AS sd FROM stats""",
+    ),
+)
+def loo_scale_stats(spark, sf):
+    df = loo.numeric_stats(folded(spark, sf), _NUMBERS, FOLDS)
+    return rounded(df.select("holdout", "column", "mean", "sd"), "mean", "sd", places=4)
+
+
+@query(
+    "impute_scale_loo",
+    with_tables(
+        "passengers",
+        extra=_stats_cte(_MEDIAN),
+        then="SELECT row_id, fold, "
+        + ", ".join(
+            _r(f"""(coalesce({c}, max(fill) FILTER (WHERE "column" = '{c}'))
+              - max(mean) FILTER (WHERE "column" = '{c}')) / max(sd) FILTER (WHERE "column" = '{c}')""")
+            + f" AS {c}"
+            for c in _NUMBERS
+        )
+        + f" FROM folded JOIN stats ON holdout = fold GROUP BY row_id, fold, {', '.join(_NUMBERS)}",
+    ),
+)
+def impute_scale_loo(spark, sf):
+    rows = folded(spark, sf).select("row_id", "fold", *_NUMBERS)
+    stats = loo.numeric_stats(rows, _NUMBERS, FOLDS)
+    return rounded(loo.impute_scale(rows, _NUMBERS, stats), *_NUMBERS)
+
+
+_LEVELS = f"""{FOLDED}, {HOLDOUTS}, long AS ({" UNION ALL ".join(
+    f'''SELECT row_id, fold, '{c}' AS "column", CAST({c} AS VARCHAR) AS level FROM folded'''
+    for c in [*_TEXTS, "ticket"])}),
+counts AS (SELECT holdout, "column", level, count(*) AS n
+  FROM long JOIN holdouts ON fold <> holdout WHERE level IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "ohe_categories",
+    with_tables("passengers", extra=_LEVELS, then='SELECT holdout, "column", level, n FROM counts'),
+)
+def ohe_categories(spark, sf):
+    return loo.level_counts(folded(spark, sf), [*_TEXTS, "ticket"], FOLDS, "stratified")
+
+
+@query(
+    "onehot_loo",
+    with_tables(
+        "passengers",
+        extra=_LEVELS
+        + """, fills AS (SELECT holdout, "column", level AS fill FROM (
+          SELECT *, row_number() OVER (PARTITION BY holdout, "column" ORDER BY n DESC, level) AS place FROM counts)
+          WHERE place = 1),
+        filled AS (SELECT row_id, fold, l."column", coalesce(level, fill) AS level
+          FROM long l LEFT JOIN fills f ON f.holdout = l.fold AND f."column" = l."column")""",
+        then="""SELECT row_id, fold, f."column", coalesce(f.level, 'nan') AS level,
+        CAST(c.n IS NOT NULL AS INT) AS hot FROM filled f
+        LEFT JOIN counts c ON c.holdout = f.fold AND c."column" = f."column" AND c.level = f.level""",
+    ),
+)
+def onehot_loo(spark, sf):
+    return loo.one_hot(folded(spark, sf), "row_id", [*_TEXTS, "ticket"], FOLDS)

@@ -1 +1,180 @@
-"""Placeholder."""
+"""Ledger jobs and their check SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foldsafe.functions import snapshot
+from foldsafe.operators import ledger
+from foldsafe.plans.registry import query, rounded, with_tables
+from foldsafe.plans.source_queries import _METRICS, run_metrics
+from foldsafe.sources import derived, scratch
+
+
+def _r(expression: str, places: int = 6) -> str:
+    return f"round({expression}, {places}) + 0.0"
+
+
+@query(
+    "ledger_append",
+    with_tables(
+        "ledger",
+        "runs",
+        extra=_METRICS,
+        then="""SELECT l.entry_id, l."timestamp", l.file, l.message, l.run_id, l.threshold,
+        e.oof_accuracy, CASE WHEN s.metric = 'auc' THEN s.score_mean END AS oof_auc_mean,
+        s.model AS cv_model, l.leaderboard_score, l.features_cfg
+        FROM ledger l LEFT JOIN summaries s USING (run_id) LEFT JOIN evals e USING (run_id)""",
+    ),
+)
+def ledger_append(spark, sf):
+    # Two batches go to one ledger, which is then read back.
+    entries = derived.ledger(spark, sf)
+    path = scratch.new_path(spark, "ledger")
+    recorded = ledger.record(entries, run_metrics(spark, sf))
+    ledger.append(recorded.filter("entry_id % 2 = 0"), path)
+    ledger.append(recorded.filter("entry_id % 2 = 1"), path)
+    return ledger.read(spark, path, "entry_id bigint").drop("competition", "models_cfg", "cv_cfg")
+
+
+@query(
+    "ledger_json",
+    with_tables(
+        "ledger",
+        extra="""checked AS (SELECT entry_id, cv_cfg,
+          CASE WHEN json_valid(features_cfg) THEN features_cfg END AS f,
+          CASE WHEN json_valid(models_cfg) THEN models_cfg END AS m FROM ledger)""",
+        then="""SELECT entry_id,
+        CASE WHEN f LIKE '{%' THEN concat_ws(', ',
+          'add_title=' || CASE json_extract_string(f, '$.add_title')
+            WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END,
+          'log_fare=' || CASE json_extract_string(f, '$.log_fare')
+            WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END,
+          'bin_age=' || json_extract_string(f, '$.bin_age')) END AS features,
+        json_extract_string(m, '$[0].name') AS first_model, cv_cfg AS cv FROM checked""",
+    ),
+)
+def ledger_json(spark, sf):
+    return derived.ledger(spark, sf).select(
+        "entry_id",
+        snapshot.flag_summary(F.col("features_cfg")).alias("features"),
+        snapshot.first_model(F.col("models_cfg")).alias("first_model"),
+        snapshot.valid_json(F.col("cv_cfg")).alias("cv"),
+    )
+
+
+_REPORT = (
+    _METRICS
+    + """,
+rates AS (SELECT file, avg(CAST(label = 1 AS INT)) AS pred_pos_rate FROM submissions GROUP BY file),
+labelled AS (SELECT run_id, oof, target FROM run_oof JOIN passengers USING (row_id)),
+cuts AS (SELECT DISTINCT run_id, coalesce(threshold, CAST(0.5 AS DOUBLE)) AS cut FROM ledger
+  WHERE oof_accuracy IS NULL AND run_id IS NOT NULL),
+computed AS (SELECT run_id, cut, avg(CAST(CAST(oof >= cut AS INT) = target AS INT)) AS accuracy
+  FROM cuts JOIN labelled USING (run_id) GROUP BY run_id, cut),
+report AS (
+  SELECT l.* EXCLUDE (oof_accuracy), coalesce(l.oof_accuracy, c.accuracy) AS oof_accuracy,
+    r.pred_pos_rate, s.model, s.metric AS cv_metric, s.score_mean AS cv_score_mean,
+    s.score_std AS cv_score_std
+  FROM ledger l LEFT JOIN rates r USING (file) LEFT JOIN summaries s USING (run_id)
+  LEFT JOIN computed c ON c.run_id = l.run_id AND c.cut = coalesce(l.threshold, CAST(0.5 AS DOUBLE)))"""
+)
+_TABLES = ("ledger", "runs", "submissions", "run_oof", "passengers")
+
+
+def _report(spark, sf):
+    return ledger.report(
+        derived.ledger(spark, sf),
+        run_metrics(spark, sf),
+        derived.submissions(spark, sf),
+        derived.run_oof(spark, sf),
+        derived.order_labels(spark, sf),
+        "row_id",
+        "target",
+    )
+
+
+@query(
+    "ledger_report",
+    with_tables(
+        *_TABLES,
+        extra=_REPORT,
+        then=f"""SELECT entry_id, file, run_id, threshold, {_r('oof_accuracy')} AS oof_accuracy,
+        {_r('pred_pos_rate')} AS pred_pos_rate, model, cv_metric, cv_score_mean, cv_score_std
+        FROM report""",
+    ),
+)
+def ledger_report(spark, sf):
+    found = _report(spark, sf).select(
+        "entry_id",
+        "file",
+        "run_id",
+        "threshold",
+        "oof_accuracy",
+        "pred_pos_rate",
+        "model",
+        "cv_metric",
+        "cv_score_mean",
+        "cv_score_std",
+    )
+    return rounded(found, "oof_accuracy", "pred_pos_rate")
+
+
+_TOP = (
+    _REPORT
+    + """,
+ranked AS (
+  SELECT * FROM (SELECT 'leaderboard' AS ranking, *,
+    row_number() OVER (ORDER BY leaderboard_score DESC, entry_id) AS rank
+    FROM report WHERE leaderboard_score IS NOT NULL) WHERE rank <= 5
+  UNION ALL
+  SELECT * FROM (SELECT 'oof_accuracy' AS ranking, *,
+    row_number() OVER (ORDER BY oof_accuracy DESC, entry_id) AS rank
+    FROM report WHERE oof_accuracy IS NOT NULL) WHERE rank <= 5),
+last AS (SELECT file, features_cfg, models_cfg, cv_cfg FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY entry_id DESC) AS back FROM ledger) WHERE back = 1)"""
+)
+
+
+@query(
+    "ledger_topk",
+    with_tables(
+        *_TABLES,
+        extra=_TOP,
+        then=f"""SELECT ranking, CAST(rank AS INT) AS rank, r."timestamp", file, r.run_id,
+        coalesce(nullif(model, ''), nullif(cv_model, '')) AS model, r.threshold,
+        round_even(pred_pos_rate, 3) AS pred_pos_rate, oof_auc_mean, {_r('oof_accuracy')} AS oof_accuracy,
+        leaderboard_score,
+        CASE WHEN json_valid(l.models_cfg) THEN json_extract_string(l.models_cfg, '$[0].name') END
+          AS models_cfg_first,
+        l.cv_cfg AS cv,
+        CASE WHEN length(message) > 80 THEN substr(message, 1, 77) || '...' ELSE nullif(message, '') END AS note
+        FROM ranked r JOIN last l USING (file)""",
+    ),
+)
+def ledger_topk(spark, sf):
+    found = ledger.topk(_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
+    return rounded(found.drop("features"), "oof_accuracy")
+
+
+@query(
+    "ledger_lines",
+    with_tables(
+        *_TABLES,
+        extra=_TOP,
+        then="""SELECT ranking, CAST(rank AS INT) AS rank,
+        '- ' || r."timestamp" || ': model=' || coalesce(nullif(model, ''), nullif(cv_model, ''), 'nan') AS start,
+        '  file=' || file AS file_line, '  run_dir=' || coalesce(r.run_id, 'nan') AS run_line
+        FROM ranked r""",
+    ),
+)
+def ledger_lines(spark, sf):
+    top = ledger.topk(_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
+    parts = F.split("text", "\n")
+    return ledger.lines(top).select(
+        "ranking",
+        "rank",
+        F.substring_index(parts[0], ", thr=", 1).alias("start"),
+        parts[1].alias("file_line"),
+        parts[2].alias("run_line"),
+    )

@@ -1 +1,3 @@
-"""Placeholder."""
+"""Cross-fitted models. SQL cannot train them; tests compare them with closed forms."""
+
+from __future__ import annotations

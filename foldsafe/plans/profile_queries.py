@@ -14,8 +14,8 @@ _TEXTS = ["sex", "full_name", "ticket", "cabin", "embarked", "event_time"]
 _IN_ORDER = list(derived.PASSENGERS)
 
 
-def _r(expression: str) -> str:
-    return f"round({expression}, 6) + 0.0"
+def _r(expression: str, places: int = 6) -> str:
+    return f"round({expression}, {places}) + 0.0"
 
 
 def _describe_sql() -> str:
@@ -27,7 +27,7 @@ def _describe_sql() -> str:
         parts.append(
             f"""SELECT '{c}' AS "column", count({c}) AS "count", CAST(NULL AS BIGINT) AS "unique",
             CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
-            {_r(f'avg({c})')} AS mean, {_r(f'stddev_samp({c})')} AS std,
+            {_r(f'avg({c})', 4)} AS mean, {_r(f'stddev_samp({c})', 4)} AS std,
             {_r(f'CAST(min({c}) AS DOUBLE)')} AS "min", {quarters},
             {_r(f'CAST(max({c}) AS DOUBLE)')} AS "max" FROM passengers"""
         )
@@ -47,7 +47,7 @@ def _describe_sql() -> str:
 @query("describe_all", _describe_sql())
 def describe_all(spark, sf):
     df = profile.describe_all(derived.passengers(spark, sf))
-    return rounded(df, "mean", "std", "min", "q25", "q50", "q75", "max")
+    return rounded(rounded(df, "min", "q25", "q50", "q75", "max"), "mean", "std", places=4)
 
 
 @query(

@@ -114,6 +114,26 @@ OOF_SCORE = (
 )
 
 
+# Scores of four runs on the orders. Multiples of 1/1024 add up exactly in any order, so averages
+# are the same on every engine; ``d`` follows the price, so nearly every row has its own score.
+SCORES = {
+    "row_id": "o_orderkey",
+    "target": "CAST(o_orderstatus = 'F' AS INT)",
+    "fold": "CAST(o_custkey % 5 AS INT)",
+    "a": (
+        "CAST(LEAST(1023, (o_orderkey * 7919 + o_custkey * 104729) % 801 "
+        "+ CASE WHEN o_orderstatus = 'F' THEN 200 ELSE 0 END) AS DOUBLE) / CAST(1024 AS DOUBLE)"
+    ),
+    "b": (
+        "CAST(LEAST(1023, (o_orderkey * 613 + o_custkey * 7907) % 901 "
+        "+ CASE WHEN o_orderstatus = 'F' THEN 100 ELSE 0 END) AS DOUBLE) / CAST(1024 AS DOUBLE)"
+    ),
+    "c": "CAST((o_orderkey * 31 + o_custkey * 17) % 1024 AS DOUBLE) / CAST(1024 AS DOUBLE)",
+    "d": "CAST(CAST(FLOOR(o_totalprice) AS BIGINT) % 524288 AS DOUBLE) / CAST(524288 AS DOUBLE)",
+}
+SOURCES = ("a", "b", "c", "d")
+
+
 def _select(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select([F.expr(text).alias(name) for name, text in columns.items()])
 
@@ -134,6 +154,17 @@ def order_labels(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """``(row_id, target, fold, a, b, c, d)``: one column of scores per run."""
+    return _select(load(spark, folder, "orders"), SCORES)
+
+
+def long_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """``(row_id, target, fold, source, p)``: one row per order and run."""
+    wide = scores(spark, folder)
+    return wide.unpivot(["row_id", "target", "fold"], list(SOURCES), "source", "p")
+
+
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     return _select(load(spark, folder, "customer"), LEDGER)
 
@@ -180,6 +211,14 @@ def sql_tables() -> dict[str, str]:
             "passengers", "orders JOIN customer ON o_custkey = c_custkey", PASSENGERS
         ),
         "ledger": _text_of("ledger", "customer", LEDGER),
+        "scores": _text_of("scores", "orders", SCORES),
+        "long_scores": (
+            "long_scores AS ("
+            + " UNION ALL ".join(
+                f"SELECT row_id, target, fold, '{s}' AS source, {s} AS p FROM scores" for s in SOURCES
+            )
+            + ")"
+        ),
         "runs": _text_of("runs", "supplier", RUNS),
         "run_oof": (
             "run_oof AS (SELECT DISTINCT 'run-' || LPAD(CAST(l_suppkey AS STRING), 6, '0') AS run_id, "

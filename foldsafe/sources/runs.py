@@ -30,17 +30,18 @@ EVAL_SCHEMA = T.StructType(
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON documents of many runs in one scan, ``run_id`` from the partition folder.
-
-    A document that does not parse gives a row of nulls instead of an error.
-    """
+    """JSON records of many runs in one scan; a record that does not parse is left out."""
     typed = T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])
-    return spark.read.schema(typed).option("mode", "PERMISSIVE").json(path)
+    found = spark.read.schema(typed).option("mode", "PERMISSIVE").json(path)
+    return found.filter(F.col("run_id").isNotNull())
 
 
 def write_documents(df: DataFrame, path: str, mode: str = "append") -> None:
-    """One JSON record per row under ``run_id=…``; a run adds to the table, never rewrites it."""
-    df.write.mode(mode).partitionBy("run_id").json(path)
+    """One JSON record per row; a run adds to the table, never rewrites it.
+
+    The run is a field, not a folder: a folder per run would mean a file per run to list and open.
+    """
+    df.write.mode(mode).json(path)
 
 
 def run_metrics(runs: DataFrame, summaries: DataFrame, evals: DataFrame) -> DataFrame:
