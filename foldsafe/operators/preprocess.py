@@ -122,17 +122,18 @@ def _encoders(schema_only: DataFrame, texts: list[str], levels: dict, holdout: i
     kept = [c for c in texts if levels.get((holdout, c))]
     if not kept:
         return []
-    indexer = StringIndexerModel.from_arrays_of_labels(
-        [levels[holdout, c] for c in kept],
-        [f"txt__{c}" for c in kept],
-        [f"idx__{c}" for c in kept],
-        "keep",
-    )
+    # One indexer per column: the many-column form takes label lists of one length only.
+    indexers = [
+        StringIndexerModel.from_labels(levels[holdout, c], f"txt__{c}", f"idx__{c}", "keep")
+        for c in kept
+    ]
     encoder = OneHotEncoder(
         inputCols=[f"idx__{c}" for c in kept], outputCols=[f"hot__{c}" for c in kept], dropLast=True
     )
     filled = schema_only.select([F.lit("").alias(f"txt__{c}") for c in kept])
-    return [indexer, encoder.fit(indexer.transform(filled))]
+    # The encoder learns its sizes from column metadata, without a job.
+    fitted = encoder.fit(PipelineModel(indexers).transform(filled))
+    return [*indexers, fitted]
 
 
 def learn(
@@ -244,8 +245,7 @@ def feature_names(pipeline: PipelineModel) -> list[str]:
     labels: dict[str, list[str]] = {}
     for stage in pipeline.stages:
         if isinstance(stage, StringIndexerModel):
-            outputs = [c.removeprefix("idx__") for c in stage.getOutputCols()]
-            labels = dict(zip(outputs, map(list, stage.labelsArray)))
+            labels[stage.getOutputCol().removeprefix("idx__")] = list(stage.labels)
         if isinstance(stage, VectorAssembler):
             for column in stage.getInputCols():
                 kind, name = column.split("__", 1)

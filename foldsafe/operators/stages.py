@@ -16,7 +16,9 @@ from pyspark.ml.util import (
     DefaultParamsReader,
     DefaultParamsWritable,
     DefaultParamsWriter,
+    MLReadable,
     MLReader,
+    MLWritable,
     MLWriter,
 )
 from pyspark.sql import DataFrame
@@ -70,7 +72,7 @@ def _config_from_dict(saved: dict[str, Any]) -> FeaturesConfig:
     )
 
 
-class FeatureModel(Transformer, _JsonState):
+class FeatureModel(Transformer, _JsonState, MLReadable, MLWritable):
     """Add engineered features; ticket and title counts come from the training rows."""
 
     def __init__(self) -> None:
@@ -110,17 +112,10 @@ class FeatureModel(Transformer, _JsonState):
     def write(self) -> MLWriter:
         return _FeatureWriter(self)
 
-    def save(self, path: str) -> None:
-        self.write().save(path)
-
     @classmethod
     def read(cls) -> MLReader:
         return _FeatureReader()
 
-    @classmethod
-    def load(cls, path: str) -> "FeatureModel":
-        return cls.read().load(path)
-
 
 class _FeatureWriter(MLWriter):
     def __init__(self, model: FeatureModel) -> None:

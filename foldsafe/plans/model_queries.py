@@ -1,3 +1,205 @@
-"""Cross-fitted models. SQL cannot train them; tests compare them with closed forms."""
+"""Cross-fitted models on whole tables.
+
+SQL cannot train them, so most have no check SQL; tests compare them with closed forms. Boosting
+rounds and trees are few: their number is a parameter, and the defaults are for real use.
+"""
 
 from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foldsafe.config import CVConfig, FeaturesConfig, ModelSpec
+from foldsafe.operators import ensemble, metrics, preprocess, scoring, thresholds, training
+from foldsafe.plans.feature_queries import CONFIG, _stats_cte, _MEDIAN, _r, folded
+from foldsafe.plans.registry import FOLDS, query, rounded, with_tables
+from foldsafe.sources import derived, scratch
+
+_INPUTS = ["row_id", "target", "pclass", "sex", "age", "sibsp", "parch", "fare", "embarked"]
+_PLAIN = FeaturesConfig(
+    add_family=True, add_is_alone=True, log_fare=True, columns=derived.PASSENGER_COLUMNS
+)
+_CV = CVConfig(scheme="stratified", n_splits=FOLDS)
+_SHORT = CVConfig(scheme="stratified", n_splits=3)
+_LOGISTIC = ModelSpec("logistic", {"C": 1.0, "max_iter": 25})
+
+
+def _plain_passengers(spark, sf) -> DataFrame:
+    return derived.passengers(spark, sf).select(*_INPUTS)
+
+
+def _fit(df: DataFrame, cv: CVConfig, features: FeaturesConfig, *specs: ModelSpec, **extra):
+    return training.cross_fit(
+        df,
+        cv,
+        features,
+        specs,
+        **{"id_col": "row_id", "target": "target", "parallelism": cv.n_splits, **extra},
+    )
+
+
+def _by_fold(run: training.Run, places: int = 6) -> DataFrame:
+    rows = run.oof.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"))
+    scores = run.score_table().withColumn("metric", F.lit(run.metric.name))
+    return rounded(scores.join(rows, ["model", "fold"]), "score", places=places)
+
+
+@query("oof_logistic")
+def oof_logistic(spark, sf):
+    """All engineered features; names, tickets and cabins themselves are left out."""
+    df = derived.passengers(spark, sf).drop("group_key", "event_time", "score")
+    features = FeaturesConfig.from_flags(
+        CONFIG.flags(), columns=CONFIG.columns, drop_cols=("full_name", "ticket", "cabin")
+    )
+    return _by_fold(_fit(df, _CV, features, _LOGISTIC))
+
+
+@query("oof_logistic_documents")
+def oof_logistic_documents(spark, sf):
+    df = derived.documents(spark, sf).drop("toxic")
+    run = _fit(df, _SHORT, FeaturesConfig(), _LOGISTIC, id_col="doc_id", target="quality")
+    return _by_fold(run)
+
+
+@query("oof_ridge")
+def oof_ridge(spark, sf):
+    """Regression of the score with folds in time order."""
+    df = derived.passengers(spark, sf).select(*_INPUTS, "event_time", "score").drop("target")
+    cv = CVConfig(scheme="timeseries", n_splits=3, time_column="event_time")
+    features = FeaturesConfig(
+        log_fare=True, columns=derived.PASSENGER_COLUMNS, drop_cols=("event_time",)
+    )
+    return _by_fold(_fit(df, cv, features, ModelSpec("ridge"), target="score", task="regression"))
+
+
+_TREES = {
+    "rf": {"n_estimators": 5, "max_depth": 4},
+    "gbc": {"n_estimators": 3},
+    "hgb": {"max_iter": 3},
+    "xgb": {"n_estimators": 3},
+    "catboost": {"iterations": 3},
+}
+
+
+def _register_trees(name: str) -> None:
+    @query(f"oof_{name}")
+    def trees(spark, sf):
+        spec = ModelSpec(name, _TREES[name])
+        return _by_fold(_fit(_plain_passengers(spark, sf), _SHORT, _PLAIN, spec))
+
+
+for _name in _TREES:
+    _register_trees(_name)
+
+
+@query("model_compare")
+def model_compare(spark, sf):
+    """Two models on the same folds; the run keeps the better one."""
+    run = _fit(
+        _plain_passengers(spark, sf), _SHORT, _PLAIN, _LOGISTIC, ModelSpec("gbc", _TREES["gbc"])
+    )
+    found = metrics.fold_summary(run.score_table()).select(
+        "model",
+        "score_mean",
+        "score_std",
+        (F.col("model") == run.best).alias("best"),
+    )
+    return rounded(found, "score_mean", "score_std")
+
+
+@query("score_folds")
+def score_folds(spark, sf):
+    """Every fold model scores the whole table; the mean is cut at one half."""
+    df = _plain_passengers(spark, sf)
+    run = _fit(df, _SHORT, _PLAIN, _LOGISTIC)
+    return scoring.predict(run.fold_models, df.drop("target"), "row_id", "target", 0.5)
+
+
+@query("score_best")
+def score_best(spark, sf):
+    df = _plain_passengers(spark, sf)
+    run = _fit(df, _SHORT, _PLAIN, _LOGISTIC)
+    return scoring.predict_best(training.refit(run, df), df.drop("target"), "row_id", "target")
+
+
+@query("score_saved")
+def score_saved(spark, sf):
+    """Fold models written, found again as the latest run, and used."""
+    df = _plain_passengers(spark, sf)
+    path = scratch.new_path(spark, "runs")
+    _fit(df, _SHORT, _PLAIN, _LOGISTIC, run_id="20240101-000000").save(path)
+    models = training.load_fold_models(spark, path)
+    scored = scoring.fold_average(models, df.drop("target"))
+    return rounded(scored.select("row_id", "p"), "p")
+
+
+@query("ensemble_runs")
+def ensemble_runs(spark, sf):
+    """Two runs scored, averaged and cut so that the ones match the training prevalence."""
+    df = _plain_passengers(spark, sf)
+    runs = [
+        _fit(df, _SHORT, _PLAIN, _LOGISTIC, run_id="first"),
+        _fit(df, _SHORT, _PLAIN, ModelSpec("gbc", _TREES["gbc"]), run_id="second"),
+    ]
+    oof = reduce(DataFrame.unionByName, [r.best_oof() for r in runs])
+    labels = derived.order_labels(spark, sf)
+    means = ensemble.mean_oof(oof, labels, "row_id", "target")
+    cut = thresholds.prevalence_cut(means, "p", labels, "target")
+    scored = {r.run_id: scoring.fold_average(r.fold_models, df.drop("target")) for r in runs}
+    long = ensemble.stack(scored, "row_id", "p")
+    return ensemble.submission(ensemble.mean(long, "row_id"), "row_id", cut.threshold, "target")
+
+
+_NUMBERS = ["age", "fare", "parch", "pclass", "sibsp"]
+_VECTOR_SQL = f"""{_stats_cte(_MEDIAN)},
+levels AS (
+  SELECT row_id, fold, 'embarked' AS c, embarked AS level FROM folded
+  UNION ALL SELECT row_id, fold, 'sex', sex FROM folded),
+seen AS (SELECT holdout, c, level, count(*) AS n FROM levels JOIN holdouts ON fold <> holdout
+  WHERE level IS NOT NULL GROUP BY 1, 2, 3),
+fill_levels AS (SELECT holdout, c, level FROM (
+  SELECT *, row_number() OVER (PARTITION BY holdout, c ORDER BY n DESC, level) AS place FROM seen) WHERE place = 1),
+hots AS (
+  SELECT l.row_id, CAST(count(s.n) AS DOUBLE) AS hot FROM levels l
+  JOIN fill_levels f ON f.holdout = l.fold AND f.c = l.c
+  LEFT JOIN seen s ON s.holdout = l.fold AND s.c = l.c AND s.level = coalesce(l.level, f.level) GROUP BY 1),
+sizes AS (SELECT holdout, CAST(count(*) + {len(_NUMBERS)} AS INT) AS slots FROM seen GROUP BY 1),
+scaled AS (SELECT row_id, fold, """ + ", ".join(
+    _r(f"""(coalesce({c}, max(fill) FILTER (WHERE "column" = '{c}'))
+    - max(mean) FILTER (WHERE "column" = '{c}')) / max(sd) FILTER (WHERE "column" = '{c}')""")
+    + f" AS {c}"
+    for c in _NUMBERS
+) + f" FROM folded JOIN stats ON holdout = fold GROUP BY row_id, fold, {', '.join(_NUMBERS)})"
+
+
+@query(
+    "feature_vector",
+    with_tables(
+        "passengers",
+        extra=_VECTOR_SQL,
+        then="""SELECT s.row_id, fold, age, fare, parch, pclass, sibsp, hot, slots
+        FROM scaled s JOIN hots USING (row_id) JOIN sizes ON holdout = fold""",
+    ),
+)
+def feature_vector(spark, sf):
+    """The assembled vector of every row under its own fold's pipeline."""
+    rows = folded(spark, sf).select("row_id", "fold", *_NUMBERS, "embarked", "sex")
+    preps = preprocess.learn(rows, FeaturesConfig(), FOLDS, "stratified", ["row_id"])
+    parts = []
+    for fold, prep in enumerate(preps):
+        vector = vector_to_array("features")
+        parts.append(
+            prep.transform(rows.filter(F.col("fold") == fold)).select(
+                "row_id",
+                "fold",
+                *[F.get(vector, F.lit(i)).alias(c) for i, c in enumerate(_NUMBERS)],
+                F.aggregate(
+                    F.slice(vector, len(_NUMBERS) + 1, F.size(vector)), F.lit(0.0), lambda a, b: a + b
+                ).alias("hot"),
+                F.size(vector).alias("slots"),
+            )
+        )
+    return rounded(reduce(DataFrame.unionByName, parts), *_NUMBERS)
