@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldsafe.config import FeaturesConfig
 from foldsafe.functions import numeric, text
+from foldsafe.operators.joins import lookup
 from foldsafe.operators.splits import FOLD, trains_on
 
 FAMILY = "FamilySize"
@@ -93,13 +94,14 @@ def training_count(by_fold: Column, holdout: Column, n_splits: int, scheme: str)
 def _join_counts(df: DataFrame, key: Column, n_splits: int, scheme: str, name: str) -> DataFrame:
     """Add how often the row's key occurs in the training rows of the row's own fold.
 
-    The count table has one row per key, so the join adds no rows. Its size is not known in
-    advance: Spark broadcasts it only when it turns out small, and splits a hot key otherwise.
+    The count table has one row per key, so the join adds no rows.
     """
-    counts = fold_counts(df, key, n_splits).withColumnRenamed("key", "_count_key")
-    joined = df.join(counts, text.null_as_text(key) == F.col("_count_key"), "left")
+    counts = fold_counts(df, key, n_splits).withColumn(
+        "_rows", F.aggregate("by_fold", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    )
+    joined = lookup(df, text.null_as_text(key), counts, "key", ["by_fold"], "_rows")
     count = training_count(F.col("by_fold"), F.col(FOLD), n_splits, scheme)
-    return joined.withColumn(name, count).drop("_count_key", "by_fold")
+    return joined.withColumn(name, count).drop("by_fold")
 
 
 def leave_fold_out(

@@ -73,12 +73,18 @@ def read(spark: SparkSession, path: str, extra: str | None = None) -> DataFrame:
 
 
 def accuracy_at(
-    scored: DataFrame, marks: DataFrame, label: str, score: str, by: str = "run_id"
+    scored: DataFrame,
+    marks: DataFrame,
+    label: str,
+    score: str,
+    by: str = "run_id",
+    spread: DataFrame | None = None,
 ) -> DataFrame:
     """``(by, threshold, accuracy)`` of each group's rows at each of the group's thresholds.
 
     Thresholds are put among the distinct scores; running counts up to a threshold say how many
-    rows it gets right. Rows are read once, however many thresholds a group has.
+    rows it gets right. Rows are read once, however many thresholds a group has. ``spread`` is a
+    cheaper table with the same scores to choose the work split from; it never changes the result.
     """
     lowest = F.lit(float("-inf"))
     rows = scored.select(
@@ -99,7 +105,7 @@ def accuracy_at(
     ).distinct()
     # A mark sorts before the scores equal to it: those pass the threshold.
     mixed = points.withColumn("_mark", F.lit(1)).unionByName(wanted.withColumn("_mark", F.lit(0)))
-    cells = NumericCells.learn(rows, F.col("_at"))
+    cells = NumericCells.learn(scored if spread is None else spread, known(F.col(score)))
     summed = running_totals(
         cells.add(mixed, F.col("_at")), [by], CELL, ["_at", "_mark"], ["pos", "neg"]
     )
@@ -131,7 +137,11 @@ def report(
     cut = F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
     open_cuts = ledger.filter(F.col("oof_accuracy").isNull() & F.col("run_id").isNotNull())
     open_cuts = open_cuts.select("run_id", cut.alias("threshold")).distinct()
-    computed = accuracy_at(align(oof, labels, id_col, target), open_cuts, target, "oof")
+    # Runs without an open entry are not read any further.
+    needed = oof.join(open_cuts.select("run_id").distinct(), "run_id", "left_semi")
+    computed = accuracy_at(
+        align(needed, labels, id_col, target), open_cuts, target, "oof", spread=oof
+    )
     computed = computed.select(
         "run_id", F.col("threshold").alias("_cut"), F.col("accuracy").alias("_computed")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foldsafe.functions.numeric import known
 from foldsafe.functions.text import null_as_text
 from foldsafe.operators import quantiles
+from foldsafe.operators.joins import lookup
 from foldsafe.operators.small import rows_of
 from foldsafe.operators.splits import FOLD, trains_on
 
@@ -80,18 +81,53 @@ def numeric_moments(
     return merged.select("holdout", "column", "rows", "n", "mean", spread.alias("m2"))
 
 
-def _training_values(columns: Sequence[str], n_splits: int, scheme: str) -> dict[str, Column]:
-    return {
+def medians(
+    folded: DataFrame,
+    columns: Sequence[str],
+    n_splits: int,
+    scheme: str,
+    small_rows: int = quantiles.SMALL_ROWS,
+) -> DataFrame:
+    """``(holdout, column, fill)`` with exact medians of the training folds.
+
+    Up to a checked number of rows, values are counted once per fold and the medians of all holdouts
+    taken from those counts. Larger columns are narrowed in on, which shuffles no values at all.
+    """
+    sizes = quantiles.counts(folded, {c: F.col(c) for c in columns})
+    small = [c for c in columns if sizes[c] <= small_rows]
+    large = [c for c in columns if sizes[c] > small_rows]
+    parts = []
+    if small:
+        parts.append(_medians_from_counts(folded, small, n_splits, scheme))
+    if large:
+        parts.append(_medians_narrowed(folded, large, n_splits, scheme, small_rows))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _medians_from_counts(
+    folded: DataFrame, columns: Sequence[str], n_splits: int, scheme: str
+) -> DataFrame:
+    counts = _counts_by_fold(folded, columns, n_splits, "double")
+    middles = [
+        F.percentile("level", 0.5, _training_rows(n_splits, scheme, h)).alias(f"m{h}")
+        for h in range(n_splits)
+    ]
+    structs = [
+        F.struct(F.lit(h).alias("holdout"), F.col(f"m{h}").alias("fill")) for h in range(n_splits)
+    ]
+    found = counts.groupBy("column").agg(*middles).select("column", rows_of(structs))
+    return found.select("holdout", "column", "fill")
+
+
+def _medians_narrowed(
+    folded: DataFrame, columns: Sequence[str], n_splits: int, scheme: str, small_rows: int
+) -> DataFrame:
+    series = {
         f"{h}:{c}": F.when(trains_on(scheme, F.col(FOLD), h), F.col(c).cast("double"))
         for h in range(n_splits)
         for c in columns
     }
-
-
-def medians(folded: DataFrame, columns: Sequence[str], n_splits: int, scheme: str) -> DataFrame:
-    """``(holdout, column, fill)`` with exact medians of the training folds."""
-    series = _training_values(columns, n_splits, scheme)
-    middle = quantiles.exact(folded, series, [0.5])
+    middle = quantiles.exact(folded, series, [0.5], small_rows)
     named = [(name, *name.split(":", 1)) for name in series]
     one_row = folded.agg(*[middle[name].alias(f"m{i}") for i, (name, _, _) in enumerate(named)])
     structs = [
@@ -103,6 +139,29 @@ def medians(folded: DataFrame, columns: Sequence[str], n_splits: int, scheme: st
     return one_row.select(rows_of(structs))
 
 
+def _training_rows(n_splits: int, scheme: str, holdout: int) -> Column:
+    """Rows of a holdout's training folds, from the columns of `_counts_by_fold`."""
+    used = [
+        F.when(trains_on(scheme, F.lit(f), holdout), F.col(f"n{f + 1}")).otherwise(0)
+        for f in range(-1, n_splits)
+    ]
+    return sum(used, F.lit(0).cast("bigint"))
+
+
+def _counts_by_fold(
+    folded: DataFrame, columns: Sequence[str], n_splits: int, kind: str
+) -> DataFrame:
+    """``(column, level, n0, n1, …)``: rows per non-null value in fold -1, 0, … from one scan."""
+    if kind == "double":
+        values = folded.select(FOLD, *[known(F.col(c)).alias(c) for c in columns])
+    else:
+        values = folded.select(FOLD, *[F.col(c).cast(kind).alias(c) for c in columns])
+    long = values.unpivot([FOLD], list(columns), "column", "level").filter("level IS NOT NULL")
+    return long.groupBy("column", "level").agg(
+        *[F.count_if(F.col(FOLD) == f).alias(f"n{f + 1}") for f in range(-1, n_splits)]
+    )
+
+
 def level_counts(
     folded: DataFrame, columns: Sequence[str], n_splits: int, scheme: str, kind: str = "string"
 ) -> DataFrame:
@@ -110,22 +169,13 @@ def level_counts(
 
     One scan counts values per fold; the copies per holdout are of distinct values, not of rows.
     """
-    values = folded.select(FOLD, *[F.col(c).cast(kind).alias(c) for c in columns])
-    long = values.unpivot([FOLD], list(columns), "column", "level").filter("level IS NOT NULL")
-    if kind == "double":
-        long = long.filter(~F.isnan("level"))
-    folds = range(-1, n_splits)
-    by_fold = long.groupBy("column", "level").agg(
-        *[F.count_if(F.col(FOLD) == f).alias(f"n{f + 1}") for f in folds]
-    )
-    copies = []
-    for h in range(n_splits):
-        used = [F.when(trains_on(scheme, F.lit(f), h), F.col(f"n{f + 1}")).otherwise(0) for f in folds]
-        copies.append(
-            F.struct(F.lit(h).alias("holdout"), sum(used, F.lit(0).cast("bigint")).alias("n"))
-        )
+    copies = [
+        F.struct(F.lit(h).alias("holdout"), _training_rows(n_splits, scheme, h).alias("n"))
+        for h in range(n_splits)
+    ]
     return (
-        by_fold.select("column", "level", rows_of(copies))
+        _counts_by_fold(folded, columns, n_splits, kind)
+        .select("column", "level", rows_of(copies))
         .filter("n > 0")
         .select("holdout", "column", "level", "n")
     )
@@ -230,7 +280,17 @@ def one_hot(
         # Folds x columns rows.
         long = long.join(F.broadcast(fills), [FOLD, "column"], "left")
         long = long.withColumn("level", F.coalesce("level", "fill")).drop("fill")
-    seen = counts.select(F.col("holdout").alias(FOLD), "column", "level", F.lit(1).alias("hot"))
-    return long.join(seen, [FOLD, "column", "level"], "left").select(
-        id_col, FOLD, "column", null_as_text(F.col("level")).alias("level"), F.coalesce("hot", F.lit(0)).alias("hot")
+    # Levels are matched per fold and column: the three parts make one key.
+    seen = counts.select(_level_key("holdout").alias("_key"), F.col("n").alias("_seen"))
+    found = lookup(long, _level_key(FOLD), seen, "_key", ["_seen"], "_seen")
+    return found.select(
+        id_col,
+        FOLD,
+        "column",
+        null_as_text(F.col("level")).alias("level"),
+        F.col("_seen").isNotNull().cast("int").alias("hot"),
     )
+
+
+def _level_key(fold: str) -> Column:
+    return F.concat_ws("|", F.col(fold), F.col("column"), F.concat(F.lit("="), F.col("level")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
@@ -23,6 +24,7 @@ from foldsafe.functions import text
 from foldsafe.operators import features, loo
 from foldsafe.operators.splits import FOLD
 from foldsafe.operators.stages import FeatureModel, NumericModel, TextFillModel
+from foldsafe.operators.threads import in_threads
 from foldsafe.sources.scratch import written
 
 FEATURES = "features"
@@ -50,46 +52,49 @@ def feature_columns(
 def _ticket_stats(tables: list[DataFrame]) -> dict[int, tuple[float, float, float]]:
     """Fill, mean and deviation of the ticket count over training rows, from the counts alone:
     a ticket counted c times gives c rows of value c."""
-    out = {}
-    for holdout, counts in enumerate(tables):
-        rows = F.sum("n").cast("double")
-        first = counts.agg(rows.alias("rows"), (F.sum(F.col("n").cast("double") * F.col("n")) / rows).alias("mean")).first()
-        mean = first["mean"] or 0.0
-        spread = F.sum(F.col("n") * F.pow(F.col("n") - F.lit(mean), F.lit(2.0))) / rows
-        sd = counts.agg(loo.safe_deviation(spread, F.lit(mean), rows).alias("sd")).first()["sd"]
-        out[holdout] = (1.0, mean, sd or 1.0)
-    return out
+    tagged = [t.select(F.lit(h).alias("holdout"), F.col("n").cast("double")) for h, t in enumerate(tables)]
+    counts = reduce(DataFrame.unionByName, tagged)
+    rows = F.sum("n")
+    firsts = counts.groupBy("holdout").agg((F.sum(F.col("n") * F.col("n")) / rows).alias("mean"))
+    means = {r["holdout"]: r["mean"] for r in firsts.collect()}
+    if not means:
+        return {}
+    own = F.create_map(*[F.lit(x) for pair in means.items() for x in pair])[F.col("holdout")]
+    mean = F.first("mean")
+    spread = F.sum(F.col("n") * F.pow(F.col("n") - F.col("mean"), F.lit(2.0))) / rows
+    found = (
+        counts.withColumn("mean", own)
+        .groupBy("holdout")
+        .agg(loo.safe_deviation(spread, mean, rows).alias("sd"))
+    )
+    return {r["holdout"]: (1.0, means[r["holdout"]], r["sd"]) for r in found.collect()}
 
 
 def _holdout_counts(
     folded: DataFrame, key: str, n_splits: int, scheme: str, name: str
-) -> list[DataFrame]:
-    """``(key, n)`` of the training rows for every holdout, from one written count table."""
+) -> tuple[list[DataFrame], int]:
+    """``(key, n)`` of the training rows for every holdout, from one written count table, and the
+    number of its keys."""
     by_fold = written(features.fold_counts(folded, F.col(key), n_splits), name)
-    return [
+    per_holdout = [
         by_fold.select(
             "key",
             features.training_count(F.col("by_fold"), F.lit(h), n_splits, scheme).alias("n"),
         ).filter("n > 0")
         for h in range(n_splits)
     ]
+    return per_holdout, by_fold.count()
 
 
 def _title_levels(tables: list[DataFrame], threshold: int) -> DataFrame:
     """Levels of the title after rare ones are merged, per holdout."""
-    parts = []
-    for holdout, counts in enumerate(tables):
-        merged = features.rare_title(F.col("key"), F.col("n"), threshold)
-        part = counts.groupBy(merged.alias("level")).agg(F.sum("n").alias("n"))
-        parts.append(
-            part.select(
-                F.lit(holdout).alias("holdout"), F.lit(features.TITLE).alias("column"), "level", "n"
-            )
-        )
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    merged = features.rare_title(F.col("key"), F.col("n"), threshold)
+    parts = [
+        counts.select(F.lit(holdout).alias("holdout"), merged.alias("level"), "n")
+        for holdout, counts in enumerate(tables)
+    ]
+    levels = reduce(DataFrame.unionByName, parts).groupBy("holdout", "level").agg(F.sum("n").alias("n"))
+    return levels.select("holdout", F.lit(features.TITLE).alias("column"), "level", "n")
 
 
 def _collect_levels(counts: DataFrame) -> tuple[dict, dict]:
@@ -154,6 +159,7 @@ def learn(
     wanted = sum(features.available(folded.columns, cfg), [])
     base = features.stateless(folded, cfg)
     tables: list[dict[str, DataFrame]] = [{} for _ in range(n_splits)]
+    sizes: dict[str, int] = {}
 
     stats: dict[tuple[int, str], tuple[float, float, float]] = {}
     plain = [c for c in numbers if not (c == features.TICKET_GROUP and c in wanted)]
@@ -161,7 +167,7 @@ def learn(
         rows = loo.numeric_stats(base, plain, n_splits, cfg.impute_numeric, scheme).collect()
         stats = {(r["holdout"], r["column"]): (r["fill"], r["mean"], r["sd"]) for r in rows}
     if features.TICKET_GROUP in wanted:
-        tickets = _holdout_counts(base, cfg.columns.ticket, n_splits, scheme, "tickets")
+        tickets, sizes["tickets"] = _holdout_counts(base, cfg.columns.ticket, n_splits, scheme, "tickets")
         for holdout, found in _ticket_stats(tickets).items():
             stats[holdout, features.TICKET_GROUP] = found
             tables[holdout]["tickets"] = tickets[holdout]
@@ -175,7 +181,7 @@ def learn(
         counts = loo.level_counts(base, counted, n_splits, scheme)
         levels, fills = _collect_levels(written(counts, "levels"))
     if features.TITLE in wanted:
-        titles = _holdout_counts(base, features.TITLE, n_splits, scheme, "titles")
+        titles, sizes["titles"] = _holdout_counts(base, features.TITLE, n_splits, scheme, "titles")
         for holdout in range(n_splits):
             tables[holdout]["titles"] = titles[holdout]
         if features.TITLE in texts:
@@ -183,30 +189,31 @@ def learn(
             levels.update(more)
             fills.update(more_fills)
 
-    pipelines = []
-    for h in range(n_splits):
+    constant = cfg.impute_categorical == "constant"
+
+    def assemble(h: int) -> PipelineModel:
         scaled = []
         for c in numbers:
             fill, mean, deviation = stats.get((h, c), (loo.CONSTANT_NUMBER, 0.0, 1.0))
             if not cfg.scale_numeric:
                 mean, deviation = 0.0, 1.0
             scaled.append((c, f"num__{c}", fill, mean, deviation))
-        constant = cfg.impute_categorical == "constant"
         blanks = [
             (c, f"txt__{c}", loo.CONSTANT_TEXT if constant else fills.get((h, c), text.NULL_TEXT))
             for c in texts
         ]
         encoders = _encoders(folded.sparkSession.range(1), texts, levels, h)
         hot = [f"hot__{c}" for c in texts if levels.get((h, c))]
-        stages = [FeatureModel.make(cfg, tables[h]), NumericModel().remember(columns=scaled)]
+        stages = [FeatureModel.make(cfg, tables[h], sizes), NumericModel().remember(columns=scaled)]
         if hot:
             stages += [TextFillModel().remember(columns=blanks), *encoders]
         inputs = [output for _, output, *_ in scaled] + hot
         if not inputs:
             raise SchemaError(f"no feature has a value in the training rows of fold {h}")
         stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-        pipelines.append(PipelineModel(stages))
-    return pipelines
+        return PipelineModel(stages)
+
+    return in_threads(folded.sparkSession, assemble, range(n_splits), n_splits)
 
 
 class Preprocessor(Estimator):

@@ -15,6 +15,7 @@ from foldsafe.functions.numeric import hash_key
 from foldsafe.functions.text import null_as_text
 from foldsafe.operators import ranks
 from foldsafe.operators.cells import hash_cell, hash_digits
+from foldsafe.operators.joins import lookup
 
 FOLD = "fold"
 # Groups with at least 1/(this x folds) of all rows are placed one by one, the rest by volume.
@@ -94,7 +95,9 @@ def _place_in_turn(large: DataFrame, n_splits: int) -> DataFrame:
     placed = bare.select("queue", F.aggregate("queue", empty, give).alias("done"))
     return placed.select(
         F.arrays_zip(
-            F.transform("queue", lambda e: e["group"]).alias("group"), F.col("done.folds").alias("fold")
+            F.transform("queue", lambda e: e["group"]).alias("group"),
+            F.col("done.folds").alias("fold"),
+            F.transform("queue", lambda e: -e["col1"]).alias("rows"),
         ).alias("pairs"),
         F.col("done.loads").alias("loads"),
     )
@@ -116,6 +119,11 @@ def _fill_levels(loads: DataFrame, small_rows: Column, n_splits: int) -> DataFra
     return room.select("fold", F.sum("room").over(by_fold).alias("until"))
 
 
+def _group_key(group: Column) -> Column:
+    """Text form of a group in which rows without a group are one group of their own."""
+    return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit("none"))
+
+
 def group(
     df: DataFrame, group_col: str, n_splits: int = 5, seed: int = 42, placed: int = _PLACED_PER_FOLD
 ) -> DataFrame:
@@ -130,7 +138,7 @@ def group(
     total = sizes.agg(F.sum("rows")).scalar()
     is_large = F.col("rows") * F.lit(placed * n_splits) >= total
     done = _place_in_turn(sizes.filter(is_large), n_splits)
-    large = done.select(F.inline("pairs").alias("group", FOLD))
+    large = done.select(F.inline("pairs").alias("group", FOLD, "rows")).select("group", "rows", FOLD)
 
     digits = hash_digits(df.sparkSession)
     mixed = hash_key(null_as_text(F.col("group")), seed)
@@ -140,10 +148,11 @@ def group(
     levels = _fill_levels(done, volume, n_splits)
     ends = levels.agg(F.sort_array(F.collect_list("until"))).scalar()
     passed = F.size(F.filter("_ends", lambda end: end <= F.col("rows_before")))
-    cut = laid.withColumn("_ends", ends).select("group", F.least(passed, F.lit(n_splits - 1)).alias(FOLD))
-    # One row per group on this side; a hot group is split by adaptive skew handling.
-    folds = large.unionByName(cut).withColumnRenamed("group", "_group")
-    return df.join(folds, df[group_col].eqNullSafe(folds["_group"])).drop("_group")
+    cut = laid.withColumn("_ends", ends).select(
+        "group", "rows", F.least(passed, F.lit(n_splits - 1)).alias(FOLD)
+    )
+    folds = large.unionByName(cut).withColumn("_key", _group_key(F.col("group")))
+    return lookup(df, _group_key(F.col(group_col)), folds, "_key", [FOLD], "rows")
 
 
 def assign(df: DataFrame, cfg: CVConfig, id_col: str, target: str | None = None) -> DataFrame:

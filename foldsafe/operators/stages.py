@@ -28,6 +28,7 @@ from foldsafe.config import FeatureColumns, FeaturesConfig
 from foldsafe.functions.numeric import known
 from foldsafe.functions.text import null_as_text
 from foldsafe.operators import features
+from foldsafe.operators.joins import lookup
 
 
 class _JsonState(Params):
@@ -80,10 +81,13 @@ class FeatureModel(Transformer, _JsonState, MLReadable, MLWritable):
         self.tables: dict[str, DataFrame] = {}
 
     @classmethod
-    def make(cls, cfg: FeaturesConfig, tables: dict[str, DataFrame]) -> "FeatureModel":
+    def make(
+        cls, cfg: FeaturesConfig, tables: dict[str, DataFrame], sizes: dict[str, int]
+    ) -> "FeatureModel":
+        """``sizes`` are the tables' row counts: they decide how a table is looked up."""
         model = cls()
         model.tables = tables
-        model.remember(config=_config_as_dict(cfg))
+        model.remember(config=_config_as_dict(cfg), sizes=sizes)
         return model
 
     def copy(self, extra: dict | None = None) -> "FeatureModel":
@@ -92,8 +96,10 @@ class FeatureModel(Transformer, _JsonState, MLReadable, MLWritable):
         return twin
 
     def _look_up(self, df: DataFrame, table: str, key: str) -> DataFrame:
-        counts = self.tables[table].select(F.col("key").alias("_count_key"), F.col("n").alias("_n"))
-        return df.join(counts, null_as_text(F.col(key)) == F.col("_count_key"), "left").drop("_count_key")
+        # Keys that are frequent in training are taken to be the frequent ones here as well.
+        counts = self.tables[table].select("key", F.col("n").alias("_n"))
+        size = self.recall()["sizes"].get(table)
+        return lookup(df, null_as_text(F.col(key)), counts, "key", ["_n"], "_n", size)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         cfg = _config_from_dict(self.recall()["config"])

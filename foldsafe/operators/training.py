@@ -7,9 +7,8 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +18,13 @@ from foldsafe.errors import InferenceError, TrainingError
 from foldsafe.operators import loo, metrics, models, preprocess, scoring, splits
 from foldsafe.operators.contracts import require_columns, require_target
 from foldsafe.operators.small import table
+from foldsafe.operators.threads import in_threads
 from foldsafe.sources import runs as run_tables
 from foldsafe.sources.scratch import written
 
+# Saving or loading a model is many small files: a few at a time.
+_FILE_THREADS = 4
+
 log = logging.getLogger(__name__)
 
 
@@ -74,9 +77,13 @@ class Run:
         """Out-of-fold rows, summary and fold models below ``path``; other runs stay untouched."""
         run_tables.write_oof(self.oof, f"{path}/oof")
         run_tables.write_documents(self.summary(), f"{path}/cv_summary")
-        for name, fitted in self.models.items():
-            for i, model in enumerate(fitted):
-                model.write().overwrite().save(_model_path(path, self.run_id, name, i))
+
+        def save(item: tuple[str, int, PipelineModel]) -> None:
+            name, fold, model = item
+            model.write().overwrite().save(_model_path(path, self.run_id, name, fold))
+
+        every = [(n, i, m) for n, fitted in self.models.items() for i, m in enumerate(fitted)]
+        in_threads(self.oof.sparkSession, save, every, _FILE_THREADS)
 
 
 def _model_path(path: str, run_id: str, model: str, fold: int) -> str:
@@ -92,10 +99,8 @@ def load_fold_models(spark: SparkSession, path: str, run_id: str | None = None)
         raise InferenceError(f"run {run_id} has no summary")
     if not row["pipelines"]:
         raise InferenceError(f"run {run_id} has no fold models")
-    return [
-        PipelineModel.load(_model_path(path, run_id, row["model"], i))
-        for i in range(len(row["pipelines"]))
-    ]
+    paths = [_model_path(path, run_id, row["model"], i) for i in range(len(row["pipelines"]))]
+    return in_threads(spark, PipelineModel.load, paths, _FILE_THREADS)
 
 
 def _training_labels(folded: DataFrame, n_splits: int, scheme: str) -> dict[int, tuple[int, float]]:
@@ -177,19 +182,19 @@ def cross_fit(
         preps = preprocess.learn(folded, features, cv.n_splits, cv.scheme, exclude)
         labels = _training_labels(folded, cv.n_splits, cv.scheme)
 
-        def fit(holdout: int) -> dict[str, PipelineModel]:
-            return _fit_fold(
+        def fit(holdout: int) -> tuple[dict[str, PipelineModel], list[DataFrame]]:
+            models_by_name = _fit_fold(
                 folded, holdout, preps[holdout], named, task, cv.scheme, labels[holdout]
             )
-
-        with ThreadPool(min(parallelism, cv.n_splits)) as pool:
-            per_fold = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(cv.n_splits))
-        fitted = {name: [fold[name] for fold in per_fold] for name in named}
-        parts = [
-            _score_fold(folded, i, model, name, id_col, task)
-            for name, by_fold in fitted.items()
-            for i, model in enumerate(by_fold)
-        ]
+            scored = [
+                _score_fold(folded, holdout, model, name, id_col, task)
+                for name, model in models_by_name.items()
+            ]
+            return models_by_name, scored
+
+        per_fold = in_threads(df.sparkSession, fit, range(cv.n_splits), parallelism)
+        fitted = {name: [by_name[name] for by_name, _ in per_fold] for name in named}
+        parts = [part for _, scored in per_fold for part in scored]
         oof = written(
             reduce(DataFrame.unionByName, parts).withColumn("run_id", F.lit(run_id)), "oof"
         )

@@ -10,6 +10,7 @@ from foldsafe.operators import features, loo, splits
 from foldsafe.plans.profile_queries import _DECK_SQL, _FAMILY_SQL, _TITLE_SQL
 from foldsafe.plans.registry import FOLDED, FOLDS, HOLDOUTS, SEED, query, rounded, with_tables
 from foldsafe.sources import derived
+from foldsafe.sources.scratch import written
 
 # Some titles are this seldom in the small tables, so the merge into Rare is exercised.
 _RARE_BELOW = 50
@@ -32,8 +33,13 @@ def _r(expression: str, places: int = 6) -> str:
     return f"round({expression}, {places}) + 0.0"
 
 
-def folded(spark, sf):
-    return splits.stratified(derived.passengers(spark, sf), "row_id", "target", FOLDS, SEED)
+def folded(spark, sf, *columns):
+    """Passengers with folds, assigned once and stored: what is learnt reads them several times."""
+    rows = derived.passengers(spark, sf)
+    if columns:
+        rows = rows.select("row_id", "target", *columns)
+    assigned = splits.stratified(rows, "row_id", "target", FOLDS, SEED)
+    return written(assigned, "folded")
 
 
 _NORMAL_TITLE = (
@@ -137,7 +143,7 @@ _TITLES = """titles AS (
 )
 def ticket_group_size(spark, sf):
     cfg = FeaturesConfig(add_ticket_group_size=True, columns=derived.PASSENGER_COLUMNS)
-    df = features.leave_fold_out(folded(spark, sf).select("row_id", "fold", "ticket"), cfg, FOLDS)
+    df = features.leave_fold_out(folded(spark, sf, "ticket"), cfg, FOLDS)
     return df.select("row_id", "fold", F.col(features.TICKET_GROUP).alias("ticket_group_size"))
 
 
@@ -154,7 +160,7 @@ def title_rare(spark, sf):
     cfg = FeaturesConfig(
         add_title=True, rare_title_threshold=_RARE_BELOW, columns=derived.PASSENGER_COLUMNS
     )
-    df = features.leave_fold_out(folded(spark, sf).select("row_id", "fold", "full_name"), cfg, FOLDS)
+    df = features.leave_fold_out(folded(spark, sf, "full_name"), cfg, FOLDS)
     return df.select("row_id", "fold", F.col(features.TITLE).alias("title"))
 
 
@@ -215,7 +221,7 @@ _MEDIAN = "quantile_cont(x, 0.5)"
     ),
 )
 def loo_impute_stats(spark, sf):
-    df = loo.numeric_stats(folded(spark, sf), _NUMBERS, FOLDS)
+    df = loo.numeric_stats(folded(spark, sf, *_NUMBERS), _NUMBERS, FOLDS)
     return rounded(df.select("holdout", "column", "rows", "n", "fill"), "fill", places=4)
 
 
@@ -228,7 +234,7 @@ def loo_impute_stats(spark, sf):
     ),
 )
 def loo_impute_mean(spark, sf):
-    df = loo.numeric_stats(folded(spark, sf), _NUMBERS, FOLDS, "mean")
+    df = loo.numeric_stats(folded(spark, sf, *_NUMBERS), _NUMBERS, FOLDS, "mean")
     return rounded(df.select("holdout", "column", "fill", "mean", "sd"), "fill", "mean", "sd", places=4)
 
 
@@ -248,7 +254,7 @@ def loo_impute_mean(spark, sf):
     ),
 )
 def loo_impute_mode(spark, sf):
-    return loo.modes(loo.level_counts(folded(spark, sf), _TEXTS, FOLDS, "stratified"))
+    return loo.modes(loo.level_counts(folded(spark, sf, *_TEXTS), _TEXTS, FOLDS, "stratified"))
 
 
 @query(
@@ -260,7 +266,7 @@ def loo_impute_mode(spark, sf):
     ),
 )
 def loo_scale_stats(spark, sf):
-    df = loo.numeric_stats(folded(spark, sf), _NUMBERS, FOLDS)
+    df = loo.numeric_stats(folded(spark, sf, *_NUMBERS), _NUMBERS, FOLDS)
     return rounded(df.select("holdout", "column", "mean", "sd"), "mean", "sd", places=4)
 
 
@@ -280,7 +286,7 @@ def loo_scale_stats(spark, sf):
     ),
 )
 def impute_scale_loo(spark, sf):
-    rows = folded(spark, sf).select("row_id", "fold", *_NUMBERS)
+    rows = folded(spark, sf, *_NUMBERS).drop("target")
     stats = loo.numeric_stats(rows, _NUMBERS, FOLDS)
     return rounded(loo.impute_scale(rows, _NUMBERS, stats), *_NUMBERS)
 
@@ -297,7 +303,7 @@ counts AS (SELECT holdout, "column", level, count(*) AS n
     with_tables("passengers", extra=_LEVELS, then='SELECT holdout, "column", level, n FROM counts'),
 )
 def ohe_categories(spark, sf):
-    return loo.level_counts(folded(spark, sf), [*_TEXTS, "ticket"], FOLDS, "stratified")
+    return loo.level_counts(folded(spark, sf, *_TEXTS, "ticket"), [*_TEXTS, "ticket"], FOLDS, "stratified")
 
 
 @query(
@@ -316,4 +322,4 @@ def ohe_categories(spark, sf):
     ),
 )
 def onehot_loo(spark, sf):
-    return loo.one_hot(folded(spark, sf), "row_id", [*_TEXTS, "ticket"], FOLDS)
+    return loo.one_hot(folded(spark, sf, *_TEXTS, "ticket"), "row_id", [*_TEXTS, "ticket"], FOLDS)

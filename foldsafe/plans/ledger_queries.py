@@ -94,6 +94,11 @@ def _report(spark, sf):
     )
 
 
+def _stored_report(spark, sf):
+    """The report as a table: rankings read it more than once."""
+    return scratch.written(_report(spark, sf), "report")
+
+
 @query(
     "ledger_report",
     with_tables(
@@ -153,7 +158,7 @@ last AS (SELECT file, features_cfg, models_cfg, cv_cfg FROM (
     ),
 )
 def ledger_topk(spark, sf):
-    found = ledger.topk(_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
+    found = ledger.topk(_stored_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
     return rounded(found.drop("features"), "oof_accuracy")
 
 
@@ -169,7 +174,7 @@ def ledger_topk(spark, sf):
     ),
 )
 def ledger_lines(spark, sf):
-    top = ledger.topk(_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
+    top = ledger.topk(_stored_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
     parts = F.split("text", "\n")
     return ledger.lines(top).select(
         "ranking",

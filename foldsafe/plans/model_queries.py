@@ -186,7 +186,7 @@ scaled AS (SELECT row_id, fold, """ + ", ".join(
 )
 def feature_vector(spark, sf):
     """The assembled vector of every row under its own fold's pipeline."""
-    rows = folded(spark, sf).select("row_id", "fold", *_NUMBERS, "embarked", "sex")
+    rows = folded(spark, sf, *_NUMBERS, "embarked", "sex").drop("target")
     preps = preprocess.learn(rows, FeaturesConfig(), FOLDS, "stratified", ["row_id"])
     parts = []
     for fold, prep in enumerate(preps):
