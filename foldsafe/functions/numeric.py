@@ -52,9 +52,12 @@ def sigmoid(score: Column) -> Column:
 
 
 def known(column: Column) -> Column:
-    """Numeric value with NaN read as missing, so both kinds of blank behave alike."""
+    """Numeric value with NaN read as missing, so both kinds of blank behave alike.
+
+    Adding zero turns a negative zero into zero: cell search would put the two apart.
+    """
     value = column.cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(~F.isnan(value), value + F.lit(0.0))
 
 
 def over_threshold(score: Column, threshold: float | Column, strict: bool = False) -> Column:

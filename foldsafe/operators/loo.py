@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsafe.functions.numeric import known
@@ -73,10 +73,11 @@ def numeric_moments(
         )
         .withColumn("mean", F.try_divide(_add_up(F.col("parts"), "sum"), F.col("n")))
     )
+    centre = F.coalesce("mean", F.lit(0.0))
     spread = F.aggregate(
         "parts",
         F.lit(0.0),
-        lambda total, p: total + p["m2"] + p["n"] * F.pow(p["mean"] - F.col("mean"), F.lit(2.0)),
+        lambda total, p: total + p["m2"] + p["n"] * F.pow(p["mean"] - centre, F.lit(2.0)),
     )
     return merged.select("holdout", "column", "rows", "n", "mean", spread.alias("m2"))
 
@@ -107,16 +108,26 @@ def medians(
 def _medians_from_counts(
     folded: DataFrame, columns: Sequence[str], n_splits: int, scheme: str
 ) -> DataFrame:
+    """Middle values by running counts over the sorted distinct values of each column."""
     counts = _counts_by_fold(folded, columns, n_splits, "double")
-    middles = [
-        F.percentile("level", 0.5, _training_rows(n_splits, scheme, h)).alias(f"m{h}")
-        for h in range(n_splits)
-    ]
-    structs = [
-        F.struct(F.lit(h).alias("holdout"), F.col(f"m{h}").alias("fill")) for h in range(n_splits)
-    ]
-    found = counts.groupBy("column").agg(*middles).select("column", rows_of(structs))
-    return found.select("holdout", "column", "fill")
+    upward = Window.partitionBy("column").orderBy("level")
+    whole = Window.partitionBy("column")
+    used = {f"u{h}": _training_rows(n_splits, scheme, h) for h in range(n_splits)}
+    summed = counts.select("column", "level", *[c.alias(n) for n, c in used.items()])
+    running = {f"r{h}": F.sum(f"u{h}").over(upward) for h in range(n_splits)}
+    totals = {f"t{h}": F.sum(f"u{h}").over(whole) for h in range(n_splits)}
+    placed = summed.withColumns(running).withColumns(totals)
+
+    def value_at(h: int, place: Column) -> Column:
+        return F.min(F.when(F.col(f"r{h}") > place, F.col("level")))
+
+    structs = []
+    for h in range(n_splits):
+        rows = F.col(f"t{h}")
+        low, high = value_at(h, F.floor((rows - 1) / 2)), value_at(h, F.floor(rows / 2))
+        structs.append(F.struct(F.lit(h).alias("holdout"), ((low + high) / 2).alias("fill")))
+    found = placed.groupBy("column").agg(F.array(*structs).alias("fills"))
+    return found.select("column", F.inline("fills")).select("holdout", "column", "fill")
 
 
 def _medians_narrowed(

@@ -22,12 +22,12 @@ from foldsafe.config import FeaturesConfig
 from foldsafe.errors import SchemaError
 from foldsafe.functions import text
 from foldsafe.operators import features, loo
+from foldsafe.operators.models import FEATURES, LABEL
 from foldsafe.operators.splits import FOLD
 from foldsafe.operators.stages import FeatureModel, NumericModel, TextFillModel
 from foldsafe.operators.threads import in_threads
 from foldsafe.sources.scratch import written
 
-FEATURES = "features"
 # A one-hot model keeps its level list and a coefficient per level on the driver.
 MOST_LEVELS = 1_000_000
 _MANY_LEVELS = 10_000
@@ -238,7 +238,7 @@ def build_pipeline(
 ) -> tuple[Pipeline, list[str], list[str]]:
     """Unfitted pipeline with its numeric and text columns; the target and id are never features."""
     cfg = cfg or FeaturesConfig()
-    exclude = [c for c in (target, id_col) if c]
+    exclude = [c for c in (target, id_col, LABEL) if c]
     numbers, texts = feature_columns(schema, cfg, exclude)
     stages: list[Estimator] = [Preprocessor(replace(cfg), exclude)]
     if model is not None:
