@@ -14,6 +14,9 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from foldsafe.errors import SchemaError
 
 CELL = "_cell"
 _CELLS_PER_TASK = 8
@@ -38,15 +41,34 @@ def hash_cell(key: Column, digits: int) -> Column:
     return F.substring(key, 1, digits)
 
 
-def ordinal(column: Column, data_type: str) -> Column:
-    """A double in the order of a number, date or time. Only cell edges use it, never the order."""
-    if data_type == "timestamp_ntz":
-        column = F.unix_micros(column.cast("timestamp"))
-    elif data_type == "timestamp":
-        column = F.unix_micros(column)
-    elif data_type == "date":
-        column = F.unix_date(column)
-    return column.cast("double")
+def _local_micros(moment: Column) -> Column:
+    """Microseconds of a time without zone. No session zone is involved: its summer-time shift would
+    put an hour of a year out of order."""
+    day = F.unix_date(moment.cast("date")).cast("bigint")
+    micros = (F.date_part(F.lit("SECOND"), moment) * 1_000_000).cast("bigint")
+    clock = (F.hour(moment) * 60 + F.minute(moment)).cast("bigint")
+    return (day * 1440 + clock) * 60_000_000 + micros
+
+
+def ordinal(column: Column, data_type: T.DataType) -> tuple[Column, Column]:
+    """A double in the order of a number, date or time, and whether it tells all values apart.
+
+    Only cells use it, never the fine order, so values may share a double.
+    """
+    if isinstance(data_type, T.TimestampNTZType):
+        whole = _local_micros(column)
+    elif isinstance(data_type, T.TimestampType):
+        whole = F.unix_micros(column)
+    elif isinstance(data_type, T.DateType):
+        whole = F.unix_date(column)
+    elif isinstance(data_type, T.IntegralType):
+        whole = column
+    elif isinstance(data_type, T.FractionalType):
+        exact = not isinstance(data_type, T.DecimalType)
+        return column.cast("double") + F.lit(0.0), F.lit(exact)
+    else:
+        raise SchemaError(f"rows can be ordered by a number, date or time, not {data_type.simpleString()}")
+    return whole.cast("double"), F.abs(whole.cast("double")) < 2.0**53
 
 
 @dataclass(frozen=True)
@@ -81,5 +103,6 @@ class NumericCells:
         """True where the key equals its cell's lower edge: the only values that can be hot."""
         if not self.edges:
             return F.lit(False)
-        edges = F.array(*[F.lit(e) for e in self.edges])
+        # Parsed as one text: thousands of literal objects would take longer than the job.
+        edges = F.expr(f"array({', '.join(f'{e!r}D' for e in self.edges)})")
         return F.coalesce(F.try_element_at(edges, F.nullif(F.col(cell), F.lit(0))) == key, F.lit(False))

@@ -39,10 +39,10 @@ def _with_keys(
         )
     # Many rows may share one time: such a value becomes a cell edge, and its rows are spread
     # over sub-cells by hash. Ties are therefore in hash order.
-    value = ordinal(F.col(order_col), dict(df.dtypes)[order_col])
+    value, exact = ordinal(F.col(order_col), df.schema[order_col].dataType)
     cells = NumericCells.learn(df, value)
     numbered = cells.add(df, value)
-    sub = F.when(cells.at_edge(value), hash_cell(mixed, digits)).otherwise(F.lit(_PAST_EDGE))
+    sub = F.when(exact & cells.at_edge(value), hash_cell(mixed, digits)).otherwise(F.lit(_PAST_EDGE))
     return numbered.withColumns(
         {
             _CLASS: group,

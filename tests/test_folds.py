@@ -124,6 +124,39 @@ def test_rank_has_no_gaps(rows):
         assert sorted(r["rank"] for r in got) == list(range(1003))
 
 
+def test_time_order_in_a_zone_with_summer_time(spark):
+    """The clock goes back in this zone on that day; a time without zone knows nothing of it."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.range(600).select(
+            F.col("id").alias("row_id"),
+            F.expr("timestamp_ntz'2023-11-05 00:00:00' + make_dt_interval(0, 0, 0, (id * 37 % 300) * 60 + id % 2 * 0.000001)").alias("t"),
+        )
+        rows = df.collect()
+        got = {r["row_id"]: r["rank"] for r in ranks.global_rank(df, "row_id", order_col="t").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    keys = {r["row_id"]: (r["t"], _md5(r["row_id"])) for r in rows}
+    assert got == {row: i for i, row in enumerate(sorted(keys, key=keys.get))}
+
+
+@pytest.mark.parametrize("kind", ["decimal(38,0)", "bigint", "double", "date"])
+def test_order_by_other_types(spark, kind):
+    big = (F.col("id") * 7919 % 500 + (0 if kind == "date" else 2**60)).cast("bigint")
+    value = F.date_add(F.lit("2020-01-01").cast("date"), big.cast("int")) if kind == "date" else big.cast(kind)
+    df = spark.range(500).select(F.col("id").alias("row_id"), value.alias("v"))
+    keys = {r["row_id"]: (r["v"], _md5(r["row_id"])) for r in df.collect()}
+    got = {r["row_id"]: r["rank"] for r in ranks.global_rank(df, "row_id", order_col="v").collect()}
+    assert got == {row: i for i, row in enumerate(sorted(keys, key=keys.get))}
+
+
+def test_text_gives_no_order(spark):
+    df = spark.range(3).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("t"))
+    with pytest.raises(SchemaError):
+        splits.timeseries(df, "row_id", "t", 2)
+
+
 def test_empty_table(spark):
     empty = spark.range(0).select(F.col("id").alias("row_id"), F.lit(1).alias("target"))
     assert splits.kfold(empty, "row_id", 3).count() == 0
