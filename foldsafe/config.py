@@ -17,6 +17,7 @@ class CVConfig:
     ``group_column`` is needed by the ``group`` scheme and ``time_column`` by ``timeseries``.
     """
 
+    # Setting names and defaults users already have in their configurations.
     scheme: str = "kfold"
     n_splits: int = 5
     shuffle: bool = True
@@ -52,6 +53,7 @@ class FeatureColumns:
 class FeaturesConfig:
     """Which features to add and how to impute, scale and encode."""
 
+    # Setting names and defaults users already have in their configurations.
     scale_numeric: bool = True
     encode_categorical: bool = True
     impute_numeric: str = "median"

@@ -157,11 +157,14 @@ def cross_fit(
     metric_name: str = "",
     run_id: str = "run",
     parallelism: int = 2,
+    partitions: int | None = None,
 ) -> Run:
     """Fit every model on every fold's training rows and score the rows it has not seen.
 
     Preprocessing is learnt for all folds in a few shared passes. ``parallelism`` folds are trained
-    at once; each holds one persisted copy of its training vectors.
+    at once; each holds one persisted copy of its training vectors. ``partitions`` deals the rows
+    out evenly first: worth one shuffle if the table comes in few or uneven files, because training
+    passes over it many times.
     """
     require_target(df, target)
     require_columns(df, [id_col], "training table")
@@ -176,7 +179,10 @@ def cross_fit(
 
     labelled = df.withColumn(models.LABEL, F.col(target).cast("double"))
     # Folds are a function of ids alone, so a lost executor re-computes the same rows.
-    folded = splits.assign(labelled, cv, id_col, target).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = splits.assign(labelled, cv, id_col, target)
+    if partitions is not None:
+        folded = folded.repartition(partitions, id_col)
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         exclude = [id_col, target, models.LABEL]
         preps = preprocess.learn(folded, features, cv.n_splits, cv.scheme, exclude)

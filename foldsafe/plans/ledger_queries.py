@@ -32,8 +32,8 @@ def ledger_append(spark, sf):
     entries = derived.ledger(spark, sf)
     path = scratch.new_path(spark, "ledger")
     recorded = ledger.record(entries, run_metrics(spark, sf))
-    ledger.append(recorded.filter("entry_id % 2 = 0"), path)
-    ledger.append(recorded.filter("entry_id % 2 = 1"), path)
+    ledger.append(recorded.filter("run_id IS NULL"), path)
+    ledger.append(recorded.filter("run_id IS NOT NULL"), path)
     return ledger.read(spark, path, "entry_id bigint").drop("competition", "models_cfg", "cv_cfg")
 
 

@@ -8,6 +8,7 @@ from foldsafe.functions import numeric
 from foldsafe.operators import ensemble, metrics, thresholds
 from foldsafe.plans.registry import query, rounded, with_tables
 from foldsafe.sources import derived
+from foldsafe.sources.tables import load
 
 
 def _r(expression: str) -> str:
@@ -55,16 +56,13 @@ def oof_label_join(spark, sf):
 
 @query(
     "oof_label_drift",
-    with_tables(
-        "run_oof",
-        "passengers",
-        then="""SELECT (SELECT count(*) FROM run_oof) AS oof_rows,
-        (SELECT count(*) FROM run_oof JOIN passengers USING (row_id) WHERE target = 1) AS joined_rows""",
-    ),
+    """SELECT (SELECT count(*) FROM documents) AS oof_rows,
+    (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS joined_rows""",
 )
 def oof_label_drift(spark, sf):
-    ones = derived.order_labels(spark, sf).filter("target = 1")
-    return metrics.alignment_drift(derived.run_oof(spark, sf), ones, "row_id", "target")
+    """Labels cover only some of the scored documents."""
+    scored = load(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("oof"))
+    return metrics.alignment_drift(scored, load(spark, sf, "labels"), "doc_id", "quality")
 
 
 @query(

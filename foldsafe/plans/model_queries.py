@@ -37,7 +37,12 @@ def _fit(df: DataFrame, cv: CVConfig, features: FeaturesConfig, *specs: ModelSpe
         cv,
         features,
         specs,
-        **{"id_col": "row_id", "target": "target", "parallelism": cv.n_splits, **extra},
+        **{
+            "id_col": "row_id",
+            "target": "target",
+            "parallelism": cv.n_splits,
+            **extra,
+        },
     )
 
 

@@ -45,15 +45,15 @@ def csv_roundtrip(spark, sf):
     "csv_append",
     with_tables(
         "ledger",
-        then="""SELECT entry_id, file, CASE WHEN entry_id % 2 = 0 THEN cv_model END AS cv_model FROM ledger""",
+        then="""SELECT entry_id, file, CASE WHEN threshold IS NOT NULL THEN cv_model END AS cv_model FROM ledger""",
     ),
 )
 def csv_append(spark, sf):
     # The older rows lack a column that the newer ones have.
     ledger = derived.ledger(spark, sf)
     old_path, new_path = scratch.new_path(spark, "old"), scratch.new_path(spark, "new")
-    csv.write(ledger.filter("entry_id % 2 = 1").select("entry_id", "file"), old_path)
-    new = ledger.filter("entry_id % 2 = 0").select("entry_id", "file", "cv_model")
+    csv.write(ledger.filter("threshold IS NULL").select("entry_id", "file"), old_path)
+    new = ledger.filter("threshold IS NOT NULL").select("entry_id", "file", "cv_model")
     return csv.append(new, old_path, new_path)
 
 

@@ -203,6 +203,19 @@ def test_engineered_features_in_a_pipeline(spark):
     assert first == [1.0, 1.0, 0.0, 3.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
 
+def test_count_tables_are_saved_with_the_stage(spark, tmp_path):
+    rows = [(i, f"Doe, {'Mr' if i % 3 else 'Dr'}. X", f"t{i % 4}") for i in range(12)]
+    df = spark.createDataFrame(rows, "row_id long, Name string, Ticket string")
+    cfg = FeaturesConfig(add_title=True, add_ticket_group_size=True, rare_title_threshold=5, drop_cols=("Name", "Ticket"))
+    prep = preprocess.learn(df.withColumn("fold", F.lit(-1)), cfg, 1, "kfold", ["row_id"])[0]
+    prep.save(str(tmp_path / "prep"))
+    loaded = PipelineModel.load(str(tmp_path / "prep"))
+    new = df.unionByName(spark.createDataFrame([(99, "no comma", "unseen")], df.schema))
+    want = {r["row_id"]: r["features"] for r in prep.transform(new).collect()}
+    assert {r["row_id"]: r["features"] for r in loaded.transform(new).collect()} == want
+    assert list(want[99]) == [(1 - 3) / 1.0, 0.0, 0.0]
+
+
 def test_text_can_be_left_out(table):
     numbers, texts = preprocess.feature_columns(
         table.schema, FeaturesConfig(encode_categorical=False), ["row_id", "y"]
