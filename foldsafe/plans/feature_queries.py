@@ -8,7 +8,7 @@ from foldsafe.config import FeaturesConfig
 from foldsafe.functions import numeric, text
 from foldsafe.operators import features, loo, splits
 from foldsafe.plans.profile_queries import _DECK_SQL, _FAMILY_SQL, _TITLE_SQL
-from foldsafe.plans.registry import FOLDED, FOLDS, HOLDOUTS, SEED, query, rounded, with_tables
+from foldsafe.plans.registry import FOLDED, FOLDS, HOLDOUTS, SEED, query, rounded, sql_round, with_tables
 from foldsafe.sources import derived
 from foldsafe.sources.scratch import written
 
@@ -29,10 +29,6 @@ _NUMBERS = ["age", "fare", "parch", "pclass", "sibsp"]
 _TEXTS = ["embarked", "sex"]
 
 
-def _r(expression: str, places: int = 6) -> str:
-    return f"round({expression}, {places}) + 0.0"
-
-
 def folded(spark, sf, *columns):
     """Passengers with folds, assigned once and stored: what is learnt reads them several times."""
     rows = derived.passengers(spark, sf)
@@ -107,7 +103,7 @@ def deck_feature(spark, sf):
 
 @query(
     "log_fare",
-    with_tables("passengers", then=f"SELECT row_id, {_r('ln(1 + fare)')} AS log_fare FROM passengers"),
+    with_tables("passengers", then=f"SELECT row_id, {sql_round('ln(1 + fare)')} AS log_fare FROM passengers"),
 )
 def log_fare(spark, sf):
     df = derived.passengers(spark, sf)
@@ -173,7 +169,7 @@ def title_rare(spark, sf):
         CAST({_FAMILY_SQL} = 1 AS INT) AS is_alone,
         CASE WHEN titles.n < {_RARE_BELOW} THEN 'Rare' ELSE t.raw_title END AS title,
         {_DECK_SQL} AS deck, CAST(coalesce(sizes.n, 1) AS INT) AS ticket_group_size,
-        {_r('ln(1 + fare)')} AS log_fare, {_AGE_BIN} AS age_bin
+        {sql_round('ln(1 + fare)')} AS log_fare, {_AGE_BIN} AS age_bin
         FROM titled t
         LEFT JOIN sizes ON sizes.holdout = t.fold AND sizes.ticket = t.ticket
         LEFT JOIN titles ON titles.holdout = t.fold AND titles.raw_title = t.raw_title""",
@@ -217,7 +213,7 @@ _MEDIAN = "quantile_cont(x, 0.5)"
     with_tables(
         "passengers",
         extra=_stats_cte(_MEDIAN),
-        then=f"""SELECT holdout, "column", rows, n, {_r('fill', 4)} AS fill FROM stats""",
+        then=f"""SELECT holdout, "column", rows, n, {sql_round('fill', 4)} AS fill FROM stats""",
     ),
 )
 def loo_impute_stats(spark, sf):
@@ -230,7 +226,7 @@ def loo_impute_stats(spark, sf):
     with_tables(
         "passengers",
         extra=_stats_cte("avg(x)"),
-        then=f"""SELECT holdout, "column", {_r('fill', 4)} AS fill, {_r('mean', 4)} AS mean, {_r('sd', 4)} AS sd FROM stats""",
+        then=f"""SELECT holdout, "column", {sql_round('fill', 4)} AS fill, {sql_round('mean', 4)} AS mean, {sql_round('sd', 4)} AS sd FROM stats""",
     ),
 )
 def loo_impute_mean(spark, sf):
@@ -262,7 +258,7 @@ def loo_impute_mode(spark, sf):
     with_tables(
         "passengers",
         extra=_stats_cte(_MEDIAN),
-        then=f"""SELECT holdout, "column", {_r('mean', 4)} AS mean, {_r('sd', 4)} AS sd FROM stats""",
+        then=f"""SELECT holdout, "column", {sql_round('mean', 4)} AS mean, {sql_round('sd', 4)} AS sd FROM stats""",
     ),
 )
 def loo_scale_stats(spark, sf):
@@ -277,7 +273,7 @@ def loo_scale_stats(spark, sf):
         extra=_stats_cte(_MEDIAN),
         then="SELECT row_id, fold, "
         + ", ".join(
-            _r(f"""(coalesce({c}, max(fill) FILTER (WHERE "column" = '{c}'))
+            sql_round(f"""(coalesce({c}, max(fill) FILTER (WHERE "column" = '{c}'))
               - max(mean) FILTER (WHERE "column" = '{c}')) / max(sd) FILTER (WHERE "column" = '{c}')""")
             + f" AS {c}"
             for c in _NUMBERS

@@ -6,15 +6,11 @@ from pyspark.sql import functions as F
 
 from foldsafe.functions import snapshot
 from foldsafe.operators import ledger
-from foldsafe.plans.registry import query, rounded, with_tables
+from foldsafe.plans.registry import query, rounded, sql_round, with_tables
 from foldsafe.plans.source_queries import _METRICS, run_metrics
 from foldsafe.sources import derived, scratch
 
 
-def _r(expression: str, places: int = 6) -> str:
-    return f"round({expression}, {places}) + 0.0"
-
-
 @query(
     "ledger_append",
     with_tables(
@@ -104,8 +100,8 @@ def _stored_report(spark, sf):
     with_tables(
         *_TABLES,
         extra=_REPORT,
-        then=f"""SELECT entry_id, file, run_id, threshold, {_r('oof_accuracy')} AS oof_accuracy,
-        {_r('pred_pos_rate')} AS pred_pos_rate, model, cv_metric, cv_score_mean, cv_score_std
+        then=f"""SELECT entry_id, file, run_id, threshold, {sql_round('oof_accuracy')} AS oof_accuracy,
+        {sql_round('pred_pos_rate')} AS pred_pos_rate, model, cv_metric, cv_score_mean, cv_score_std
         FROM report""",
     ),
 )
@@ -148,7 +144,7 @@ last AS (SELECT file, features_cfg, models_cfg, cv_cfg FROM (
         extra=_TOP,
         then=f"""SELECT ranking, CAST(rank AS INT) AS rank, r."timestamp", file, r.run_id,
         coalesce(nullif(model, ''), nullif(cv_model, '')) AS model, r.threshold,
-        round_even(pred_pos_rate, 3) AS pred_pos_rate, oof_auc_mean, {_r('oof_accuracy')} AS oof_accuracy,
+        round_even(pred_pos_rate, 3) AS pred_pos_rate, oof_auc_mean, {sql_round('oof_accuracy')} AS oof_accuracy,
         leaderboard_score,
         CASE WHEN json_valid(l.models_cfg) THEN json_extract_string(l.models_cfg, '$[0].name') END
           AS models_cfg_first,

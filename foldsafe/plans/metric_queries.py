@@ -6,15 +6,11 @@ from pyspark.sql import functions as F
 
 from foldsafe.functions import numeric
 from foldsafe.operators import ensemble, metrics, thresholds
-from foldsafe.plans.registry import query, rounded, with_tables
+from foldsafe.plans.registry import query, rounded, sql_round, with_tables
 from foldsafe.sources import derived
 from foldsafe.sources.tables import load
 
 
-def _r(expression: str) -> str:
-    return f"round({expression}, 6) + 0.0"
-
-
 @query(
     "apply_threshold",
     with_tables(
@@ -30,7 +26,7 @@ def apply_threshold(spark, sf):
 @query(
     "sigmoid_score",
     with_tables(
-        "scores", then=f"SELECT row_id, {_r('1 / (1 + exp(-(a - b) * 4))')} AS p FROM scores"
+        "scores", then=f"SELECT row_id, {sql_round('1 / (1 + exp(-(a - b) * 4))')} AS p FROM scores"
     ),
 )
 def sigmoid_score(spark, sf):
@@ -70,7 +66,7 @@ def oof_label_drift(spark, sf):
     with_tables(
         "scores",
         "long_scores",
-        then=f"""SELECT source, fold, {_r('sqrt(avg((target - p) * (target - p)))')} AS rmse
+        then=f"""SELECT source, fold, {sql_round('sqrt(avg((target - p) * (target - p)))')} AS rmse
         FROM long_scores GROUP BY source, fold""",
     ),
 )
@@ -94,7 +90,7 @@ areas AS (
 @query(
     "metric_auc",
     with_tables(
-        "scores", "long_scores", extra=_AUC, then=f"SELECT source, fold, {_r('auc')} AS auc FROM areas"
+        "scores", "long_scores", extra=_AUC, then=f"SELECT source, fold, {sql_round('auc')} AS auc FROM areas"
     ),
 )
 def metric_auc(spark, sf):
@@ -107,7 +103,7 @@ def metric_auc(spark, sf):
         "run_oof",
         "passengers",
         then=f"""SELECT run_id, 'accuracy' AS metric,
-        {_r('avg(CAST(CAST(oof >= 0.5 AS INT) = target AS INT))')} AS value, count(*) AS n
+        {sql_round('avg(CAST(CAST(oof >= 0.5 AS INT) = target AS INT))')} AS value, count(*) AS n
         FROM run_oof JOIN passengers USING (row_id) GROUP BY run_id""",
     ),
 )
@@ -130,8 +126,8 @@ def _fold_scores(spark, sf):
         "long_scores",
         extra=_AUC,
         then=f"""SELECT source AS model, CAST(count(*) AS INT) AS folds,
-        {_r('max_by(auc, fold)')} AS last_score, {_r('avg(auc)')} AS score_mean,
-        {_r('stddev_pop(auc)')} AS score_std FROM areas GROUP BY source""",
+        {sql_round('max_by(auc, fold)')} AS last_score, {sql_round('avg(auc)')} AS score_mean,
+        {sql_round('stddev_pop(auc)')} AS score_std FROM areas GROUP BY source""",
     ),
 )
 def cv_summary(spark, sf):
@@ -151,7 +147,7 @@ def cv_summary(spark, sf):
         "scores",
         "long_scores",
         extra=_AUC,
-        then=f"""SELECT source AS model, {_r('avg(auc)')} AS score_mean FROM areas
+        then=f"""SELECT source AS model, {sql_round('avg(auc)')} AS score_mean FROM areas
         GROUP BY source ORDER BY avg(auc) DESC, source LIMIT 1""",
     ),
 )
@@ -174,7 +170,7 @@ swept AS (
     with_tables(
         "passengers",
         extra=_SWEEP,
-        then=f"SELECT place, {_r('threshold')} AS threshold, {_r('accuracy')} AS accuracy FROM swept",
+        then=f"SELECT place, {sql_round('threshold')} AS threshold, {sql_round('accuracy')} AS accuracy FROM swept",
     ),
 )
 def threshold_sweep(spark, sf):
@@ -187,7 +183,7 @@ def threshold_sweep(spark, sf):
     with_tables(
         "passengers",
         extra=_SWEEP,
-        then=f"""SELECT {_r('threshold')} AS best_threshold, {_r('accuracy')} AS accuracy
+        then=f"""SELECT {sql_round('threshold')} AS best_threshold, {sql_round('accuracy')} AS accuracy
         FROM swept ORDER BY swept.accuracy DESC, swept.threshold LIMIT 1""",
     ),
 )
@@ -199,7 +195,7 @@ def best_threshold(spark, sf):
 @query(
     "ensemble_mean",
     with_tables(
-        "scores", then=f"SELECT row_id, {_r('(a + b + c + d) / 4')} AS p FROM scores"
+        "scores", then=f"SELECT row_id, {sql_round('(a + b + c + d) / 4')} AS p FROM scores"
     ),
 )
 def ensemble_mean(spark, sf):
@@ -209,7 +205,7 @@ def ensemble_mean(spark, sf):
 @query(
     "ensemble_weighted",
     with_tables(
-        "scores", then=f"SELECT row_id, {_r('(a + 2 * b + c + 4 * d) / 8')} AS p FROM scores"
+        "scores", then=f"SELECT row_id, {sql_round('(a + 2 * b + c + 4 * d) / 8')} AS p FROM scores"
     ),
 )
 def ensemble_weighted(spark, sf):
@@ -235,7 +231,7 @@ def vote_ensemble(spark, sf):
     with_tables(
         "scores",
         "passengers",
-        then=f"""SELECT row_id, {_r('(a + b + c + d) / 4')} AS p, p.target
+        then=f"""SELECT row_id, {sql_round('(a + b + c + d) / 4')} AS p, p.target
         FROM scores s JOIN passengers p USING (row_id)""",
     ),
 )
@@ -263,7 +259,7 @@ def _cut(spark, sf):
     with_tables(
         "scores",
         extra=_CUT,
-        then=f"""SELECT n, {_r('prevalence')} AS prevalence, k, {_r('p')} AS threshold
+        then=f"""SELECT n, {sql_round('prevalence')} AS prevalence, k, {sql_round('p')} AS threshold
         FROM counted JOIN falling ON place = k""",
     ),
 )

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from foldsafe.config import CVConfig, FeaturesConfig, ModelSpec
 from foldsafe.operators import ensemble, metrics, preprocess, scoring, thresholds, training
-from foldsafe.plans.feature_queries import CONFIG, _stats_cte, _MEDIAN, _r, folded
-from foldsafe.plans.registry import FOLDS, query, rounded, with_tables
+from foldsafe.plans.feature_queries import _MEDIAN, CONFIG, _stats_cte, folded
+from foldsafe.plans.registry import FOLDS, query, rounded, sql_round, with_tables
 from foldsafe.sources import derived, scratch
 
 _INPUTS = ["row_id", "target", "pclass", "sex", "age", "sibsp", "parch", "fare", "embarked"]
@@ -173,7 +173,7 @@ hots AS (
   LEFT JOIN seen s ON s.holdout = l.fold AND s.c = l.c AND s.level = coalesce(l.level, f.level) GROUP BY 1),
 sizes AS (SELECT holdout, CAST(count(*) + {len(_NUMBERS)} AS INT) AS slots FROM seen GROUP BY 1),
 scaled AS (SELECT row_id, fold, """ + ", ".join(
-    _r(f"""(coalesce({c}, max(fill) FILTER (WHERE "column" = '{c}'))
+    sql_round(f"""(coalesce({c}, max(fill) FILTER (WHERE "column" = '{c}'))
     - max(mean) FILTER (WHERE "column" = '{c}')) / max(sd) FILTER (WHERE "column" = '{c}')""")
     + f" AS {c}"
     for c in _NUMBERS

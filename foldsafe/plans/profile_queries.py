@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldsafe.functions import numeric, text
 from foldsafe.operators import contracts, profile, ranks
-from foldsafe.plans.registry import query, rounded, with_tables
+from foldsafe.plans.registry import query, rounded, sql_round, with_tables
 from foldsafe.sources import derived
 
 _NUMBERS = ["row_id", "target", "pclass", "age", "sibsp", "parch", "fare", "group_key", "score"]
@@ -14,22 +14,18 @@ _TEXTS = ["sex", "full_name", "ticket", "cabin", "embarked", "event_time"]
 _IN_ORDER = list(derived.PASSENGERS)
 
 
-def _r(expression: str, places: int = 6) -> str:
-    return f"round({expression}, {places}) + 0.0"
-
-
 def _describe_sql() -> str:
     parts = []
     for c in _NUMBERS:
         quarters = ", ".join(
-            f"{_r(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75)
+            f"{sql_round(f'quantile_cont(CAST({c} AS DOUBLE), {p})')} AS q{int(p * 100)}" for p in (0.25, 0.5, 0.75)
         )
         parts.append(
             f"""SELECT '{c}' AS "column", count({c}) AS "count", CAST(NULL AS BIGINT) AS "unique",
             CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq,
-            {_r(f'avg({c})', 4)} AS mean, {_r(f'stddev_samp({c})', 4)} AS std,
-            {_r(f'CAST(min({c}) AS DOUBLE)')} AS "min", {quarters},
-            {_r(f'CAST(max({c}) AS DOUBLE)')} AS "max" FROM passengers"""
+            {sql_round(f'avg({c})', 4)} AS mean, {sql_round(f'stddev_samp({c})', 4)} AS std,
+            {sql_round(f'CAST(min({c}) AS DOUBLE)')} AS "min", {quarters},
+            {sql_round(f'CAST(max({c}) AS DOUBLE)')} AS "max" FROM passengers"""
         )
     nothing = ", ".join(
         f'CAST(NULL AS DOUBLE) AS "{c}"' for c in ("mean", "std", "min", "q25", "q50", "q75", "max")
@@ -96,7 +92,7 @@ def embarked_distribution(spark, sf):
 def _rate_sql(key: str, name: str = "value", source: str = "passengers") -> str:
     return with_tables(
         "passengers",
-        then=f"""SELECT {name}, {_r('avg(target)')} AS rate, count(target) AS "count"
+        then=f"""SELECT {name}, {sql_round('avg(target)')} AS rate, count(target) AS "count"
         FROM (SELECT {key} AS {name}, target FROM {source}) WHERE {name} IS NOT NULL GROUP BY {name}""",
     )
 
@@ -141,7 +137,7 @@ for _name, (_key, _sql) in _RATES.items():
     "group_rate_ticket_size",
     with_tables(
         "passengers",
-        then=f"""SELECT size AS value, {_r('avg(target)')} AS rate, count(target) AS "count"
+        then=f"""SELECT size AS value, {sql_round('avg(target)')} AS rate, count(target) AS "count"
         FROM passengers JOIN (SELECT ticket, count(*) AS size FROM passengers GROUP BY ticket) USING (ticket)
         GROUP BY size""",
     ),
@@ -167,7 +163,7 @@ def group_rate_ticket_size(spark, sf):
     with_tables(
         "passengers",
         then=" UNION ALL ".join(
-            f"""SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, {_r('avg(target)')} AS rate,
+            f"""SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value, {sql_round('avg(target)')} AS rate,
             count(target) AS "count" FROM passengers WHERE {c} IS NOT NULL GROUP BY {c}"""
             for c in ("sex", "pclass", "embarked", "sibsp")
         ),
@@ -189,7 +185,7 @@ _BINS_CLOSED = "CASE " + " ".join(
     "age_bin_rate",
     with_tables(
         "passengers",
-        then=f"""SELECT CAST(place AS INT) AS place, bin, {_r('rate')} AS rate
+        then=f"""SELECT CAST(place AS INT) AS place, bin, {sql_round('rate')} AS rate
         FROM (VALUES {', '.join(f"({i}, '{b}')" for i, b in enumerate(
             ['(-0.001, 5.0]', '(5.0, 12.0]', '(12.0, 18.0]', '(18.0, 30.0]', '(30.0, 45.0]', '(45.0, 60.0]', '(60.0, 80.0]']
         ))}) AS bins(place, bin)
@@ -204,8 +200,8 @@ def age_bin_rate(spark, sf):
     "pivot_rate",
     with_tables(
         "passengers",
-        then=f"""SELECT pclass, {_r("avg(CASE WHEN sex = 'female' THEN target END)")} AS female,
-        {_r("avg(CASE WHEN sex = 'male' THEN target END)")} AS male FROM passengers GROUP BY pclass""",
+        then=f"""SELECT pclass, {sql_round("avg(CASE WHEN sex = 'female' THEN target END)")} AS female,
+        {sql_round("avg(CASE WHEN sex = 'male' THEN target END)")} AS male FROM passengers GROUP BY pclass""",
     ),
 )
 def pivot_rate(spark, sf):
@@ -222,7 +218,7 @@ _CORR = ["target", "age", "fare", "sibsp", "parch"]
         "passengers",
         then=" UNION ALL ".join(
             f"SELECT '{a}' AS column_a, '{b}' AS column_b, "
-            f"{_r(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS corr FROM passengers"
+            f"{sql_round(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS corr FROM passengers"
             for a in _CORR
             for b in _CORR
         ),
@@ -236,7 +232,7 @@ def corr_matrix(spark, sf):
     "prevalence",
     with_tables(
         "passengers",
-        then=f"SELECT {_r('avg(target)')} AS prevalence, count(target) AS n FROM passengers",
+        then=f"SELECT {sql_round('avg(target)')} AS prevalence, count(target) AS n FROM passengers",
     ),
 )
 def prevalence(spark, sf):
@@ -247,7 +243,7 @@ def prevalence(spark, sf):
     "positive_rate",
     with_tables(
         "submissions",
-        then=f"SELECT file, {_r('avg(CAST(label = 1 AS INT))')} AS pred_pos_rate FROM submissions GROUP BY file",
+        then=f"SELECT file, {sql_round('avg(CAST(label = 1 AS INT))')} AS pred_pos_rate FROM submissions GROUP BY file",
     ),
 )
 def positive_rate(spark, sf):
@@ -299,8 +295,8 @@ def role_split(spark, sf):
         FROM passengers),
         counts AS (SELECT CAST(least(20, floor((fare - low) / w) + 1) AS INT) AS bin, count(*) AS n
         FROM passengers, ends WHERE fare IS NOT NULL GROUP BY 1)""",
-        then=f"""SELECT CAST(r.range AS INT) AS bin, {_r('low + (r.range - 1) * w')} AS low,
-        {_r('low + r.range * w')} AS high, coalesce(n, 0) AS "count"
+        then=f"""SELECT CAST(r.range AS INT) AS bin, {sql_round('low + (r.range - 1) * w')} AS low,
+        {sql_round('low + r.range * w')} AS high, coalesce(n, 0) AS "count"
         FROM range(1, 21) r CROSS JOIN ends LEFT JOIN counts ON counts.bin = r.range""",
     ),
 )

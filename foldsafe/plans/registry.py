@@ -44,12 +44,23 @@ def with_tables(*names: str, then: str, extra: str = "") -> str:
     return "WITH " + ",\n".join(parts) + "\n" + then.strip()
 
 
+def _nudge(places: int) -> float:
+    """Moves exact ties (means of cents end in 5) off the edge, where engines may differ."""
+    return 10.0 ** -(places + 3)
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    """Round the named doubles, with no negative zero, as the check SQL does."""
-    made: dict[str, Column] = {c: F.round(F.col(c), places) + F.lit(0.0) for c in columns}
+    """Round the named doubles, with no negative zero, as `sql_round` does."""
+    made: dict[str, Column] = {
+        c: F.round(F.col(c) + F.lit(_nudge(places)), places) + F.lit(0.0) for c in columns
+    }
     return df.withColumns(made)
 
 
+def sql_round(expression: str, places: int = 6) -> str:
+    return f"round({expression} + CAST({_nudge(places)!r} AS DOUBLE), {places}) + 0.0"
+
+
 # Stratified folds of the passengers by plain ranking: the check engine's version of the splitter.
 FOLDED = f"""
 ordered AS (

@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldsafe.functions import snapshot
-from foldsafe.plans.registry import query, rounded, with_tables
+from foldsafe.plans.registry import query, rounded, sql_round, with_tables
 from foldsafe.sources import csv, derived, runs, scratch
 from foldsafe.sources.tables import load
 
 
-def _r(expression: str) -> str:
-    return f"round({expression}, 6) + 0.0"
-
-
 @query(
     "csv_roundtrip",
     with_tables(
@@ -106,7 +102,7 @@ def run_metrics(spark, sf):
     with_tables(
         "runs",
         extra=_METRICS,
-        then=f"""SELECT r.run_id, s.model, s.metric, s.direction, {_r('s.first_score')} AS first_score,
+        then=f"""SELECT r.run_id, s.model, s.metric, s.direction, {sql_round('s.first_score')} AS first_score,
         s.score_mean, s.score_std, e.oof_accuracy
         FROM runs r LEFT JOIN summaries s USING (run_id) LEFT JOIN evals e USING (run_id)""",
     ),
