@@ -40,15 +40,17 @@ def lookup(
     hot = table.filter(is_hot).select(
         F.col(table_key).alias("_hot_key"), *[F.col(v).alias(f"_hot_{v}") for v in values]
     )
+    # Marks keep real keys and made-up ones apart.
     cold = table.filter(~is_hot).select(
-        F.col(table_key).alias("_cold_key"), *[F.col(v).alias(f"_cold_{v}") for v in values]
+        F.concat(F.lit("="), F.col(table_key)).alias("_cold_key"), *[F.col(v).alias(f"_cold_{v}") for v in values]
     )
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    made_up = F.concat(F.lit("~"), row_hash.cast("string"))
     columns = df.columns
     keyed = df.withColumn(_KEY, key.cast("string"))
     # At most 1000 rows are broadcast, by the definition of hot.
     known = keyed.join(F.broadcast(hot), F.col(_KEY) == F.col("_hot_key"), "left")
-    apart = F.when(F.col("_hot_key").isNotNull(), spread).otherwise(F.col(_KEY))
+    apart = F.when(F.col("_hot_key").isNotNull(), made_up).otherwise(F.concat(F.lit("="), F.col(_KEY)))
     joined = known.withColumn(_KEY, apart).join(cold, F.col(_KEY) == F.col("_cold_key"), "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in columns],
