@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -240,7 +239,7 @@ def build_pipeline(
     cfg = cfg or FeaturesConfig()
     exclude = [c for c in (target, id_col, LABEL) if c]
     numbers, texts = feature_columns(schema, cfg, exclude)
-    stages: list[Estimator] = [Preprocessor(replace(cfg), exclude)]
+    stages: list[Estimator] = [Preprocessor(cfg, exclude)]
     if model is not None:
         stages.append(model)
     return Pipeline(stages=stages), numbers, texts
