@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsafe.llm import mixing, packing, quality, tokens
+from foldsafe.llm import chat, mixing, packing, pii, quality, tokens
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
 from foldsafe.sources.tables import load
 
 TOKENIZER = "byte_bpe_50k.json"
+PII_KEY = "example-key"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -27,6 +28,15 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_pii")
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """The key is an example; a deployment passes its own secret."""
+    changed = pii.pseudonymise(load(spark, folder, "documents").select("doc_id", "text"), PII_KEY)
+    gone = [F.size(F.array_remove("pii_kinds", kind)) for kind in pii.KINDS]
+    kinds = [(F.size("pii_kinds") - g).cast("long").alias(f"n_{k}") for g, k in zip(gone, pii.KINDS)]
+    return changed.select("doc_id", "text", *kinds)
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Starts from an empty cache of its own, so that each run counts everything."""
@@ -34,6 +44,40 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(load(spark, folder, "documents"), tokenizer_path(), cache)
 
 
+_CHAT_SQL = """
+WITH turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST) AS pos
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+),
+shown AS (
+  SELECT conv_id, turn // 256 AS block, pos,
+         '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS said,
+         md5(coalesce('v' || role, 'n') || chr(1) || coalesce('v' || text, 'n')) AS h
+  FROM turns
+),
+runs AS (
+  SELECT *, md5(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS upto,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM shown
+),
+ends AS (
+  SELECT upto, min(conv_id) AS conv_id, count(*) AS n_copies FROM runs WHERE pos = n_turns GROUP BY upto
+),
+kept AS (
+  SELECT * FROM ends WHERE upto NOT IN (SELECT upto FROM runs WHERE pos < n_turns)
+)
+SELECT r.conv_id, CAST(dense_rank() OVER (PARTITION BY r.conv_id ORDER BY block) - 1 AS INT) AS segment,
+       min(pos) AS first_turn, any_value(n_turns) AS n_turns, any_value(n_copies) AS n_copies,
+       string_agg(said, '' ORDER BY pos) AS text
+FROM runs r JOIN kept k USING (conv_id) GROUP BY r.conv_id, block
+"""
+
+
+@query("op5_chat_formatting", sql=_CHAT_SQL)
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.render(load(spark, folder, "conversations"))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.clean_lines(load(spark, folder, "documents").select("doc_id", "text"))
