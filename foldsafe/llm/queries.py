@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsafe.llm import chat, mixing, packing, pii, quality, tokens
+from foldsafe.llm import chat, language, mixing, packing, pii, quality, tokens
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
 from foldsafe.sources.tables import load
@@ -20,6 +20,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    apart = language.held_out()
+    found = language.learn(docs.where(~apart))
+    return language.predict(docs, found, [F.col("doc_id"), apart.alias("held_out")])
+
+
 @query("op2_packing")
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(load(spark, folder, "documents"), tokenizer_path())
