@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsafe.llm import chat, language, mixing, packing, pii, quality, tokens
+from foldsafe.llm import chat, language, mixing, packing, pii, quality, search, tokens
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
 from foldsafe.sources.tables import load
@@ -86,6 +86,28 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(load(spark, folder, "conversations"))
 
 
+_SEARCH_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(
+           CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+"""
+
+
+@query("op7_topk_search", sql=_SEARCH_SQL)
+def op7_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.clean_lines(load(spark, folder, "documents").select("doc_id", "text"))
