@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsafe.llm import chat, language, mixing, packing, pii, quality, search, tokens
+from foldsafe.llm import chat, language, mixing, ngram_lm, packing, pii, quality, search, tokens
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
 from foldsafe.sources.tables import load
@@ -108,6 +108,14 @@ def op7_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.nearest(load(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = load(spark, folder, "documents")
+    apart = language.held_out(folds=10, fold=0)
+    model = ngram_lm.learn(docs.where(~apart))
+    return ngram_lm.score(docs, model, [F.col("doc_id"), apart.alias("held_out")])
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.clean_lines(load(spark, folder, "documents").select("doc_id", "text"))
