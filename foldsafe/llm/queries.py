@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsafe.llm import chat, language, mixing, ngram_lm, packing, pii, quality, search, tokens
+from foldsafe.llm import chat, jaccard, language, mixing, ngram_lm, packing, pii, quality, search, tokens
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
 from foldsafe.sources.tables import load
@@ -86,6 +86,12 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.render(load(spark, folder, "conversations"))
 
 
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.join(load(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 _SEARCH_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
