@@ -25,7 +25,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,7 @@ class Model:
     tokens: int
     texts: int
     pair_shards: int = 1
+    stats_width: int = STATS_PER_SHARD  # words per file of word statistics
     pair_discounts: list[float] = field(default_factory=list)
     word_discounts: list[float] = field(default_factory=list)
     distinct_pairs: int = 0
@@ -205,7 +206,10 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     blocks = _count_blocks(rows, word_shards, lambda: lambda t: tokens(t)[0], lambda k: _shard_of(k, word_shards))
     found = blocks.groupBy("shard").applyInArrow(_word_task(folder), "shard long, words long, tokens long").collect()
     per_shard = {r["shard"]: r["words"] for r in found}
-    model = Model(folder, [per_shard.get(s, 0) for s in range(word_shards)], sum(r["tokens"] for r in found), texts)
+    model = Model(
+        folder, [per_shard.get(s, 0) for s in range(word_shards)], sum(r["tokens"] for r in found), texts,
+        stats_width=STATS_PER_SHARD,
+    )
     if model.words >= _MOST_WORDS:
         raise SchemaError("more distinct words than 32-bit numbers")
     return _learn_pairs(rows, model, -(-(size + 1) // PAIR_SHARD_BYTES)) if model.words else model
@@ -294,9 +298,9 @@ def _learn_pairs(rows: DataFrame, model: Model, shards: int) -> Model:
             sums += values
     by_word = discounts(sums[:4])
     taken = by_word[1] * sums[0] + by_word[2] * sums[1] + by_word[3] * (sums[4] - sums[0] - sums[1])
-    return Model(
-        model.folder, model.word_counts, model.tokens, model.texts, shards, discounts(pairs[:4]), by_word,
-        int(pairs[4]), float(taken) / float(pairs[4]),
+    return replace(
+        model, pair_shards=shards, pair_discounts=discounts(pairs[:4]), word_discounts=by_word,
+        distinct_pairs=int(pairs[4]), word_free=float(taken) / float(pairs[4]),
     )
 
 
@@ -329,12 +333,12 @@ def _pair_task(model: Model):
         values[0, len(heads):] = follows
         order = np.argsort(words, kind="stable")
         words, values = words[order], values[:, order]
-        cut = np.searchsorted(words, np.arange(0, model.words + 1 + STATS_PER_SHARD, STATS_PER_SHARD))
+        cut = np.searchsorted(words, np.arange(0, model.words + 1 + model.stats_width, model.stats_width))
         out = {"range": [-1], "sums": [_count_of_counts(counts).tobytes()]}
         for r in np.flatnonzero(np.diff(cut)).tolist():
             own = slice(cut[r], cut[r + 1])
             out["range"].append(r)
-            out["sums"].append(_pack_stats(words[own] - r * STATS_PER_SHARD, values[:, own]))
+            out["sums"].append(_pack_stats(words[own] - r * model.stats_width, values[:, own]))
         return pa.table([pa.array(out["range"], pa.int64()), pa.array(out["sums"], pa.binary())], names=["range", "sums"])
 
     return task
@@ -374,7 +378,7 @@ def _stats_task(model: Model):
         if number < 0:
             total = np.sum([np.frombuffer(b, "<i8") for b in blobs], axis=0)
         else:
-            width = min(STATS_PER_SHARD, model.words + 1 - number * STATS_PER_SHARD)
+            width = min(model.stats_width, model.words + 1 - number * model.stats_width)
             sums = np.zeros((4, width), np.int64)
             for b in blobs:
                 words, values = _unpack_stats(b)
@@ -393,8 +397,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.words = model, Words(model)
-        ranges = range(-(-(model.words + 1) // STATS_PER_SHARD))
-        self.edges = np.minimum(np.arange(len(ranges) + 1) * STATS_PER_SHARD, model.words + 1)
+        ranges = range(-(-(model.words + 1) // model.stats_width))
+        self.edges = np.minimum(np.arange(len(ranges) + 1) * model.stats_width, model.words + 1)
         self.stats = {n: [_mapped(model.folder, f"{n}-{r}", "<u4") for r in ranges] for n in STATS}
         names = ("pairs", "small", "bigkeys", "big")
         kinds = ("<u8", np.uint8, "<u8", "<i8")

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldsafe.llm.frames import free_name
+
 ROUNDS = 10
 KINDS = ("email", "ipv4", "date", "ssn", "phone", "card")
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
@@ -235,18 +237,16 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The rows with personal data in `text` replaced, and `pii_kinds`: the kind of every value replaced, in order."""
     columns = [c for c in df.columns if c != "pii_kinds"]
     value = F.col(f"`{text}`")
+    name = free_name(df, "_pii_found")
     has = F.rlike(value, F.lit("[0-9@]"))
     found = F.transform(F.regexp_extract_all(value, F.lit(PATTERN), F.lit(0)), lambda m: _pseudonym(key, m))
-    marked = df.select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.when(has, found).alias("_pii_found"),
-    )
+    marked = df.select(*[F.col(f"`{c}`") for c in columns], F.when(has, found).alias(name))
+    parts = F.split(value, PATTERN, -1)
     joined = F.array_join(
-        F.zip_with(F.split(value, PATTERN, -1), F.col("_pii_found"), lambda p, f: F.concat(p, F.coalesce(f["value"], F.lit("")))),
-        "",
+        F.zip_with(parts, F.col(name), lambda p, f: F.concat(p, F.coalesce(f["value"], F.lit("")))), ""
     )
-    new_text = F.when(F.size("_pii_found") > 0, joined).otherwise(value)
-    kinds = F.filter(F.transform("_pii_found", lambda f: f["kind"]), lambda k: k.isNotNull())
+    new_text = F.when(F.size(name) > 0, joined).otherwise(value)
+    kinds = F.filter(F.transform(name, lambda f: f["kind"]), lambda k: k.isNotNull())
     none = F.array().cast("array<string>")
     return marked.select(
         *[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in columns],

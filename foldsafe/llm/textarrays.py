@@ -95,6 +95,8 @@ class Texts:
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First byte, end (without the line break) and row of every non-empty span between line breaks."""
+        if not len(self.data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         begins = np.zeros(len(self.data) + 1, bool)
         begins[self.offsets[:-1]] = True
         begins[1:] |= self.data == 0x0A
