@@ -25,6 +25,12 @@ def valid_json(text: Column) -> Column:
     return F.when(parsed.isNotNull(), text)
 
 
+def json_object(text: Column) -> Column:
+    """The text itself where it is a JSON object, else null."""
+    document = valid_json(text)
+    return F.when(F.ltrim(document).startswith("{"), document)
+
+
 def _flag_text(document: Column, flag: str) -> Column:
     value = F.get_json_object(document, f"$.{flag}")
     spoken = F.when(value == "true", "True").when(value == "false", "False").otherwise(value)
@@ -33,10 +39,10 @@ def _flag_text(document: Column, flag: str) -> Column:
 
 def flag_summary(text: Column) -> Column:
     """``flag=value`` pairs of the flags a JSON object holds; null for anything but an object."""
-    document = valid_json(text)
+    document = json_object(text)
     # concat_ws leaves out the null entries of flags that are not in the object.
     pairs = F.concat_ws(", ", *[_flag_text(document, flag) for flag in SUMMARY_FLAGS])
-    return F.when(F.ltrim(document).startswith("{"), pairs)
+    return F.when(document.isNotNull(), pairs)
 
 
 def first_model(text: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,16 +48,14 @@ class Store:
     competition: str = ""
 
     def summaries(self) -> DataFrame:
-        return runs.read_documents(self.spark, f"{self.path}/cv_summary", runs.SUMMARY_SCHEMA)
+        """The last saved summary of every run."""
+        found = runs.read_documents(self.spark, f"{self.path}/cv_summary", runs.SUMMARY_SCHEMA)
+        return runs.last_saved(found)
 
     def evaluations(self) -> DataFrame:
-        """One evaluation per run; a store without any gives an empty table."""
-        if not self._has("oof_eval"):
-            return self.spark.createDataFrame([], "run_id string, metric string, value double")
-        found = runs.read_documents(self.spark, f"{self.path}/oof_eval", runs.EVAL_SCHEMA)
-        return found.groupBy("run_id").agg(
-            F.max("metric").alias("metric"), F.max("value").alias("value")
-        )
+        """The last evaluation of every run; a store without any gives an empty table."""
+        found = runs.read_if_any(self.spark, f"{self.path}/oof_eval", runs.EVAL_SCHEMA)
+        return runs.last_saved(found).select("run_id", "metric", "value")
 
     def metrics(self) -> DataFrame:
         known = self.summaries()
@@ -69,24 +66,24 @@ class Store:
 
     def oof(self, run_ids: Sequence[str]) -> DataFrame:
         """Out-of-fold rows of the runs' best models; other partitions are not read."""
-        best = {
-            r["run_id"]: r["model"]
-            for r in self.summaries().filter(F.col("run_id").isin(*run_ids)).collect()
-        }
-        missing = sorted(set(run_ids) - set(best))
+        best = self.summaries().filter(F.col("run_id").isin(*run_ids)).select("run_id", "model")
+        missing = sorted(set(run_ids) - {r["run_id"] for r in best.collect()})
         if missing:
             raise InferenceError(f"no summary for run {', '.join(missing)}")
-        kept = [(F.col("run_id") == r) & (F.col("model") == m) for r, m in best.items()]
-        rows = runs.read_oof(self.spark, f"{self.path}/oof").filter(reduce(lambda a, b: a | b, kept))
-        return rows.select("run_id", self.id_col, "fold", "oof")
+        return self._oof_of(best)
+
+    def every_oof(self) -> DataFrame:
+        """Out-of-fold rows of the best model of every run that has a summary."""
+        return self._oof_of(self.summaries().select("run_id", "model"))
+
+    def _oof_of(self, best: DataFrame) -> DataFrame:
+        # Runs and models are partition folders: Spark prunes them by the joined table at run time.
+        rows = runs.read_oof(self.spark, f"{self.path}/oof")
+        return rows.join(best, ["run_id", "model"], "left_semi").select("run_id", self.id_col, "fold", "oof")
 
     def ledger(self) -> DataFrame:
         return ledger.read(self.spark, f"{self.path}/ledger")
 
-    def _has(self, name: str) -> bool:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-
 
 def eda(df: DataFrame, out: str) -> DataFrame:
     """Describe every column and write the result as CSV."""
@@ -142,7 +139,7 @@ def eval_oof(store: Store, labels: DataFrame, run_id: str | None = None) -> Data
     require_target(labels, store.target)
     name = store.run_id(run_id)
     found = metrics.evaluate_oof(store.oof([name]), labels, store.id_col, store.target)
-    record = found.withColumn("run_dir", F.col("run_id"))
+    record = found.withColumns({"run_dir": F.col("run_id"), "saved_at": F.current_timestamp()})
     runs.write_documents(record, f"{store.path}/oof_eval")
     return found
 
@@ -245,7 +242,7 @@ def report_submissions(
 
     ``submissions`` holds rows ``(file, id, target)`` of the submitted files.
     """
-    oof = store.oof([r["run_id"] for r in store.summaries().select("run_id").distinct().collect()])
+    oof = store.every_oof()
     report = ledger.report(
         store.ledger(),
         store.metrics(),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldsafe.config import FeaturesConfig
 from foldsafe.functions import numeric, text
 from foldsafe.operators.joins import lookup
+from foldsafe.sources.scratch import written
 from foldsafe.operators.splits import FOLD, trains_on
 
 FAMILY = "FamilySize"
@@ -91,15 +92,24 @@ def training_count(by_fold: Column, holdout: Column, n_splits: int, scheme: str)
     return total
 
 
-def _join_counts(df: DataFrame, key: Column, n_splits: int, scheme: str, name: str) -> DataFrame:
+def _counted(df: DataFrame, key: Column, n_splits: int) -> tuple[DataFrame, int]:
+    """Rows per key and fold, written once, and the number of keys."""
+    counts = fold_counts(df, key, n_splits).withColumn(
+        "_rows", F.aggregate("by_fold", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    )
+    counts = written(counts, "fold-counts")
+    return counts, counts.count()
+
+
+def _join_counts(
+    df: DataFrame, key: Column, counted: tuple[DataFrame, int], n_splits: int, scheme: str, name: str
+) -> DataFrame:
     """Add how often the row's key occurs in the training rows of the row's own fold.
 
     The count table has one row per key, so the join adds no rows.
     """
-    counts = fold_counts(df, key, n_splits).withColumn(
-        "_rows", F.aggregate("by_fold", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    )
-    joined = lookup(df, text.null_as_text(key), counts, "key", ["by_fold"], "_rows")
+    counts, size = counted
+    joined = lookup(df, text.null_as_text(key), counts, "key", ["by_fold"], "_rows", size)
     count = training_count(F.col("by_fold"), F.col(FOLD), n_splits, scheme)
     return joined.withColumn(name, count).drop("by_fold")
 
@@ -110,12 +120,15 @@ def leave_fold_out(
     """All features of every row, learnt parts taken from the folds its own fold is trained on."""
     wanted = sum(available(folded.columns, cfg), [])
     df = stateless(folded, cfg)
+    # Both counts come from the table itself, before any look-up widens it.
+    keys = {TICKET_GROUP: cfg.columns.ticket, TITLE: TITLE}
+    tables = {name: _counted(df, F.col(key), n_splits) for name, key in keys.items() if name in wanted}
     if TICKET_GROUP in wanted:
-        df = _join_counts(df, F.col(cfg.columns.ticket), n_splits, scheme, TICKET_GROUP)
+        df = _join_counts(df, F.col(cfg.columns.ticket), tables[TICKET_GROUP], n_splits, scheme, TICKET_GROUP)
         seen = F.col(TICKET_GROUP)
         df = df.withColumn(TICKET_GROUP, F.when(seen > 0, seen).otherwise(1).cast("int"))
     if TITLE in wanted:
-        df = _join_counts(df, F.col(TITLE), n_splits, scheme, "_seen")
+        df = _join_counts(df, F.col(TITLE), tables[TITLE], n_splits, scheme, "_seen")
         seen = F.when(F.col("_seen") > 0, F.col("_seen"))
         df = df.withColumn(TITLE, rare_title(F.col(TITLE), seen, cfg.rare_title_threshold)).drop("_seen")
     return df

@@ -212,7 +212,7 @@ def topk(
             "leaderboard_score",
             snapshot.flag_summary(F.col("_last.features_cfg")).alias("features"),
             snapshot.first_model(F.col("_last.models_cfg")).alias("models_cfg_first"),
-            snapshot.valid_json(F.col("_last.cv_cfg")).alias("cv"),
+            snapshot.json_object(F.col("_last.cv_cfg")).alias("cv"),
             ellipsis(F.nullif("message", F.lit(""))).alias("note"),
         )
     )

@@ -27,22 +27,25 @@ _PER_PASS = 60
 
 @dataclass
 class _Target:
-    """The value at ``place`` (0-based, ascending) of one series lies in the open range (low, high)."""
+    """The value at ``place`` (0-based, ascending) of one series lies in the open range (low, high).
+
+    An end of None is no bound; an end of minus or plus infinity excludes rows with that value.
+    """
 
     series: str
     place: int
     inside: int
-    low: float = -math.inf
-    high: float = math.inf
+    low: float | None = None
+    high: float | None = None
     below: int = 0
     answer: float | None = None
 
     def rows(self, value: Column) -> Column:
         """The series where it may still be the answer, null elsewhere."""
         kept = value.isNotNull()
-        if self.low > -math.inf:
+        if self.low is not None:
             kept = kept & (value > self.low)
-        if self.high < math.inf:
+        if self.high is not None:
             kept = kept & (value < self.high)
         return F.when(kept, value)
 

@@ -71,6 +71,13 @@ def _cell_starts(keyed: DataFrame) -> DataFrame:
     )
 
 
+def _matched(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys in which null equals null."""
+    renamed = {k: f"_matched{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(new)) for k, new in renamed.items()]
+    return rows.join(table.withColumnsRenamed(renamed), same, how).drop(*renamed.values())
+
+
 def global_rank(
     df: DataFrame,
     id_col: str,
@@ -79,7 +86,7 @@ def global_rank(
     order_col: str | None = None,
     name: str = "rank",
 ) -> DataFrame:
-    """Add the exact 0-based position of every row in (class, value, hash) order.
+    """Add the exact 0-based position of every row in (class, value, hash) order, nulls first.
 
     Cost: one narrow aggregate and one shuffle of the rows by cell. The offsets join uses the same
     key as the window, so Spark shuffles the rows once for both.
@@ -88,7 +95,7 @@ def global_rank(
     starts = _cell_starts(keyed).select(_CLASS, CELL, _SUB, "first")
     inside = Window.partitionBy(_CLASS, CELL, _SUB).orderBy(_KEY)
     return (
-        keyed.join(starts, [_CLASS, CELL, _SUB])
+        _matched(keyed, starts, [_CLASS, CELL, _SUB])
         .withColumn(name, F.col("first") + F.row_number().over(inside) - 1)
         .drop(_CLASS, CELL, _SUB, _KEY, "first")
     )
@@ -134,8 +141,7 @@ def cut_blocks(
     inside = Window.partitionBy(_CLASS, CELL, _SUB).orderBy(_KEY)
     # At most n_cuts cells per class are broadcast, whatever the number of rows.
     at_cuts = (
-        keyed.select(_CLASS, CELL, _SUB, _KEY)
-        .join(F.broadcast(holding), [_CLASS, CELL, _SUB])
+        _matched(keyed.select(_CLASS, CELL, _SUB, _KEY), F.broadcast(holding), [_CLASS, CELL, _SUB])
         .withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
         .filter(F.array_contains("places", F.col("place")))
         # Empty blocks share one place: keep each copy, so later blocks keep their number.
@@ -145,7 +151,7 @@ def cut_blocks(
     own = F.col(_KEY)
     passed = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut <= own))
     return (
-        keyed.join(F.broadcast(per_class), _CLASS, "left")
+        _matched(keyed, F.broadcast(per_class), [_CLASS], "left")
         .withColumn(name, passed)
         .drop(_CLASS, CELL, _SUB, _KEY, "_cuts")
     )

@@ -65,8 +65,13 @@ def predict(
     return scored.select(id_col, over_threshold(F.col("p"), threshold).alias(target))
 
 
-def predict_best(model: Transformer, df: DataFrame, id_col: str, target: str) -> DataFrame:
-    """``(id, label)`` from a single model's own decision; probabilities are cut above one half."""
+def predict_best(
+    model: Transformer, df: DataFrame, id_col: str, target: str, task: str = "binary"
+) -> DataFrame:
+    """``(id, label)`` from a single model's own decision; probabilities are cut above one half.
+
+    A regression keeps its predicted value.
+    """
     scored = model.transform(df)
     if "prediction" in scored.columns:
         label = F.col("prediction")
@@ -75,4 +80,5 @@ def predict_best(model: Transformer, df: DataFrame, id_col: str, target: str) ->
         if score is None:
             raise InferenceError("the model gives neither a prediction nor a score")
         label = over_threshold(score, 0.5, strict=True)
-    return scored.select(id_col, label.cast("int").alias(target))
+    kind = "int" if task == "binary" else "double"
+    return scored.select(id_col, label.cast(kind).alias(target))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldsafe.config import CVConfig
 from foldsafe.errors import SchemaError
@@ -16,10 +17,13 @@ from foldsafe.functions.text import null_as_text
 from foldsafe.operators import ranks
 from foldsafe.operators.cells import hash_cell, hash_digits
 from foldsafe.operators.joins import lookup
+from foldsafe.sources.scratch import written
 
 FOLD = "fold"
 # Groups with at least 1/(this x folds) of all rows are placed one by one, the rest by volume.
 _PLACED_PER_FOLD = 1000
+# More distinct labels than this are taken for a measured value, not for classes.
+_MOST_CLASSES = 1000
 
 
 def kfold(
@@ -36,13 +40,26 @@ def kfold(
 
 
 def stratified(
-    df: DataFrame, id_col: str, target: str, n_splits: int = 5, seed: int = 42
+    df: DataFrame,
+    id_col: str,
+    target: str,
+    n_splits: int = 5,
+    seed: int = 42,
+    most_classes: int = _MOST_CLASSES,
 ) -> DataFrame:
     """Folds of equal size in which each class has an equal share, both to within one row.
 
     Rows sorted by class are dealt to folds in turn; that fixes how many rows of a class each fold
-    gets, and the class's hash order says which.
+    gets, and the class's hash order says which. Rows without a label are a class of their own. A target
+    with fractions, or with more than ``most_classes`` values, is no set of classes: an error.
     """
+    kind = df.schema[target].dataType
+    label = F.col(target)
+    broken = F.count_if(label != F.floor(label)) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(0)
+    # Exact up to the limit: one row per class leaves each task.
+    classes = df.select(target).distinct().limit(most_classes + 1).count()
+    if classes > most_classes or df.agg(broken).first()[0]:
+        raise SchemaError(f"{target} has too many values or fractions for stratified folds")
 
     def dealt(i: Column, rows: Column, first: Column) -> Column:
         def up_to(end: Column, fold: Column) -> Column:
@@ -134,7 +151,8 @@ def group(
     smaller than that share of a fold, so they are laid end to end in hash order and cut where the
     folds reach an equal level.
     """
-    sizes = df.groupBy(F.col(group_col).alias("group")).agg(F.count(F.lit(1)).alias("rows"))
+    # Written once: everything below reads the group sizes, not the table again.
+    sizes = written(df.groupBy(F.col(group_col).alias("group")).agg(F.count(F.lit(1)).alias("rows")), "groups")
     total = sizes.agg(F.sum("rows")).scalar()
     is_large = F.col("rows") * F.lit(placed * n_splits) >= total
     done = _place_in_turn(sizes.filter(is_large), n_splits)
@@ -151,8 +169,8 @@ def group(
     cut = laid.withColumn("_ends", ends).select(
         "group", "rows", F.least(passed, F.lit(n_splits - 1)).alias(FOLD)
     )
-    folds = large.unionByName(cut).withColumn("_key", _group_key(F.col("group")))
-    return lookup(df, _group_key(F.col(group_col)), folds, "_key", [FOLD], "rows")
+    folds = written(large.unionByName(cut).withColumn("_key", _group_key(F.col("group"))), "group-folds")
+    return lookup(df, _group_key(F.col(group_col)), folds, "_key", [FOLD], "rows", folds.count())
 
 
 def assign(df: DataFrame, cfg: CVConfig, id_col: str, target: str | None = None) -> DataFrame:

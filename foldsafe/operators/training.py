@@ -71,6 +71,7 @@ class Run:
             F.lit(json.dumps(self.params[self.best])).alias("params"),
             F.lit(json.dumps(self.features.flags())).alias("features_cfg"),
             F.lit(json.dumps(vars(self.cv))).alias("cv_cfg"),
+            F.current_timestamp().alias("saved_at"),
         )
 
     def save(self, path: str) -> None:
@@ -92,7 +93,9 @@ def _model_path(path: str, run_id: str, model: str, fold: int) -> str:
 
 def load_fold_models(spark: SparkSession, path: str, run_id: str | None = None) -> list[PipelineModel]:
     """Fold models of the best model of a run, of the latest run unless one is named."""
-    found = run_tables.read_documents(spark, f"{path}/cv_summary", run_tables.SUMMARY_SCHEMA)
+    found = run_tables.last_saved(
+        run_tables.read_documents(spark, f"{path}/cv_summary", run_tables.SUMMARY_SCHEMA)
+    )
     run_id = run_id or run_tables.latest_id(found)
     row = found.filter(F.col("run_id") == run_id).first()
     if row is None:

@@ -48,6 +48,60 @@ def time_rank(spark, sf):
     return ranks.global_rank(df, "row_id", SEED, order_col="event_time").select("row_id", "rank")
 
 
+_GAPS = "CASE WHEN row_id % 7 = 0 THEN NULL ELSE target END"
+
+
+@query(
+    "global_rank_nulls",
+    with_tables(
+        "passengers",
+        then=f"""SELECT row_id, {_GAPS} AS label,
+        row_number() OVER (ORDER BY {_GAPS} NULLS FIRST, {_HASH}, row_id) - 1 AS rank FROM passengers""",
+    ),
+)
+def global_rank_nulls(spark, sf):
+    """Rows without a class come first and keep their places."""
+    df = derived.passengers(spark, sf).select("row_id", F.expr(_GAPS).alias("label"))
+    return ranks.global_rank(df, "row_id", SEED, class_col="label")
+
+
+_LATE = "CASE WHEN row_id % 9 = 0 THEN NULL ELSE event_time END"
+
+
+@query(
+    "time_rank_nulls",
+    with_tables(
+        "passengers",
+        then=f"""SELECT row_id,
+        row_number() OVER (ORDER BY {_LATE} NULLS FIRST, {_HASH}, row_id) - 1 AS rank FROM passengers""",
+    ),
+)
+def time_rank_nulls(spark, sf):
+    df = derived.passengers(spark, sf).select("row_id", F.expr(_LATE).alias("moment"))
+    return ranks.global_rank(df, "row_id", SEED, order_col="moment").select("row_id", "rank")
+
+
+@query(
+    "stratified_nulls",
+    with_tables(
+        "passengers",
+        extra=f"""placed AS (
+          SELECT row_id, {_GAPS} AS label,
+            row_number() OVER (ORDER BY {_GAPS} NULLS FIRST, {_HASH}, row_id) - 1 AS overall,
+            row_number() OVER (PARTITION BY {_GAPS} ORDER BY {_HASH}, row_id) - 1 AS inside
+          FROM passengers),
+        shares AS (SELECT label AS l, overall % {FOLDS} AS f, count(*) AS n FROM placed GROUP BY 1, 2),
+        ranges AS (SELECT l, f, n, sum(n) OVER (PARTITION BY l ORDER BY f) AS until FROM shares)""",
+        then="""SELECT row_id, label, CAST(f AS INT) AS fold FROM placed JOIN ranges
+        ON label IS NOT DISTINCT FROM l AND inside >= until - n AND inside < until""",
+    ),
+)
+def stratified_nulls(spark, sf):
+    """Rows without a label are dealt out like a class."""
+    df = derived.passengers(spark, sf).select("row_id", F.expr(_GAPS).alias("label"))
+    return splits.stratified(df, "row_id", "label", FOLDS, SEED)
+
+
 @query("kfold_assign", _blocks_sql(f"{_HASH}, row_id"))
 def kfold_assign(spark, sf):
     df = derived.passengers(spark, sf).select("row_id")

@@ -11,6 +11,15 @@ from foldsafe.plans.source_queries import _METRICS, run_metrics
 from foldsafe.sources import derived, scratch
 
 
+_FLAGS = """CASE WHEN f LIKE '{%' THEN concat_ws(', ',
+          'add_title=' || CASE json_extract_string(f, '$.add_title')
+            WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END,
+          'log_fare=' || CASE json_extract_string(f, '$.log_fare')
+            WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END,
+          'bin_age=' || json_extract_string(f, '$.bin_age')) END"""
+_OBJECT = "CASE WHEN json_valid(cv_cfg) THEN CASE WHEN cv_cfg LIKE '{%' THEN cv_cfg END END"
+
+
 @query(
     "ledger_append",
     with_tables(
@@ -19,7 +28,8 @@ from foldsafe.sources import derived, scratch
         extra=_METRICS,
         then="""SELECT l.entry_id, l."timestamp", l.file, l.message, l.run_id, l.threshold,
         e.oof_accuracy, CASE WHEN s.metric = 'auc' THEN s.score_mean END AS oof_auc_mean,
-        s.model AS cv_model, l.leaderboard_score, l.features_cfg
+        s.model AS cv_model, l.leaderboard_score, l.features_cfg, l.models_cfg, l.cv_cfg,
+        l.competition
         FROM ledger l LEFT JOIN summaries s USING (run_id) LEFT JOIN evals e USING (run_id)""",
     ),
 )
@@ -30,7 +40,7 @@ def ledger_append(spark, sf):
     recorded = ledger.record(entries, run_metrics(spark, sf))
     ledger.append(recorded.filter("run_id IS NULL"), path)
     ledger.append(recorded.filter("run_id IS NOT NULL"), path)
-    return ledger.read(spark, path, "entry_id bigint").drop("competition", "models_cfg", "cv_cfg")
+    return ledger.read(spark, path, "entry_id bigint")
 
 
 @query(
@@ -40,14 +50,8 @@ def ledger_append(spark, sf):
         extra="""checked AS (SELECT entry_id, cv_cfg,
           CASE WHEN json_valid(features_cfg) THEN features_cfg END AS f,
           CASE WHEN json_valid(models_cfg) THEN models_cfg END AS m FROM ledger)""",
-        then="""SELECT entry_id,
-        CASE WHEN f LIKE '{%' THEN concat_ws(', ',
-          'add_title=' || CASE json_extract_string(f, '$.add_title')
-            WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END,
-          'log_fare=' || CASE json_extract_string(f, '$.log_fare')
-            WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' END,
-          'bin_age=' || json_extract_string(f, '$.bin_age')) END AS features,
-        json_extract_string(m, '$[0].name') AS first_model, cv_cfg AS cv FROM checked""",
+        then=f"""SELECT entry_id, {_FLAGS} AS features,
+        json_extract_string(m, '$[0].name') AS first_model, {_OBJECT} AS cv FROM checked""",
     ),
 )
 def ledger_json(spark, sf):
@@ -55,7 +59,7 @@ def ledger_json(spark, sf):
         "entry_id",
         snapshot.flag_summary(F.col("features_cfg")).alias("features"),
         snapshot.first_model(F.col("models_cfg")).alias("first_model"),
-        snapshot.valid_json(F.col("cv_cfg")).alias("cv"),
+        snapshot.json_object(F.col("cv_cfg")).alias("cv"),
     )
 
 
@@ -132,8 +136,13 @@ ranked AS (
   SELECT * FROM (SELECT 'oof_accuracy' AS ranking, *,
     row_number() OVER (ORDER BY oof_accuracy DESC, entry_id) AS rank
     FROM report WHERE oof_accuracy IS NOT NULL) WHERE rank <= 5),
-last AS (SELECT file, features_cfg, models_cfg, cv_cfg FROM (
-  SELECT *, row_number() OVER (PARTITION BY file ORDER BY entry_id DESC) AS back FROM ledger) WHERE back = 1)"""
+last AS (SELECT file, """ + _FLAGS + """ AS features, models_cfg, """ + _OBJECT + """ AS cv FROM (
+  SELECT *, CASE WHEN json_valid(features_cfg) THEN features_cfg END AS f,
+    row_number() OVER (PARTITION BY file ORDER BY entry_id DESC) AS back FROM ledger) WHERE back = 1),
+told AS (SELECT r.*, nullif(l.features, '') AS features, l.cv,
+  CASE WHEN json_valid(l.models_cfg) THEN json_extract_string(l.models_cfg, '$[0].name') END AS models_cfg_first,
+  CASE WHEN length(message) > 80 THEN substr(message, 1, 77) || '...' ELSE nullif(message, '') END AS note
+  FROM ranked r JOIN last l USING (file))"""
 )
 
 
@@ -146,16 +155,12 @@ last AS (SELECT file, features_cfg, models_cfg, cv_cfg FROM (
         coalesce(nullif(model, ''), nullif(cv_model, '')) AS model, r.threshold,
         round_even(pred_pos_rate, 3) AS pred_pos_rate, oof_auc_mean, {sql_round('oof_accuracy')} AS oof_accuracy,
         leaderboard_score,
-        CASE WHEN json_valid(l.models_cfg) THEN json_extract_string(l.models_cfg, '$[0].name') END
-          AS models_cfg_first,
-        l.cv_cfg AS cv,
-        CASE WHEN length(message) > 80 THEN substr(message, 1, 77) || '...' ELSE nullif(message, '') END AS note
-        FROM ranked r JOIN last l USING (file)""",
+        features, models_cfg_first, cv, note FROM told r""",
     ),
 )
 def ledger_topk(spark, sf):
     found = ledger.topk(_stored_report(spark, sf), derived.ledger(spark, sf), 5, ["entry_id"])
-    return rounded(found.drop("features"), "oof_accuracy")
+    return rounded(found.withColumn("features", F.nullif("features", F.lit(""))), "oof_accuracy")
 
 
 @query(
@@ -165,8 +170,10 @@ def ledger_topk(spark, sf):
         extra=_TOP,
         then="""SELECT ranking, CAST(rank AS INT) AS rank,
         '- ' || r."timestamp" || ': model=' || coalesce(nullif(model, ''), nullif(cv_model, ''), 'nan') AS start,
-        '  file=' || file AS file_line, '  run_dir=' || coalesce(r.run_id, 'nan') AS run_line
-        FROM ranked r""",
+        '  file=' || file AS file_line, '  run_dir=' || coalesce(r.run_id, 'nan') AS run_line,
+        concat_ws(chr(10), '  features: ' || features, '  models_cfg_first: ' || nullif(models_cfg_first, ''),
+          '  cv: ' || nullif(cv, ''), '  note: ' || note) AS rest
+        FROM told r""",
     ),
 )
 def ledger_lines(spark, sf):
@@ -178,4 +185,5 @@ def ledger_lines(spark, sf):
         F.substring_index(parts[0], ", thr=", 1).alias("start"),
         parts[1].alias("file_line"),
         parts[2].alias("run_line"),
+        F.array_join(F.slice(parts, 4, 9), "\n").alias("rest"),
     )

@@ -15,26 +15,26 @@ from foldsafe.sources.tables import load
     with_tables(
         "passengers",
         then="""SELECT row_id, full_name, age, CASE WHEN sibsp = 3 THEN NULL ELSE CAST(sibsp AS DOUBLE) END AS sibsp,
-        CASE WHEN row_id % 3 = 0 THEN NULL ELSE 'say "' || sex || '", twice' END AS remark,
+        CASE WHEN row_id % 3 = 0 THEN NULL ELSE '  say "' || sex || '",' || chr(10) || 'twice ' END AS remark,
         strftime(event_time, '%Y-%m-%d') AS day, fare FROM passengers""",
     ),
 )
 def csv_roundtrip(spark, sf):
-    # Blanks in whole numbers, a blank marker in text, quotes, commas and dates.
+    # Blanks in whole numbers, a blank marker in text, padded text, quotes, commas, line breaks and dates.
     df = derived.passengers(spark, sf).select(
         "row_id",
         "full_name",
         "age",
         F.when(F.col("sibsp") != 3, F.col("sibsp")).alias("sibsp"),
         F.when(F.col("row_id") % 3 == 0, F.lit("NA"))
-        .otherwise(F.concat(F.lit('say "'), F.col("sex"), F.lit('", twice')))
+        .otherwise(F.concat(F.lit('  say "'), F.col("sex"), F.lit('",\ntwice ')))
         .alias("remark"),
         F.date_format("event_time", "yyyy-MM-dd").alias("day"),
         "fare",
     )
     path = scratch.new_path(spark, "csv")
     csv.write(df, path)
-    return csv.read(spark, path)
+    return csv.read(spark, path, multiline=True)
 
 
 @query(

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldsafe.errors import SchemaError
+
 # The texts that count as a missing value.
 BLANKS = (
     "",
@@ -75,17 +77,19 @@ def read(
 ) -> DataFrame:
     """Scan CSV files with a header.
 
-    With a schema the scan is lazy; without one a single aggregate finds the types first. Set
-    ``multiline`` only if quoted fields hold line breaks: such files cannot be split over tasks.
+    Columns are found by their header; a schema picks and orders them, and a name no header has is an
+    error. With a schema only a header is read ahead; without one a single aggregate finds the types
+    first. Set ``multiline`` only if quoted fields hold line breaks: such files cannot be split over
+    tasks.
     """
-    options = {"header": True, "escape": '"', "multiLine": multiline}
-    reader = spark.read.options(**options)
-    if schema is not None:
-        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-        raw = reader.schema(texts).csv(path)
-    else:
-        raw = reader.csv(path)
-    raw = raw.select([_text(c).alias(c) for c in raw.columns])
+    # Files whose header differs from the first one's are an error, not shifted columns.
+    options = {"header": True, "escape": '"', "multiLine": multiline, "enforceSchema": False}
+    raw = spark.read.options(**options).csv(path)
+    wanted = raw.columns if schema is None else schema.names
+    missing = [c for c in wanted if c not in raw.columns]
+    if missing:
+        raise SchemaError(f"no header for column {', '.join(missing)}")
+    raw = raw.select([_text(c).alias(c) for c in wanted])
     types = [f.dataType for f in schema] if schema is not None else _infer(raw)
     return raw.select(
         [F.col(f"`{c}`").try_cast(t).alias(c) for c, t in zip(raw.columns, types)]
@@ -93,18 +97,21 @@ def read(
 
 
 def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header and no index, quotes doubled; one file per task."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header and no index, quotes doubled, text as it is; one file per task."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, escape='"', **keep).csv(path)
 
 
-def append(df: DataFrame, old_path: str | None, new_path: str) -> DataFrame:
+def append(df: DataFrame, old_path: str | None, new_path: str, multiline: bool = True) -> DataFrame:
     """Old rows plus new ones, columns matched by name, written as a new version.
 
+    Unless told otherwise it expects line breaks in text, so nothing is torn.
+
     A table being read is never overwritten, so a failed job leaves the old version whole.
     """
     spark = df.sparkSession
     both = df
     if old_path is not None:
-        both = read(spark, old_path).unionByName(df, allowMissingColumns=True)
+        both = read(spark, old_path, multiline=multiline).unionByName(df, allowMissingColumns=True)
     write(both, new_path)
-    return read(spark, new_path)
+    return read(spark, new_path, multiline=multiline)

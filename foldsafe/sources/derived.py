@@ -97,7 +97,10 @@ LEDGER = {
         "ELSE '[{\"name\": \"' || LOWER(c_mktsegment) || '\", \"params\": {}}, "
         "{\"name\": \"other\"}]' END"
     ),
-    "cv_cfg": "'{\"n_splits\": 5}'",
+    "cv_cfg": (
+        "CASE WHEN c_custkey % 7 = 0 THEN '[5]' WHEN c_custkey % 7 = 1 THEN 'n_splits=5' "
+        "WHEN c_custkey % 7 = 2 THEN NULL ELSE '{\"n_splits\": 5}' END"
+    ),
 }
 
 RUNS = {
