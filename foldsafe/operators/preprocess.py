@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,15 +21,14 @@ from pyspark.sql import types as T
 from foldsafe.config import FeaturesConfig
 from foldsafe.errors import SchemaError
 from foldsafe.functions import text
-from foldsafe.operators import features, loo
+from foldsafe.operators import features, loo, ranks
 from foldsafe.operators.models import FEATURES, LABEL
 from foldsafe.operators.splits import FOLD
-from foldsafe.operators.stages import FeatureModel, NumericModel, TextFillModel
+from foldsafe.operators.stages import FeatureModel, LevelModel, NumericModel, TextFillModel
 from foldsafe.operators.threads import in_threads
 from foldsafe.sources.scratch import written
 
-# A one-hot model keeps its level list and a coefficient per level on the driver.
-MOST_LEVELS = 1_000_000
+# Columns with at most this many levels keep them as a list in the model, others as a table.
 _MANY_LEVELS = 10_000
 
 log = logging.getLogger(__name__)
@@ -96,28 +96,48 @@ def _title_levels(tables: list[DataFrame], threshold: int) -> DataFrame:
     return levels.select("holdout", F.lit(features.TITLE).alias("column"), "level", "n")
 
 
+@dataclass(frozen=True)
+class LevelTable:
+    """Levels of one column for one holdout as rows ``(level, place, n)``."""
+
+    rows: DataFrame
+    size: int
+
+
 def _collect_levels(counts: DataFrame) -> tuple[dict, dict]:
-    """Sorted levels and most frequent level per (holdout, column), after a size check."""
-    sizes = counts.groupBy("holdout", "column").agg(F.count(F.lit(1)).alias("levels")).collect()
-    too_many = sorted({r["column"] for r in sizes if r["levels"] > MOST_LEVELS})
-    if too_many:
-        raise SchemaError(
-            f"more than {MOST_LEVELS} levels in {', '.join(too_many)}: list them in drop_cols, "
-            "or use loo.one_hot, which keeps levels as rows"
-        )
-    for name in sorted({r["column"] for r in sizes if r["levels"] > _MANY_LEVELS}):
-        log.warning("column %s has more than %d levels; is it free text?", name, _MANY_LEVELS)
+    """Sorted levels and most frequent level per (holdout, column).
+
+    Columns with few levels give lists; those with many keep them as a table, numbered without
+    gathering them. The numbers, and so the features, are the same.
+    """
     best = F.min(F.struct((-F.col("n")).alias("rank"), F.col("level")))
-    found = counts.groupBy("holdout", "column").agg(
-        F.sort_array(F.collect_list("level")).alias("levels"), best["level"].alias("fill")
-    )
-    levels, fills = {}, {}
-    for row in found.collect():
+    sizes = counts.groupBy("holdout", "column").agg(
+        F.count(F.lit(1)).alias("levels"), best["level"].alias("fill")
+    ).collect()
+    fills = {(r["holdout"], r["column"]): r["fill"] for r in sizes}
+    many = sorted({r["column"] for r in sizes if r["levels"] > _MANY_LEVELS})
+    levels: dict[tuple[int, str], list[str] | LevelTable] = {}
+    if many:
+        log.warning("more than %d levels in %s: free text?", _MANY_LEVELS, ", ".join(many))
+        placed = written(ranks.places(counts.filter(F.col("column").isin(many)), ["holdout", "column"], "level"), "level-places")
+        for r in sizes:
+            if r["column"] in many:
+                own = (F.col("holdout") == r["holdout"]) & (F.col("column") == r["column"])
+                levels[r["holdout"], r["column"]] = LevelTable(placed.filter(own).select("level", "place", "n"), r["levels"])
+    # At most _MANY_LEVELS levels each.
+    few = counts.filter(~F.col("column").isin(many)) if many else counts
+    listed = few.groupBy("holdout", "column").agg(F.sort_array(F.collect_list("level")).alias("levels"))
+    for row in listed.collect():
         levels[row["holdout"], row["column"]] = row["levels"]
-        fills[row["holdout"], row["column"]] = row["fill"]
     return levels, fills
 
 
+def _index(column: str, levels: list[str] | LevelTable) -> Transformer:
+    if isinstance(levels, LevelTable):
+        return LevelModel.make(f"txt__{column}", f"idx__{column}", levels.rows, levels.size)
+    return StringIndexerModel.from_labels(levels, f"txt__{column}", f"idx__{column}", "keep")
+
+
 def _encoders(schema_only: DataFrame, texts: list[str], levels: dict, holdout: int) -> list:
     """Index levels in text order and turn them into indicator vectors.
 
@@ -127,10 +147,7 @@ def _encoders(schema_only: DataFrame, texts: list[str], levels: dict, holdout: i
     if not kept:
         return []
     # One indexer per column: the many-column form takes label lists of one length only.
-    indexers = [
-        StringIndexerModel.from_labels(levels[holdout, c], f"txt__{c}", f"idx__{c}", "keep")
-        for c in kept
-    ]
+    indexers = [_index(c, levels[holdout, c]) for c in kept]
     encoder = OneHotEncoder(
         inputCols=[f"idx__{c}" for c in kept], outputCols=[f"hot__{c}" for c in kept], dropLast=True
     )
@@ -252,6 +269,8 @@ def feature_names(pipeline: PipelineModel) -> list[str]:
     for stage in pipeline.stages:
         if isinstance(stage, StringIndexerModel):
             labels[stage.getOutputCol().removeprefix("idx__")] = list(stage.labels)
+        if isinstance(stage, LevelModel):
+            labels[stage.recall()["column"].removeprefix("txt__")] = stage.labels()
         if isinstance(stage, VectorAssembler):
             for column in stage.getInputCols():
                 kind, name = column.split("__", 1)

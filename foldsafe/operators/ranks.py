@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldsafe.functions.numeric import hash_key
 from foldsafe.operators.cells import CELL, NumericCells, hash_cell, hash_digits, ordinal
+from foldsafe.sources.scratch import written
 
 _CLASS = "_class"
 _KEY = "_key"
@@ -101,6 +102,26 @@ def global_rank(
     )
 
 
+def places(df: DataFrame, by: Sequence[str], order: str, name: str = "place") -> DataFrame:
+    """Add the exact 0-based position of every row within its group, in value order.
+
+    The rows are sorted over all tasks by group and value; counts per task and group give the offsets,
+    so a group of any size is spread over many tasks. Keys must not be null.
+    """
+    ordered = written(
+        df.sort(*by, order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}),
+        "places",
+    )
+    # One row per task and group that meet.
+    parts = ordered.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    offsets = parts.withColumn("_before", earlier).drop("_n")
+    found = ordered.join(offsets, ["_part", *by])
+    return found.withColumn(name, F.col("_row") - F.col("_first") + F.col("_before")).drop(
+        "_part", "_row", "_first", "_before"
+    )
+
+
 def cut_blocks(
     df: DataFrame,
     id_col: str,

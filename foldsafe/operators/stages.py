@@ -123,8 +123,48 @@ class FeatureModel(Transformer, _JsonState, MLReadable, MLWritable):
         return _FeatureReader()
 
 
+class LevelModel(Transformer, _JsonState, MLReadable, MLWritable):
+    """Number a text column by a table of its levels in text order; unseen levels come after the last."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.tables: dict[str, DataFrame] = {}
+
+    @classmethod
+    def make(cls, column: str, output: str, levels: DataFrame, size: int) -> "LevelModel":
+        """``levels`` has one row ``(level, place, n)`` per level, ``n`` its rows in training."""
+        model = cls()
+        model.tables = {"levels": levels}
+        model.remember(column=column, output=output, size=size)
+        return model
+
+    def copy(self, extra: dict | None = None) -> "LevelModel":
+        twin = super().copy(extra)
+        twin.tables = self.tables
+        return twin
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        state = self.recall()
+        levels = self.tables["levels"].select("level", F.col("place").alias("_place"), F.col("n").alias("_n"))
+        found = lookup(df, F.col(state["column"]), levels, "level", ["_place"], "_n", state["size"])
+        place = F.coalesce("_place", F.lit(state["size"])).cast("double")
+        # What an encoder reads: how many values the column can take.
+        kind = {"ml_attr": {"type": "nominal", "name": state["output"], "num_vals": state["size"] + 1}}
+        return found.select(*df.columns, place.alias(state["output"], metadata=kind))
+
+    def labels(self) -> list[str]:
+        return [r["level"] for r in self.tables["levels"].orderBy("place").select("level").collect()]
+
+    def write(self) -> MLWriter:
+        return _FeatureWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _LevelReader()
+
+
 class _FeatureWriter(MLWriter):
-    def __init__(self, model: FeatureModel) -> None:
+    def __init__(self, model: FeatureModel | LevelModel) -> None:
         super().__init__()
         self.model = model
 
@@ -136,11 +176,17 @@ class _FeatureWriter(MLWriter):
 
 
 class _FeatureReader(MLReader):
-    def load(self, path: str) -> FeatureModel:
+    kind: type = FeatureModel
+
+    def load(self, path: str) -> FeatureModel | LevelModel:
         spark = self.sparkSession
         metadata = DefaultParamsReader.loadMetadata(path, spark)
-        model = FeatureModel()
+        model = self.kind()
         model._resetUid(metadata["uid"])
         DefaultParamsReader.getAndSetParams(model, metadata)
         model.tables = {name: spark.read.parquet(f"{path}/{name}") for name in metadata["tables"]}
         return model
+
+
+class _LevelReader(_FeatureReader):
+    kind = LevelModel

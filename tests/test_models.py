@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import functions as F
 
 from foldsafe import CVConfig, FeatureColumns, FeaturesConfig, MetricError, ModelSpec, SchemaError, TrainingError
-from foldsafe.operators import models, preprocess, scoring, training
+from foldsafe.operators import models, preprocess, scoring, stages, training
 
 RNG = np.random.default_rng(3)
 N = 240
@@ -223,13 +223,26 @@ def test_text_can_be_left_out(table):
     assert (numbers, texts) == (["a", "b", "z"], [])
 
 
-def test_too_many_levels_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(preprocess, "MOST_LEVELS", 3)
-    df = spark.range(5).select(
-        F.col("id").alias("row_id"), F.col("id").cast("string").alias("t"), F.lit(-1).alias("fold")
+def test_many_levels_as_a_table_give_the_same_features(spark, monkeypatch, tmp_path):
+    df = spark.range(40).select(
+        F.col("id").alias("row_id"),
+        F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("t"),
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 2).cast("string")).alias("u"),
+        (F.col("id") % 4).cast("int").alias("fold"),
     )
-    with pytest.raises(SchemaError, match="drop_cols"):
-        preprocess.learn(df, FeaturesConfig(), 1, "kfold", ["row_id"])
+    asked = df.unionByName(spark.createDataFrame([(99, "new", None, 0)], df.schema))
+
+    def features(preps):
+        return [sorted((r["row_id"], list(r["features"])) for r in p.transform(asked).collect()) for p in preps]
+
+    listed = preprocess.learn(df, FeaturesConfig(), 4, "kfold", ["row_id"])
+    want, names = features(listed), preprocess.feature_names(listed[0])
+    monkeypatch.setattr(preprocess, "_MANY_LEVELS", 3)
+    tabled = preprocess.learn(df, FeaturesConfig(), 4, "kfold", ["row_id"])
+    assert any(isinstance(s, stages.LevelModel) for s in tabled[0].stages)
+    assert features(tabled) == want and preprocess.feature_names(tabled[0]) == names
+    tabled[0].write().save(str(tmp_path / "m"))
+    assert features([PipelineModel.load(str(tmp_path / "m"))]) == want[:1]
 
 
 @pytest.mark.parametrize("name", ["rf", "RandomForest", "gbc", "hist_gradient_boosting", "xgb", "catboost"])
