@@ -33,3 +33,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = f"_{wanted}"
     return wanted
+
+
+def compact(df: DataFrame, rows: int, per_task: int = 200_000) -> DataFrame:
+    """The same rows in as many partitions as so many rows need: small tables in few files."""
+    return df.coalesce(max(1, -(-rows // per_task)))

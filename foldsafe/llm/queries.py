@@ -163,7 +163,7 @@ runs AS (
          sum(size) OVER (PARTITION BY d.source, h) AS own
   FROM docs d JOIN planned p ON d.source IS NOT DISTINCT FROM p.source
 )
-SELECT doc_id, size, source_size, round(target, 3) + 0.0 AS target,
+SELECT doc_id, size, source_size, round(target, 6) + 0.0 AS target,
        CAST(size * (copies + CASE WHEN upto <= target - copies * source_size
          OR (upto - own <= target - copies * source_size
              AND upto - (target - copies * source_size) < (target - copies * source_size) - (upto - own)
@@ -176,4 +176,4 @@ FROM runs
 @query("op10_mixing", sql=_MIX_SQL)
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     report = mixing.mix_report(load(spark, folder, "documents"))
-    return report.select("doc_id", "size", "source_size", (F.round("target", 3) + F.lit(0.0)).alias("target"), "taken")
+    return report.select("doc_id", "size", "source_size", (F.round("target", 6) + F.lit(0.0)).alias("target"), "taken")

@@ -626,7 +626,9 @@ def test_prefix_tree_finds_all_clusters(picked):
         assert found == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "_FEW_EDGES", few)
     rng = random.Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
     label = {x: x for p in pairs for x in p}
