@@ -7,6 +7,7 @@ job appends to them or writes a new result; none rewrites what another job may b
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -35,6 +36,8 @@ from foldsafe.operators.contracts import (
 from foldsafe.operators.small import table
 from foldsafe.sources import csv, runs
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Store:
@@ -85,6 +88,16 @@ class Store:
         return ledger.read(self.spark, f"{self.path}/ledger")
 
 
+def _aligned(oof: DataFrame, labels: DataFrame, store: Store) -> None:
+    """Refuse labels with repeated ids; warn if the join by id would lose or gain rows."""
+    repeated = labels.groupBy(store.id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        raise SchemaError(f"labels repeat values of {store.id_col}")
+    before, after = metrics.alignment_drift(oof, labels, store.id_col, store.target).first()
+    if before != after:
+        log.warning("%d of %d out-of-fold rows have a label", after, before)
+
+
 def eda(df: DataFrame, out: str) -> DataFrame:
     """Describe every column and write the result as CSV."""
     found = profile.describe_all(df)
@@ -138,6 +151,7 @@ def eval_oof(store: Store, labels: DataFrame, run_id: str | None = None) -> Data
     require_binary(store.task)
     require_target(labels, store.target)
     name = store.run_id(run_id)
+    _aligned(store.oof([name]), labels, store)
     found = metrics.evaluate_oof(store.oof([name]), labels, store.id_col, store.target)
     record = found.withColumns({"run_dir": F.col("run_id"), "saved_at": F.current_timestamp()})
     runs.write_documents(record, f"{store.path}/oof_eval")
@@ -156,6 +170,7 @@ def threshold_sweep(
     """Accuracy per threshold as CSV, the best one as JSON."""
     require_target(labels, store.target)
     oof = store.oof([store.run_id(run_id)])
+    _aligned(oof, labels, store)
     scored = metrics.align(oof, labels, store.id_col, store.target)
     swept = thresholds.sweep(scored, store.target, "oof", start, stop, step)
     # A row per threshold: small, and read twice.
@@ -186,6 +201,7 @@ def ensemble_predict(
         if labels is None:
             raise SchemaError("labels are needed to match their prevalence")
         require_target(labels, store.target)
+        _aligned(store.oof(run_ids), labels, store)
         means = ensemble.mean_oof(store.oof(run_ids), labels, store.id_col, store.target)
         threshold = thresholds.prevalence_cut(means, "p", labels, store.target).threshold
     scored = {

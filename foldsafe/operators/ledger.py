@@ -53,7 +53,9 @@ def record(entries: DataFrame, run_metrics: DataFrame) -> DataFrame:
         F.col("model").alias("cv_model"),
     )
     bare = entries.drop("oof_accuracy", "oof_auc_mean", "cv_model")
-    full = bare.join(reached, "run_id", "left")
+    named = bare.filter(F.col("run_id").isNotNull()).join(reached, "run_id", "left")
+    # Entries without a run, which may be most, skip the join and stay where they are.
+    full = named.unionByName(bare.filter(F.col("run_id").isNull()), allowMissingColumns=True)
     extra = [c for c in full.columns if c not in ENTRY.names]
     return full.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRY], *extra
@@ -153,11 +155,13 @@ def report(
         F.col("score_mean").alias("cv_score_mean"),
         F.col("score_std").alias("cv_score_std"),
     )
+    rated = ledger.withColumn("_cut", cut).join(rates, "file", "left")
+    named = rated.filter(F.col("run_id").isNotNull()).join(facts, "run_id", "left")
+    named = named.join(computed, ["run_id", "_cut"], "left")
+    # Entries without a run, which may be most, skip these joins and stay where they are.
+    unnamed = rated.filter(F.col("run_id").isNull())
     return (
-        ledger.withColumn("_cut", cut)
-        .join(rates, "file", "left")
-        .join(facts, "run_id", "left")
-        .join(computed, ["run_id", "_cut"], "left")
+        named.unionByName(unnamed, allowMissingColumns=True)
         .withColumn("oof_accuracy", F.coalesce("oof_accuracy", "_computed"))
         .drop("_cut", "_computed")
     )

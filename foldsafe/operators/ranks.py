@@ -122,6 +122,25 @@ def places(df: DataFrame, by: Sequence[str], order: str, name: str = "place") ->
     )
 
 
+def with_row_id(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Number the rows of a table without an id, 0-based, in the order of the given columns.
+
+    Rows that agree in those columns follow a hash of the whole row; only rows that are equal in every
+    column may swap numbers, which changes nothing. The rows are sorted over all tasks.
+    """
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    ordered = written(
+        df.sort(*order, whole).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}),
+        "row-ids",
+    )
+    # One row per task.
+    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    offsets = parts.select("_part", "_first", before.alias("_before"))
+    numbered = ordered.join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, F.col("_row") - F.col("_first") + F.col("_before")).select(*df.columns, name)
+
+
 def cut_blocks(
     df: DataFrame,
     id_col: str,

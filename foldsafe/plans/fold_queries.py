@@ -48,6 +48,21 @@ def time_rank(spark, sf):
     return ranks.global_rank(df, "row_id", SEED, order_col="event_time").select("row_id", "rank")
 
 
+@query(
+    "row_id_assign",
+    with_tables(
+        "passengers",
+        then="""SELECT full_name, fare, event_time, row_number() OVER (
+        ORDER BY event_time NULLS FIRST, fare NULLS FIRST, full_name NULLS FIRST) - 1 AS row_id
+        FROM (SELECT full_name, fare, event_time FROM passengers)""",
+    ),
+)
+def row_id_assign(spark, sf):
+    """Ids for a table without any, from the order of its columns."""
+    df = derived.passengers(spark, sf).select("full_name", "fare", "event_time")
+    return ranks.with_row_id(df, ["event_time", "fare", "full_name"])
+
+
 _GAPS = "CASE WHEN row_id % 7 = 0 THEN NULL ELSE target END"
 
 

@@ -118,3 +118,25 @@ def test_group_folds_and_features_have_small_plans(spark, folder):
 
     for name in ("group_assign", "features_loo"):
         assert _joins(REGISTRY[name].build(spark, folder)) <= 6
+
+
+def test_jobs_refuse_repeated_labels_and_warn(spark, tmp_path, caplog):
+    from foldsafe import jobs
+
+    store = Store(spark, str(tmp_path), "id", "y")
+    oof = spark.createDataFrame([(i, 0.5) for i in range(4)], "id long, oof double")
+    labels = spark.createDataFrame([(i, 1) for i in range(3)], "id long, y int")
+    with caplog.at_level("WARNING"):
+        jobs._aligned(oof, labels, store)
+    assert "3 of 4" in caplog.text
+    with pytest.raises(SchemaError):
+        jobs._aligned(oof, labels.unionByName(labels), store)
+
+
+def test_row_ids(spark):
+    rows = [(None, "b"), (1, "a"), (1, "a"), (0, "z"), (1, None)]
+    got = ranks.with_row_id(spark.createDataFrame(rows, "x long, t string"), ["x", "t"]).collect()
+    assert [(r["x"], r["t"]) for r in sorted(got, key=lambda r: r["row_id"])] == [
+        (None, "b"), (0, "z"), (1, None), (1, "a"), (1, "a")
+    ]
+    assert sorted(r["row_id"] for r in got) == list(range(5))
