@@ -4,17 +4,20 @@ A line is what stands between two `\\n`. A line with words fails by one of these
 that holds:
 
 * ``symbols``: more than one symbol of ``#*$%&|<>`` per five words (markup, tables, menus);
-* ``navigation``: two or more separators ``|``, ``>`` or bullets between words, or the menu phrases;
-* ``boilerplate``: a legal, cookie or script notice (`BOILERPLATE`);
+* ``navigation``: two or more separators ``|`` or ``>`` that are over a tenth of its words, or menu phrases
+  (`MENU`) that hold over a quarter of them;
+* ``boilerplate``: a legal, cookie or script notice (`BOILERPLATE`), in lines of up to 20 words. Of longer
+  lines only the sentences that hold the phrase go, and only those of up to 40 words: a longer one is prose;
 * ``shouting``: most ASCII letters are capitals, in lines of three words or more;
 * ``stutter``: over 30 % of its words equal the word before them, in lines of five words or more;
 * ``copies``: the text has this line at least twice above;
 * ``punctuation``: it does not end in closing punctuation and no word before its last does (a line of
   prose that is cut off in its last sentence stays).
 
-Lines without words are kept as they are. A document is rejected if it fails the base rules (fewer
-than 20 words, or over 30 % of its words inside repeated 8-word windows), or if the lines removed
-hold over `most_lost` of its words.
+Phrases count at word boundaries only. Counts of lines hold those removed whole; the words of removed
+sentences count as removed. Lines without words are kept as they are. A document is rejected if it fails the base rules (fewer
+than 20 words, or over 30 % of its words inside repeated 8-word windows), or if what is removed
+holds over `most_lost` of its words.
 
 Null text: no words, so it is rejected; its `clean_text` is null. Rows repeat or tie freely: each is
 judged alone. Extra columns pass through; a column of the input with a result's name is replaced.
@@ -39,6 +42,10 @@ MOST_LOST = 0.5
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
+SEPARATORS_IN = 10  # words a separator, at most, in a menu
+PHRASES_IN = 4  # words a word of a menu phrase, at most, in a menu
+SHORT_LINE = 20
+LONGEST_NOTICE = 40
 # Phrases of notices and menus, in lower case.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies",
@@ -68,7 +75,12 @@ _UPPER, _LOWER = _marks("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _marks("abcdefghijklmnopq
 _CLOSING = _marks(".!?:;\"')]}")
 # Closing punctuation outside ASCII.
 _WIDE_CLOSING = tuple(c.encode() for c in "…»”’。！？）」』")
+_STOP, _QUOTE = _marks(".!?"), _marks("\"')]}")
+_WIDE_STOP = tuple(c.encode() for c in "…。！？")
 _PHRASES = {"boilerplate": [p.encode() for p in BOILERPLATE], "navigation": [p.encode() for p in MENU]}
+_LETTER = _marks("0123456789_") | _UPPER | _LOWER | (np.arange(256) >= 0x80)
+# Bytes that begin a mark and no letter: Latin-1 signs, general punctuation, CJK punctuation.
+_WIDE_MARK = ((b"\xc2",), (b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"))
 
 
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
@@ -128,6 +140,64 @@ def _places(data: bytes, phrase: bytes) -> Iterator[int]:
         at = data.find(phrase, at + 1)
 
 
+def _phrases(
+    data: np.ndarray, lowered: bytes, phrases: list[bytes], begins: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and line of every phrase that stands between word boundaries inside a line."""
+    found = [(at, at + len(p)) for p in phrases for at in _places(lowered, p)]
+    first, last = np.array(sorted(found), np.int64).reshape(-1, 2).T
+    line = np.searchsorted(begins, first, side="right") - 1
+    inside = last <= ends[line]
+    first, last, line = first[inside], last[inside], line[inside]
+    open_, close = first == begins[line], last == ends[line]
+    open_[~open_] = ~_LETTER[data[first[~open_] - 1]]
+    close[~close] = ~_LETTER[data[last[~close]]]
+    two, three = _WIDE_MARK
+    for i in np.flatnonzero(~open_):
+        before = lowered[max(begins[line[i]], first[i] - 3): first[i]]
+        open_[i] = before[-2:].startswith(two) or before.startswith(three)
+    for i in np.flatnonzero(~close):
+        close[i] = lowered[last[i]: last[i] + 2].startswith(two + three)
+    ok = open_ & close
+    return first[ok], last[ok], line[ok]
+
+
+def _notices(
+    texts: Texts, hits: tuple[np.ndarray, np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray],
+    closed: np.ndarray, long: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the bytes and the words of sentences that hold a phrase, in long lines."""
+    bytes_, marks = np.zeros(len(texts.data), bool), np.zeros(len(words[0]), bool)
+    starts, line_of = words
+    if not long[hits[2]].any():
+        return bytes_, marks
+    # A sentence is a run of words up to one that closes it, or to the end of the line.
+    opens = np.ones(len(starts), bool)
+    opens[1:] = closed[:-1] | (line_of[1:] != line_of[:-1])
+    sentence = np.cumsum(opens) - 1
+    heads = np.append(np.flatnonzero(opens), len(starts))
+    ends = np.append(starts[1:], len(texts.data))
+    for first, last, line in zip(*hits):
+        if not long[line]:
+            continue
+        low, high = np.searchsorted(starts, (first, last - 1), side="right") - 1
+        low, high = heads[sentence[low]], heads[sentence[high] + 1]
+        if high - low <= LONGEST_NOTICE:
+            marks[low:high] = True
+            # The white space after it goes too, but no line break.
+            until = high - 1 if high < len(starts) and line_of[high] == line else None
+            stop = ends[until] if until is not None else _word_end(texts.data, starts[high - 1])
+            bytes_[starts[low]: stop] = True
+    return bytes_, marks
+
+
+def _word_end(data: np.ndarray, start: int) -> int:
+    at = start
+    while at < len(data) and not textarrays.SPACE[data[at]]:
+        at += 1
+    return at
+
+
 def _earlier_copies(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """For each line how many lines before it in its text are equal."""
     keys = combine(mix(rows.astype(np.uint64)), hashes)
@@ -159,33 +229,37 @@ def _judged(texts: Texts, most_lost: float) -> dict[str, np.ndarray | list]:
 
     lowered = data.tobytes().lower()
 
-    def phrases(rule: str) -> np.ndarray:
-        hits = np.array([at for p in _PHRASES[rule] for at in _places(lowered, p)], np.int64)
-        return _count(np.searchsorted(begins, hits, side="right") - 1, len(begins)) > 0
+    def phrases(rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _phrases(data, lowered, _PHRASES[rule], begins, ends)
 
-    upper, lower = sums(_UPPER), sums(_LOWER)
+    menus, notices = phrases("navigation"), phrases("boilerplate")
+    menu_words = np.bincount(menus[2], _words_of(lowered, menus), len(begins))
+    long = words > SHORT_LINE
+    closed, sentence_ends = _closed(data, starts, line_of, ends, len(begins))
+    cut, cut_words = _notices(texts, notices, (starts, line_of), sentence_ends, long)
+    upper, lower, separators = sums(_UPPER), sums(_LOWER), sums(_SEPARATOR)
     equal = np.zeros(len(starts), bool)
     if len(starts):
         equal[1:] = (word_hashes[1:] == word_hashes[:-1]) & (line_of[1:] == line_of[:-1])
     before = _earlier_copies(line_rows, line_hashes) if len(begins) else np.zeros(0, np.int64)
     verdicts = {
         "symbols": 5 * sums(_SYMBOL) > words,
-        "navigation": (sums(_SEPARATOR) >= 2) | phrases("navigation"),
-        "boilerplate": phrases("boilerplate"),
+        "navigation": ((separators >= 2) & (SEPARATORS_IN * separators > words)) | (PHRASES_IN * menu_words > words),
+        "boilerplate": (_count(notices[2], len(begins)) > 0) & ~long | has & (_count(line_of[cut_words], len(begins)) == words),
         "shouting": (words >= 3) & (upper > lower),
         "stutter": (words >= 5) & (10 * _count(line_of[equal], len(begins)) > 3 * words),
         "copies": before >= 2,
-        "punctuation": ~_closed(data, starts, line_of, ends, len(begins)),
+        "punctuation": ~closed,
     }
     for i, rule in reversed(list(enumerate(RULES))):
         fails[verdicts[rule] & has] = i + 1
     gone = fails > 0
-    lost = _count(word_rows[gone[line_of]], n) if len(starts) else np.zeros(n, np.int64)
+    lost = _count(word_rows[gone[line_of] | cut_words], n) if len(starts) else np.zeros(n, np.int64)
     n_words, repeated = _count(word_rows, n), _count(word_rows[repeats], n)
     characters = texts.characters()
     base_failed = (n_words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * n_words)
     found = {
-        "clean_text": _without(texts, begins, line_rows, gone),
+        "clean_text": _without(texts, begins, gone, cut),
         "n_words": n_words,
         "word_chars": texts.sums(characters & ~texts.spaces()),
         "n_symbols": texts.sums(_SYMBOL[data]),
@@ -200,28 +274,36 @@ def _judged(texts: Texts, most_lost: float) -> dict[str, np.ndarray | list]:
     return found | {f"lines_{r}": _count(line_rows[fails == i + 1], n) for i, r in enumerate(RULES)}
 
 
-def _closed(data: np.ndarray, starts: np.ndarray, line_of: np.ndarray, ends: np.ndarray, n_lines: int) -> np.ndarray:
-    """Marks lines in which the last word, or one before it, ends in closing punctuation."""
+def _words_of(lowered: bytes, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[int]:
+    return [len(lowered[a:b].split()) for a, b, _ in zip(*hits)]
+
+
+def _closed(
+    data: np.ndarray, starts: np.ndarray, line_of: np.ndarray, ends: np.ndarray, n_lines: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Marks lines in which the last word, or one before it, ends in closing punctuation; and words that end a sentence."""
     closed = np.zeros(n_lines, bool)
     if not len(starts):
-        return closed
+        return closed, np.zeros(0, bool)
     space = textarrays.SPACE[data]
     at_end = np.append(space[1:], True)
     at_end[ends[line_of] - 1] = True
     tails = np.flatnonzero(~space & at_end)
-    tail_lines = np.searchsorted(ends, tails, side="right")
-    ok = _CLOSING[data[tails]]
+    ok, stops = _CLOSING[data[tails]], _STOP[data[tails]]
+    stops |= _QUOTE[data[tails]] & (tails > starts) & _STOP[data[tails - 1]]
     for i in np.flatnonzero(data[tails] >= 0x80):
-        ok[i] = data[max(0, tails[i] - 3): tails[i] + 1].tobytes().endswith(_WIDE_CLOSING)
-    closed[tail_lines[ok]] = True
-    return closed
+        last = data[max(0, tails[i] - 3): tails[i] + 1].tobytes()
+        ok[i] = last.endswith(_WIDE_CLOSING)
+        stops[i] = last.endswith(_WIDE_STOP) or ok[i] and bool(_STOP[data[max(starts[i], tails[i] - 3)]])
+    closed[line_of[ok]] = True
+    return closed, stops
 
 
-def _without(texts: Texts, begins: np.ndarray, line_rows: np.ndarray, gone: np.ndarray) -> list[str]:
-    """Each row's text without its removed lines; a line goes with the line break after it."""
-    if gone.any():
+def _without(texts: Texts, begins: np.ndarray, gone: np.ndarray, cut: np.ndarray) -> list[str]:
+    """Each row's text without its removed lines and the cut bytes; a line goes with the line break after it."""
+    if gone.any() or cut.any():
         spans = np.diff(np.append(begins, len(texts.data)))
-        keep = np.repeat(~gone, spans) if len(begins) else np.zeros(0, bool)
+        keep = np.repeat(~gone, spans) & ~cut if len(begins) else np.zeros(0, bool)
         kept = texts.data[keep]
         lengths = texts.sums(keep)
         texts = Texts(kept, np.concatenate(([0], np.cumsum(lengths))))

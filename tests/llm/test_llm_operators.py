@@ -151,6 +151,38 @@ def test_quality_rejects_what_loses_much(spark):
     assert kept[3]["base_failed"] and kept[4]["lines_copies"] == 1
 
 
+def judged(*texts):
+    found = [quality._judged(t, 0.5) for _, t in textarrays.chunks(pa.array(texts, pa.string()))]
+    return [{k: v[i] for k, v in part.items()} for part in found for i in range(len(part["kept"]))]
+
+
+def test_quality_long_lines():
+    prose = " ".join(f"Word{i} is not like word{i + 1} at all." for i in range(40))
+    clean = [
+        f"{prose} Then x > 3 and y > 4 hold.", f"{prose} They read more, blog in May and design in June, then sign in.",
+        f"{prose} The blog in question. (Log in first.)", prose + " He came back to tops and catalog inns.",
+    ]
+    for row, text in zip(judged(*clean), clean):
+        assert row["kept"] and row["clean_text"] == text and row["n_words_removed"] == row["n_lines_removed"] == 0
+    notice = "\u201cAll rights reserved\u201d by us."
+    rows = judged(f"{prose} {notice} {prose[:-1]} again.\nThe end.", f"{prose} {notice}\nNew sentence begins here.", f"{notice} {prose}")
+    assert [r["clean_text"] for r in rows] == [
+        f"{prose} {prose[:-1]} again.\nThe end.", f"{prose} \nNew sentence begins here.", prose,
+    ]
+    assert [(r["n_words_removed"], r["n_lines_removed"], r["lines_boilerplate"]) for r in rows] == [(5, 0, 0)] * 3
+    endless = "one more word " * 40 + "on the privacy policy of " + "many other words " * 40 + "ends."
+    assert judged(endless)[0]["n_words_removed"] == 0
+    assert judged(" ".join(["See our terms of use."] * 8))[0]["lines_boilerplate"] == 1
+
+
+def test_quality_phrases_at_word_boundaries():
+    lines = ["Design in oak is back.", "The blog in question is old.", "Sign in", "Please click here!", "\u201cRead more\u201d", "élog in.", "\u3000Sign in\u3002"]
+    rows = judged(*lines)
+    assert [r["lines_navigation"] for r in rows] == [0, 0, 1, 1, 1, 0, 1]
+    # A phrase is not put together from two rows.
+    assert [r["lines_navigation"] for r in judged("We sign", " in.", "a blog", "log in")] == [0, 0, 0, 1]
+
+
 def test_quality_awkward(awkward, empty):
     clash = awkward.withColumn("kept", F.lit("x")).withColumn("other", F.lit(1))
     rows = quality.clean_lines(clash).collect()
