@@ -12,7 +12,8 @@ that holds:
 * ``stutter``: over 30 % of its words equal the word before them, in lines of five words or more;
 * ``copies``: the text has this line at least twice above;
 * ``punctuation``: it does not end in closing punctuation and no word before its last does (a line of
-  prose that is cut off in its last sentence stays).
+  prose that is cut off in its last sentence stays). Sentence marks of all scripts count, wherever they stand
+  (many scripts write no spaces); lines mostly in a script without such marks (Thai, Lao, Tai) pass.
 
 Phrases count at word boundaries only. Counts of lines hold those removed whole; the words of removed
 sentences count as removed. Lines without words are kept as they are. A document is rejected if it fails the base rules (fewer
@@ -26,6 +27,7 @@ The work is one narrow pass: no shuffle, memory bounded by a chunk of text or th
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,10 +75,39 @@ _SYMBOL = _marks("#*$%&|<>")
 _SEPARATOR = _marks("|>")
 _UPPER, _LOWER = _marks("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _marks("abcdefghijklmnopqrstuvwxyz")
 _CLOSING = _marks(".!?:;\"')]}")
-# Closing punctuation outside ASCII.
-_WIDE_CLOSING = tuple(c.encode() for c in "…»”’。！？）」』")
+# Fixed values, by code point: what ends a sentence (Unicode's Sentence_Terminal, and the marks of Hebrew, Tibetan,
+# Greek and Armenian that do so), what stands where : and ; do, and scripts that have no such marks.
+_ENDS = (
+    "37E 55C 55E 589 5C3 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 F08 F0D-F12 104A-104B 1362 1367-1368 166E "
+    "1735-1736 17D4-17D5 1803 1809 1944-1945 1AA8-1AAB 1B4E-1B4F 1B5A-1B5B 1B5E-1B5F 1B7D-1B7F 1C3B-1C3C 1C7E-1C7F 2024 "
+    "2026 203C-203D 2047-2049 2CF9-2CFB 2E2E 2E3C 2E53-2E54 3002 A4FF A60E-A60F A6F3 A6F7 A876-A877 A8CE-A8CF A92F "
+    "A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE12 FE15-FE16 FE52 FE56-FE57 FF01 FF0E FF1F FF61 10A56-10A57 10F55-10F59 "
+    "10F86-10F89 11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C 112A9 "
+    "113D4-113D5 1144B-1144C 115C2-115C3 115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C "
+    "11C41-11C42 11EF7-11EF8 11F43-11F44 16A6E-16A6F 16AF5 16B37-16B38 16B44 16D6E-16D6F 16E98 1BC9F 1DA88"
+)
+_PAUSES = "387 61B 703-709 1361 1364-1366 17D6 1804 1808 2E35 A6F4 A6F6 FE13-FE14 FE54-FE55 FF1A-FF1B"
+_UNMARKED = "E00-E7F E80-EFF 1950-197F 1980-19DF AA80-AADF"
+_END, _CLOSE, _BARE = 1, 2, 4
+_MOST_POINTS = 0x20000  # none of these lies above
+
+
+def _points() -> np.ndarray:
+    """The kind of each code point from 0x80."""
+    kinds = np.zeros(_MOST_POINTS, np.uint8)
+    for listed, kind in ((_ENDS, _END), (_PAUSES, _CLOSE), (_UNMARKED, _BARE)):
+        for span in listed.split():
+            low, _, high = span.partition("-")
+            kinds[int(low, 16): int(high or low, 16) + 1] |= kind
+    # Closing brackets and all quotes: German closes with the mark that opens in English.
+    for i in range(0x80, _MOST_POINTS):
+        if unicodedata.category(chr(i)) in ("Pe", "Pf", "Pi"):
+            kinds[i] |= _CLOSE
+    return kinds
+
+
+_KIND = _points()
 _STOP, _QUOTE = _marks(".!?"), _marks("\"')]}")
-_WIDE_STOP = tuple(c.encode() for c in "…。！？")
 _PHRASES = {"boilerplate": [p.encode() for p in BOILERPLATE], "navigation": [p.encode() for p in MENU]}
 _LETTER = _marks("0123456789_") | _UPPER | _LOWER | (np.arange(256) >= 0x80)
 # Bytes that begin a mark and no letter: Latin-1 signs, general punctuation, CJK punctuation.
@@ -278,10 +309,23 @@ def _words_of(lowered: bytes, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     return [len(lowered[a:b].split()) for a, b, _ in zip(*hits)]
 
 
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, length and code point of the characters outside ASCII."""
+    places = np.flatnonzero(data >= 0xC0)
+    first = data[places].astype(np.int64)
+    lengths = 2 + (first >= 0xE0) + (first >= 0xF0)
+    points = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[lengths]
+    for i in (1, 2, 3):
+        more = lengths > i
+        points[more] = points[more] << 6 | data[places[more] + i] & 0x3F
+    return places, lengths, points
+
+
 def _closed(
     data: np.ndarray, starts: np.ndarray, line_of: np.ndarray, ends: np.ndarray, n_lines: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Marks lines in which the last word, or one before it, ends in closing punctuation; and words that end a sentence."""
+    """Marks lines that have closing punctuation at the end of a word, a sentence mark outside ASCII anywhere, or most
+    letters from a script without marks; and words that end a sentence."""
     closed = np.zeros(n_lines, bool)
     if not len(starts):
         return closed, np.zeros(0, bool)
@@ -291,10 +335,27 @@ def _closed(
     tails = np.flatnonzero(~space & at_end)
     ok, stops = _CLOSING[data[tails]], _STOP[data[tails]]
     stops |= _QUOTE[data[tails]] & (tails > starts) & _STOP[data[tails - 1]]
-    for i in np.flatnonzero(data[tails] >= 0x80):
-        last = data[max(0, tails[i] - 3): tails[i] + 1].tobytes()
-        ok[i] = last.endswith(_WIDE_CLOSING)
-        stops[i] = last.endswith(_WIDE_STOP) or ok[i] and bool(_STOP[data[max(starts[i], tails[i] - 3)]])
+    places, lengths, points = _wide(data)
+    kinds = _KIND[np.minimum(points, _MOST_POINTS - 1)]
+    word = np.searchsorted(starts, places, side="right") - 1
+    if len(places):
+        last = places + lengths - 1 == tails[word]
+        closes = last & ((kinds & (_END | _CLOSE)) > 0)
+        ok[word[closes]] = True
+        closed[line_of[word[(kinds & _END) > 0]]] = True
+        stops[word[last & ((kinds & _END) > 0)]] = True
+        # A quote or bracket after the mark, ASCII or not.
+        quoted = last & ((kinds & _CLOSE) > 0) & (places > starts[word])
+        stops[word[quoted]] |= _STOP[data[places[quoted] - 1]]
+        marks = np.zeros(len(data) + 1, bool)
+        marks[(places + lengths)[(kinds & _END) > 0]] = True
+        stops[word[quoted]] |= marks[places[quoted]]
+        stops |= _QUOTE[data[tails]] & (tails > starts) & marks[tails]
+        bare = _count(line_of[word[(kinds & _BARE) > 0]], n_lines)
+        if bare.any():
+            run = np.concatenate(([0], np.cumsum((_UPPER | _LOWER)[data], dtype=np.int64)))
+            begin = np.append(0, ends[:-1])
+            closed |= 2 * bare > run[ends] - run[begin] + _count(line_of[word], n_lines)
     closed[line_of[ok]] = True
     return closed, stops
 

@@ -183,6 +183,24 @@ def test_quality_phrases_at_word_boundaries():
     assert [r["lines_navigation"] for r in judged("We sign", " in.", "a blog", "log in")] == [0, 0, 0, 1]
 
 
+@pytest.mark.parametrize("line", [
+    "यह एक वाक्य है।", "यह एक वाक्य है। और यह भी", "এটি একটি বাক্য।", "یہ ایک جملہ ہے۔", "ما هذا الشيء؟", "Սա նախադասություն է։",
+    "Ինչպե՞ս եք դուք", "ይህ ዓረፍተ ነገር ነው።", "នេះគឺជាប្រយោគ។", "ဒါက ဝါကျတစ်ခုပါ။", "ཡིན་ནོ།", "你好。今天天气很好，我们", "彼は「はい」", "Er sagt „ja“",
+    "Il dit « oui »", "Τι είναι αυτό\u037e", "นี่คือ ประโยค ภาษาไทย", "ນີ້ແມ່ນ ປະໂຫຍກ", "ภาษาไทย เขียน ด้วย Python ครับ",
+])
+def test_quality_punctuation_of_all_scripts(line):
+    row = judged(line)[0]
+    assert row["lines_punctuation"] == row["n_lines_removed"] == 0
+
+
+def test_quality_punctuation_still_fails():
+    lines = ["यह एक वाक्य है", "без точки в конце", "你好，今天天气", "A line with one Thai word ไทย in it", "“quoted” words then more", "no end é"]
+    assert [r["lines_punctuation"] for r in judged(*lines)] == [1, 1, 1, 1, 0, 1]
+    assert judged("\n".join(lines))[0]["lines_punctuation"] == 5
+    thai = "\n".join(" ".join(f"คำที่{i}ก{j}" for j in range(30)) for i in range(5))
+    assert judged(thai)[0]["kept"]
+
+
 def test_quality_awkward(awkward, empty):
     clash = awkward.withColumn("kept", F.lit("x")).withColumn("other", F.lit(1))
     rows = quality.clean_lines(clash).collect()
