@@ -11,10 +11,13 @@ Turns are ordered by number (null last), then by content. A row that repeats con
 and text counts once. Null role or text is its own value in hashes and renders as empty. Rows without
 a conversation id form one conversation. Extra columns are ignored. An empty table renders nothing.
 
-Conversations of any length are handled in blocks of `BLOCK` turn numbers, each rendered as a segment
-of its own, so no task holds a whole conversation; segments in order are the rendered conversation,
-and conversations within one block have the single segment 0. Equal prefixes are reduced to one per
-task before they move.
+Conversations of any length are handled in blocks of `BLOCK` turn numbers, and a block with more than
+`BLOCK` distinct turns (null or repeated numbers) in blocks of so many positions. Each is rendered as a
+segment of its own, so no task holds a whole conversation; segments in order are the rendered
+conversation, and conversations within one block have the single segment 0. Positions come from counts
+per conversation, turn number and range of hashes. The check SQL has one segment per block of turn
+numbers: it is the same up to `BLOCK` distinct turns in a block, and one row without bound beyond.
+Equal prefixes are reduced to one per task before they move.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 BLOCK = 256
 BEFORE_ROLE, AFTER_ROLE, AFTER_TEXT = "<|", "|>\n", "<|end|>\n"
 _NO_TURN = (1 << 62) - 1
+_CELL_BITS = 12  # of a turn's hash: turns with one number are placed by so many cells
+_ID = ["conv", "block", "turn", "h1", "h2"]
 
 
 def _turns(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -46,32 +51,40 @@ def _xor(name: str) -> Column:
     return F.bit_xor(name)
 
 
+def positions(turns: DataFrame) -> DataFrame:
+    """Distinct turns with `pos`, their place in the conversation from 1, and `part`, their block of positions in `block`."""
+    light = turns.select(*_ID).distinct().withColumn("cell", F.shiftright("h1", 64 - _CELL_BITS))
+    keys, places = ["conv", "block"], ["conv", "block", "turn", "cell"]
+    counts = light.groupBy(*places).agg(F.count(F.lit(1)).alias("n"))
+    by_cell = Window.partitionBy(*keys).orderBy("turn", "cell").rowsBetween(Window.unboundedPreceding, 0)
+    by_block = Window.partitionBy("conv").orderBy("block")
+    blocks = counts.groupBy(*keys).agg(F.sum("n").alias("n")).select(
+        *keys, (F.sum("n").over(by_block) - F.col("n")).alias("first")
+    )
+    cells = _join(counts.withColumn("inner", F.sum("n").over(by_cell) - F.col("n")).drop("n"), blocks, keys)
+    inside = Window.partitionBy(*places).orderBy("h1", "h2")
+    placed = _join(light, cells, places).withColumn("inner", F.col("inner") + F.row_number().over(inside))
+    return placed.select(
+        *_ID, (F.col("first") + F.col("inner")).alias("pos"), F.floor((F.col("inner") - 1) / BLOCK).alias("part")
+    )
+
+
 def rolling(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct turns with `pos`, the rolling hash before (`b1`, `b2`) and after (`p1`, `p2`) each; and the blocks."""
-    light = turns.select("conv", "turn", "block", "h1", "h2").distinct()
-    by_conv = Window.partitionBy("conv").orderBy("block")
-    counts = light.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
-    blocks = counts.withColumns({
-        "first": F.sum("n").over(by_conv) - F.col("n"),
-        "segment": F.row_number().over(by_conv) - 1,
-    })
-    keys = ["conv", "block"]
-    inside = Window.partitionBy(*keys).orderBy("turn", "h1", "h2")
-    placed = _join(light, blocks.select(*keys, "first"), keys).withColumn(
-        "pos", F.col("first") + F.row_number().over(inside)
+    """Distinct turns with `pos`, the rolling hash before (`b1`, `b2`) and after (`p1`, `p2`) each; and the segments."""
+    keys = ["conv", "block", "part"]
+    placed = positions(turns).withColumns({"e1": F.xxhash64("pos", "h1"), "e2": F.xxhash64("h2", "pos")})
+    totals = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _xor("e1").alias("t1"), _xor("e2").alias("t2"))
+    by_conv = Window.partitionBy("conv").orderBy("block", "part")
+    segments = totals.select(
+        *keys, (F.row_number().over(by_conv) - 1).alias("segment"), (F.sum("n").over(by_conv) - F.col("n")).alias("first"),
+        *[F.col(f"t{i}").bitwiseXOR(_xor(f"t{i}").over(by_conv)).alias(f"s{i}") for i in (1, 2)],
     )
-    placed = placed.withColumns({"e1": F.xxhash64("pos", "h1"), "e2": F.xxhash64("h2", "pos")})
-    totals = placed.groupBy(*keys).agg(_xor("e1").alias("t1"), _xor("e2").alias("t2"))
-    before = {
-        f"s{i}": F.col(f"t{i}").bitwiseXOR(_xor(f"t{i}").over(by_conv)) for i in (1, 2)
-    }
-    starts = totals.select(*keys, *[c.alias(n) for n, c in before.items()])
     until = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _join(placed, starts, keys).withColumns({
+    rows = _join(placed, segments.select(*keys, "s1", "s2"), keys).withColumns({
         f"p{i}": F.col(f"s{i}").bitwiseXOR(_xor(f"e{i}").over(until)) for i in (1, 2)
     })
     rows = rows.withColumns({f"b{i}": F.col(f"p{i}").bitwiseXOR(F.col(f"e{i}")) for i in (1, 2)})
-    return rows.select("conv", "pos", "p1", "p2", "b1", "b2"), blocks
+    return rows.select(*_ID, "part", "pos", "p1", "p2", "b1", "b2"), segments.select(*keys, "segment", "first")
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -104,21 +117,19 @@ def render(
     """`conv`, `segment`, `first_turn` (position from 1), `n_turns` (of the conversation), `n_copies` and the
     rendered `text` of every maximal conversation."""
     turns = _turns(df, conv, turn, role, text)
-    rows, blocks = rolling(turns)
-    kept = maximal(rows)
-    chosen = _join(turns, kept.select("conv"), ["conv"], "left_semi")
-    once = chosen.groupBy("conv", "block", "turn", "h1", "h2").agg(
-        F.first("role").alias("role"), F.first("text").alias("text")
-    )
-    said = once.groupBy("conv", "block").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "h1", "h2", "role", "text"))).alias("said")
+    rows, segments = rolling(turns)
+    keys = ["conv", "block", "part"]
+    # Conversations are chosen by segment, so that the rows of a long one are not joined by its id alone.
+    chosen = _join(rows.select(*_ID, "part", "pos"), _join(segments, maximal(rows), ["conv"]), keys)
+    once = turns.groupBy(*_ID).agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    said = _join(once, chosen, _ID).groupBy("conv", "segment", "first", "n_turns", "n_copies").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("said")
     )
     shown = F.transform("said", lambda s: F.concat(
         F.lit(BEFORE_ROLE), F.coalesce(s["role"], F.lit("")), F.lit(AFTER_ROLE),
         F.coalesce(s["text"], F.lit("")), F.lit(AFTER_TEXT),
     ))
-    segments = _join(said, blocks.select("conv", "block", "segment", "first"), ["conv", "block"])
-    return _join(segments, kept, ["conv"]).select(
+    return said.select(
         F.col("conv").alias(conv), F.col("segment").cast("int").alias("segment"),
         (F.col("first") + 1).alias("first_turn"), "n_turns", "n_copies", F.array_join(shown, "").alias("text"),
     )

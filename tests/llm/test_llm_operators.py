@@ -452,6 +452,23 @@ def test_chat_long_conversation(spark, monkeypatch):
     assert sorted(plain_chat(rows)) == [1, 3]
 
 
+def test_chat_many_turns_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    rows = [(None, t % 8, "u", f"x{t}") for t in range(400)] + [(7, None, "u", f"y{t}") for t in range(100)]
+    rows += rows[:50] + [(9, t, "u", f"z{t}") for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.render(df).orderBy("conv_id", "segment").collect()
+    for conv, n in ((None, 400), (7, 100), (9, 3)):
+        own = [r for r in found if r["conv_id"] == conv]
+        sizes = [r["text"].count("<|end|>") for r in own]
+        assert sum(sizes) == n and max(sizes) <= 8 and [r["segment"] for r in own] == list(range(-(-n // 8)))
+        assert [r["first_turn"] for r in own] == [1 + 8 * i for i in range(len(own))]
+        said = "".join(r["text"] for r in own)
+        texts = re.findall(r"<\|u\|>\n(.*)<\|end\|>\n", said)
+        number = {x: t or 0 for c, t, _, x in rows if c == conv}
+        assert set(texts) == set(number) and [number[x] for x in texts] == sorted(number.values())
+
+
 # language
 
 
