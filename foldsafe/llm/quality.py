@@ -195,7 +195,7 @@ def _phrases(
 
 def _notices(
     texts: Texts, hits: tuple[np.ndarray, np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray],
-    closed: np.ndarray, long: np.ndarray,
+    closed: np.ndarray, long: np.ndarray, line_ends: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Marks the bytes and the words of sentences that hold a phrase, in long lines."""
     bytes_, marks = np.zeros(len(texts.data), bool), np.zeros(len(words[0]), bool)
@@ -217,14 +217,14 @@ def _notices(
             marks[low:high] = True
             # The white space after it goes too, but no line break.
             until = high - 1 if high < len(starts) and line_of[high] == line else None
-            stop = ends[until] if until is not None else _word_end(texts.data, starts[high - 1])
+            stop = ends[until] if until is not None else _word_end(texts.data, starts[high - 1], line_ends[line])
             bytes_[starts[low]: stop] = True
     return bytes_, marks
 
 
-def _word_end(data: np.ndarray, start: int) -> int:
+def _word_end(data: np.ndarray, start: int, end: int) -> int:
     at = start
-    while at < len(data) and not textarrays.SPACE[data[at]]:
+    while at < end and not textarrays.SPACE[data[at]]:
         at += 1
     return at
 
@@ -267,7 +267,7 @@ def _judged(texts: Texts, most_lost: float) -> dict[str, np.ndarray | list]:
     menu_words = np.bincount(menus[2], _words_of(lowered, menus), len(begins))
     long = words > SHORT_LINE
     closed, sentence_ends = _closed(data, starts, line_of, ends, len(begins))
-    cut, cut_words = _notices(texts, notices, (starts, line_of), sentence_ends, long)
+    cut, cut_words = _notices(texts, notices, (starts, line_of), sentence_ends, long, ends)
     upper, lower, separators = sums(_UPPER), sums(_LOWER), sums(_SEPARATOR)
     equal = np.zeros(len(starts), bool)
     if len(starts):

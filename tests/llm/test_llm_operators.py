@@ -170,6 +170,8 @@ def test_quality_long_lines():
         f"{prose} {prose[:-1]} again.\nThe end.", f"{prose} \nNew sentence begins here.", prose,
     ]
     assert [(r["n_words_removed"], r["n_lines_removed"], r["lines_boilerplate"]) for r in rows] == [(5, 0, 0)] * 3
+    # A sentence at the end of a row does not reach into the next row.
+    assert [r["clean_text"] for r in judged(f"{prose} {notice}", "Next.")][1] == "Next."
     endless = "one more word " * 40 + "on the privacy policy of " + "many other words " * 40 + "ends."
     assert judged(endless)[0]["n_words_removed"] == 0
     assert judged(" ".join(["See our terms of use."] * 8))[0]["lines_boilerplate"] == 1
