@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldsafe.llm import chat, jaccard, language, mixing, ngram_lm, packing, pii, quality, search, tokens
+from foldsafe.llm import (
+    chat, jaccard, language, mixing, ngram_lm, packing, pii, quality, search, tokens, variants,
+)
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
 from foldsafe.sources.tables import load
@@ -177,3 +179,10 @@ FROM runs
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     report = mixing.mix_report(load(spark, folder, "documents"))
     return report.select("doc_id", "size", "source_size", (F.round("target", 6) + F.lit(0.0)).alias("target"), "taken")
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of at least 5 letters and 3 occurrences; some runs lose a letter first, by a rule on their document."""
+    counted = variants.word_counts(load(spark, folder, "documents"), "text", 5, "doc_id", 97)
+    return variants.group(counted.where("n >= 3"))
