@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsafe.llm import (
-    chat, jaccard, language, mixing, ngram_lm, packing, pii, quality, search, tokens, variants,
+    chat, jaccard, language, mixing, ngram_lm, packing, pii, quality, search, tokens, variants, wavelet, whitening,
 )
 from foldsafe.llm.registry import query
 from foldsafe.sources import scratch
@@ -186,3 +186,22 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Words of at least 5 letters and 3 occurrences; some runs lose a letter first, by a rule on their document."""
     counted = variants.word_counts(load(spark, folder, "documents"), "text", 5, "doc_id", 97)
     return variants.group(counted.where("n >= 3"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries become whole numbers first; a vector with an entry that is none (null, infinite, not a number) is left out."""
+    entry = "embedding"
+    finite = F.forall(entry, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    whole = F.transform(entry, lambda x: F.floor(x.cast("double") * 64).cast("long") + 1_000_000)
+    rows = load(spark, folder, "embeddings").where(F.col(entry).isNotNull() & finite).select("vec_id", whole.alias(entry))
+    return whitening.transform(rows, whitening.fit(rows, entry), entry, ["vec_id"])
+
+
+@query("op12_wavelet_shards")
+def op12_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything returned is read back from the files."""
+    path = scratch.new_path(spark, "wavelet")
+    wavelet.write(load(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"), path)
+    found = wavelet.documents(wavelet.open_index(spark, path))
+    return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
