@@ -1,4 +1,9 @@
-"""Spark ML estimators by name, with parameters in the names users of tabular libraries know."""
+"""Estimators by name, with parameters in the names users of tabular libraries know.
+
+Linear models and forests are Spark ML estimators; boosted trees are this library's (`boosting`), with the penalties,
+minimum leaves, row and column shares and missing values that each name stands for. `cross_fit` trains linear and boosted models
+of all folds together by the same settings.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,12 @@ import logging
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 
 from foldsafe.errors import MetricError, TrainingError
+from foldsafe.operators.boosting import Settings
+from foldsafe.operators.fitted import BoostedClassifier, BoostedRegressor
 
 LABEL = "label"
 FEATURES = "features"
@@ -35,18 +42,32 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "ridge": {"alpha": 1.0},
     "rf": {"n_estimators": 300, "random_state": 42, "max_depth": 30, "max_features": "sqrt"},
     "gbc": {"n_estimators": 200, "learning_rate": 0.05, "max_depth": 3, "random_state": 42},
-    "hgb": {"max_iter": 100, "learning_rate": 0.06, "max_depth": 3, "max_bins": 255, "random_state": 42},
+    "hgb": {
+        "max_iter": 100,
+        "learning_rate": 0.06,
+        "max_depth": 3,
+        "max_bins": 255,
+        "l2_regularization": 0.0,
+        "min_samples_leaf": 20,
+        "random_state": 42,
+    },
     "xgb": {
         "n_estimators": 400,
         "max_depth": 4,
         "learning_rate": 0.05,
         "subsample": 0.9,
         "colsample_bytree": 0.9,
+        "reg_lambda": 1.0,
+        "min_child_weight": 1.0,
         "random_state": 42,
     },
-    "catboost": {"iterations": 800, "depth": 4, "learning_rate": 0.05, "random_seed": 42},
+    "catboost": {"iterations": 800, "depth": 4, "learning_rate": 0.05, "l2_leaf_reg": 3.0, "random_seed": 42},
 }
-# Settings that steer threads, printing or penalties Spark's trees do not have.
+BOOSTED = ("gbc", "hgb", "xgb", "catboost")
+LINEAR = ("logistic", "ridge")
+# Names whose trees send missing values to a side of their own; the others get imputed ones.
+NATIVE_BLANKS = ("hgb", "xgb", "catboost")
+# Settings that steer threads or printing.
 IGNORED = {
     "n_jobs",
     "verbose",
@@ -56,9 +77,6 @@ IGNORED = {
     "loss_function",
     "tree_method",
     "use_label_encoder",
-    "reg_lambda",
-    "l2_leaf_reg",
-    "l2_regularization",
     "solver",
 }
 _FOREST = {
@@ -71,20 +89,33 @@ _FOREST = {
     "subsample": "subsamplingRate",
 }
 _BOOSTING = {
-    "n_estimators": "maxIter",
-    "iterations": "maxIter",
-    "max_iter": "maxIter",
-    "max_depth": "maxDepth",
-    "depth": "maxDepth",
-    "learning_rate": "stepSize",
-    "max_bins": "maxBins",
+    "n_estimators": "rounds",
+    "iterations": "rounds",
+    "max_iter": "rounds",
+    "max_depth": "depth",
+    "depth": "depth",
+    "learning_rate": "rate",
+    "max_bins": "bins",
     "random_state": "seed",
     "random_seed": "seed",
-    "subsample": "subsamplingRate",
-    "colsample_bytree": "featureSubsetStrategy",
-    "max_features": "featureSubsetStrategy",
-    "min_samples_leaf": "minInstancesPerNode",
+    "subsample": "row_share",
+    "colsample_bytree": "feature_share",
+    "max_features": "feature_share",
+    "min_samples_leaf": "least_rows",
+    "min_child_weight": "least_weight",
+    "l2_regularization": "penalty",
+    "reg_lambda": "penalty",
+    "l2_leaf_reg": "penalty",
 }
+# What a name stands for besides its parameters: splits judged by rows instead of curvature, one split per level, and
+# scores that start at 0 for a binary task.
+_FORMS: dict[str, dict[str, Any]] = {
+    "gbc": {"by_rows": True},
+    "hgb": {},
+    "xgb": {},
+    "catboost": {"symmetric": True},
+}
+_FOREST_MB = 1024
 _AS_TEXT = {"featureSubsetStrategy"}
 
 log = logging.getLogger(__name__)
@@ -110,6 +141,27 @@ def canonical(name: str) -> str:
     return key
 
 
+def boosting_settings(name: str, task: str, params: dict[str, Any] | None = None) -> Settings:
+    """Settings of the booster for a model name."""
+    key = canonical(name)
+    known = _translate(name, {**DEFAULTS[key], **(params or {})}, _BOOSTING)
+    from_prior = not (key == "catboost" and task == "binary")
+    try:
+        return Settings(**known, **_FORMS[key], from_prior=from_prior)
+    except TypeError as error:
+        raise TrainingError(f"{name}: {error}") from error
+
+
+def linear_settings(name: str, task: str, params: dict[str, Any] | None = None) -> dict[str, Any]:
+    """What a linear model is fitted with: strength of the penalty, and whether it has an intercept."""
+    key = canonical(name)
+    if key == "logistic" and task != "binary":
+        raise TrainingError("logistic needs a binary task")
+    names = {"C": "C", "alpha": "alpha", "max_iter": "max_iter", "tol": "tol", "fit_intercept": "fit_intercept"}
+    own = ("C", "max_iter", "tol", "fit_intercept") if key == "logistic" else ("alpha", "max_iter", "fit_intercept")
+    return _translate(name, {**DEFAULTS[key], **(params or {})}, {k: v for k, v in names.items() if k in own})
+
+
 def make(
     name: str,
     task: str,
@@ -150,6 +202,7 @@ def make(
         )
     if key == "rf":
         kind = RandomForestClassifier if task == "binary" else RandomForestRegressor
-        return kind(**columns, **_translate(name, merged, _FOREST))
-    kind = GBTClassifier if task == "binary" else GBTRegressor
-    return kind(**columns, **_translate(name, merged, _BOOSTING))
+        # Deep trees: nodes of a level that do not fit the memory for one pass cost another pass over the rows.
+        return kind(**columns, **_translate(name, merged, _FOREST), maxMemoryInMB=_FOREST_MB, cacheNodeIds=True)
+    kind = BoostedClassifier if task == "binary" else BoostedRegressor
+    return kind(boosting_settings(name, task, params))

@@ -232,6 +232,19 @@ def learn(
     return in_threads(folded.sparkSession, assemble, range(n_splits), n_splits)
 
 
+def with_blanks(prep: PipelineModel) -> PipelineModel:
+    """The same fitted pipeline, but blank numbers reach the feature vector as NaN instead of being filled."""
+    out = []
+    for stage in prep.stages:
+        if isinstance(stage, NumericModel):
+            kept = [(name, output, None, mean, sd) for name, output, _, mean, sd in stage.recall()["columns"]]
+            stage = NumericModel().remember(columns=kept)
+        elif isinstance(stage, VectorAssembler):
+            stage = VectorAssembler(inputCols=stage.getInputCols(), outputCol=stage.getOutputCol(), handleInvalid="keep")
+        out.append(stage)
+    return PipelineModel(out)
+
+
 class Preprocessor(Estimator):
     """Preprocessing as an estimator for an ordinary Spark ML pipeline: learns from all rows given."""
 

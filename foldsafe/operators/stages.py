@@ -43,12 +43,16 @@ class _JsonState(Params):
 
 
 class NumericModel(Transformer, _JsonState, DefaultParamsReadable, DefaultParamsWritable):
-    """Fill blanks and standardise: ``(x or fill) - mean) / sd`` into one output column each."""
+    """Fill blanks and standardise: ``(x or fill) - mean) / sd`` into one output column each.
+
+    Without a fill value blanks stay blank.
+    """
 
     def _transform(self, df: DataFrame) -> DataFrame:
         made = {}
         for name, output, fill, mean, deviation in self.recall()["columns"]:
-            made[output] = (F.coalesce(known(F.col(name)), F.lit(fill)) - mean) / deviation
+            value = known(F.col(name)) if fill is None else F.coalesce(known(F.col(name)), F.lit(fill))
+            made[output] = (value - mean) / deviation
         return df.withColumns(made) if made else df
 
 

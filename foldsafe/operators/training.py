@@ -10,13 +10,15 @@ from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsafe.config import CVConfig, FeaturesConfig, ModelSpec
 from foldsafe.errors import InferenceError, TrainingError
-from foldsafe.operators import loo, metrics, models, preprocess, scoring, splits
+from foldsafe.operators import boosting, linear, loo, metrics, models, preprocess, scoring, splits
 from foldsafe.operators.contracts import require_columns, require_target
+from foldsafe.operators.fitted import BoostedModel, LinearModel
 from foldsafe.operators.small import table
 from foldsafe.operators.threads import in_threads
 from foldsafe.sources import runs as run_tables
@@ -135,6 +137,65 @@ def _fit_fold(
         ready.unpersist()
 
 
+def _lanes(folded: DataFrame, preps: list[PipelineModel], scheme: str, id_col: str) -> DataFrame:
+    """The training rows of every holdout under its own pipeline, one below the other."""
+    parts = []
+    for holdout, prep in enumerate(preps):
+        train = folded.filter(splits.trains_on(scheme, F.col(splits.FOLD), holdout))
+        parts.append(prep.transform(train).select(
+            F.lit(holdout).alias("lane"), F.xxhash64(id_col).alias("key"), F.col(models.LABEL).alias("label"),
+            vector_to_array(models.FEATURES).alias("features"),
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fit_together(
+    folded: DataFrame,
+    preps: list[PipelineModel],
+    specs: dict[str, ModelSpec],
+    task: str,
+    scheme: str,
+    id_col: str,
+) -> dict[str, list[PipelineModel]]:
+    """The models that are trained for all holdouts at once: boosted trees and, of few features, linear ones."""
+    made: dict[str, list[PipelineModel]] = {}
+
+    def keep(name: str, used: list[PipelineModel], found: dict[int, Transformer]) -> None:
+        missing = [h for h in range(len(preps)) if h not in found]
+        if missing:
+            raise TrainingError(f"folds without training rows: {missing}")
+        made[name] = [PipelineModel([*prep.stages, found[h]]) for h, prep in enumerate(used)]
+
+    straight = {n: s for n, s in specs.items() if models.canonical(s.name) in models.LINEAR}
+    if straight and _width(folded, preps) <= linear.MOST_FEATURES:
+        with linear.Lanes(_lanes(folded, preps, scheme, id_col)) as lanes:
+            for name, spec in straight.items():
+                own = models.linear_settings(spec.name, task, spec.params)
+                intercept = own.get("fit_intercept", True)
+                if models.canonical(spec.name) == "ridge":
+                    found = linear.ridge(lanes, own["alpha"], intercept)
+                else:
+                    found = linear.logistic(lanes, own["C"], intercept, own["max_iter"], min(own.get("tol", 1e-10), 1e-8))
+                keep(name, preps, {h: LinearModel.make(m.coefficients, m.intercept, task) for h, m in found.items()})
+    for name, spec in specs.items():
+        key = models.canonical(spec.name)
+        if key in models.BOOSTED:
+            used = [preprocess.with_blanks(p) for p in preps] if key in models.NATIVE_BLANKS else preps
+            settings = models.boosting_settings(spec.name, task, spec.params)
+            found = boosting.fit(_lanes(folded, used, scheme, id_col), settings, task)
+            keep(name, used, {h: BoostedModel.make(e) for h, e in found.items()})
+    return made
+
+
+def _width(folded: DataFrame, preps: list[PipelineModel]) -> int:
+    """The largest number of features of any holdout, from column metadata, without a job."""
+    found = []
+    for prep in preps:
+        kind = prep.transform(folded).schema[models.FEATURES].metadata.get("ml_attr", {})
+        found.append(kind.get("num_attrs", linear.MOST_FEATURES + 1))
+    return max(found)
+
+
 def _score_fold(
     folded: DataFrame, holdout: int, model: Transformer, name: str, id_col: str, task: str
 ) -> DataFrame:
@@ -164,8 +225,9 @@ def cross_fit(
 ) -> Run:
     """Fit every model on every fold's training rows and score the rows it has not seen.
 
-    Preprocessing is learnt for all folds in a few shared passes. ``parallelism`` folds are trained
-    at once; each holds one persisted copy of its training vectors. ``partitions`` deals the rows
+    Preprocessing is learnt for all folds in a few shared passes. Boosted trees and linear models (of up to
+    `linear.MOST_FEATURES` features) are trained for all folds in the same jobs. Of other models ``parallelism``
+    folds are trained at once; each holds one persisted copy of its training vectors. ``partitions`` deals the rows
     out evenly first: worth one shuffle if the table comes in few or uneven files, because training
     passes over it many times.
     """
@@ -189,21 +251,22 @@ def cross_fit(
     try:
         exclude = [id_col, target, models.LABEL]
         preps = preprocess.learn(folded, features, cv.n_splits, cv.scheme, exclude)
-        labels = _training_labels(folded, cv.n_splits, cv.scheme)
-
-        def fit(holdout: int) -> tuple[dict[str, PipelineModel], list[DataFrame]]:
-            models_by_name = _fit_fold(
-                folded, holdout, preps[holdout], named, task, cv.scheme, labels[holdout]
-            )
-            scored = [
-                _score_fold(folded, holdout, model, name, id_col, task)
-                for name, model in models_by_name.items()
-            ]
-            return models_by_name, scored
-
-        per_fold = in_threads(df.sparkSession, fit, range(cv.n_splits), parallelism)
-        fitted = {name: [by_name[name] for by_name, _ in per_fold] for name in named}
-        parts = [part for _, scored in per_fold for part in scored]
+        together = _fit_together(folded, preps, named, task, cv.scheme, id_col)
+        apart = {n: s for n, s in named.items() if n not in together}
+        fitted = dict(together)
+        if apart:
+            labels = _training_labels(folded, cv.n_splits, cv.scheme)
+
+            def fit(holdout: int) -> dict[str, PipelineModel]:
+                return _fit_fold(folded, holdout, preps[holdout], apart, task, cv.scheme, labels[holdout])
+
+            per_fold = in_threads(df.sparkSession, fit, range(cv.n_splits), parallelism)
+            fitted |= {name: [by_name[name] for by_name in per_fold] for name in apart}
+        fitted = {name: fitted[name] for name in named}
+        parts = [
+            _score_fold(folded, holdout, model, name, id_col, task)
+            for name, by_fold in fitted.items() for holdout, model in enumerate(by_fold)
+        ]
         oof = written(
             reduce(DataFrame.unionByName, parts).withColumn("run_id", F.lit(run_id)), "oof"
         )
@@ -252,8 +315,11 @@ def refit(run: Run, df: DataFrame) -> PipelineModel:
     whole = labelled.withColumn(splits.FOLD, F.lit(-1)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         prep = preprocess.learn(whole, run.features, 1, "kfold", exclude)[0]
-        labels = _training_labels(whole, 1, "kfold")[0]
         spec = ModelSpec(run.best, run.params[run.best])
+        together = _fit_together(whole, [prep], {run.best: spec}, run.task, "kfold", run.id_col)
+        if together:
+            return together[run.best][0]
+        labels = _training_labels(whole, 1, "kfold")[0]
         return _fit_fold(whole, 0, prep, {run.best: spec}, run.task, "kfold", labels)[run.best]
     finally:
         whole.unpersist()
