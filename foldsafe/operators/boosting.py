@@ -10,9 +10,10 @@ all folds, whatever their number, and what reaches the driver depends on lanes,
 Gain of a split and value of a leaf follow from sums G of gradients and H of curvatures: G^2/(H + penalty) of both
 sides less that of the node, and -rate * G/(H + penalty).
 
-Scores of earlier trees are kept with the blocks in a persisted table, made anew after each tree in the job that grows the
-next one, and written to the shared folder every few trees, so a lost executor costs a few trees' scores. Row samples come from
-the rows' key and the tree's number, so a task that runs again sees the same rows.
+Scores of earlier trees are kept with the blocks in a persisted table. The last few trees are applied on the way; every
+`_TREES_PER_STEP` trees the table is made anew with them, in the job that grows the next tree, and every `_STEPS_PER_WRITE`
+steps it is written to the shared folder, so a lost executor costs some trees' scores. Row samples come from the rows'
+key and the tree's number, so a task that runs again sees the same rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from foldsafe.sources.scratch import written
 MISSING = 255
 MOST_BINS = 255
 _BLOCK_ROWS = 1 << 14
-_TREES_PER_WRITE = 25
+_TREES_PER_STEP = 4
+_STEPS_PER_WRITE = 8
 # Arrays of up to so many bytes in all are added up on the driver, larger ones in tasks first.
 _DRIVER_BYTES = 1 << 24
 _BLOCKS = "lane int, label binary, key binary, codes binary, margin binary"
@@ -214,7 +216,10 @@ class _Layout:
         self.cells = int(self.sizes.sum())
 
 
-def _histogram_job(state: DataFrame, layouts: dict[int, _Layout], trees: dict[int, Tree], level: int, number: int, settings: Settings, task: str):
+def _histogram_job(
+    state: DataFrame, layouts: dict[int, _Layout], pending: dict[int, list[Tree]], trees: dict[int, Tree],
+    level: int, number: int, settings: Settings, task: str,
+) -> DataFrame:
     """One level for all lanes: sums per (node of the level, cell) as an array of three planes per lane."""
     nodes = 2**level
 
@@ -222,7 +227,7 @@ def _histogram_job(state: DataFrame, layouts: dict[int, _Layout], trees: dict[in
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for lane, y, key, codes, margin in _unpacked(batch):
-                g, h = _slopes(y, margin, task)
+                g, h = _slopes(y, _moved(margin, codes, pending[lane]), task)
                 node = trees[lane].leaves(codes, level) - (nodes - 1)
                 use = node >= 0
                 seen = _sampled(key, number, settings)
@@ -252,7 +257,8 @@ def _summed(parts: DataFrame, n_parts: int, layouts: dict[int, _Layout], nodes:
     size = sum(24 * nodes * x.cells for x in layouts.values())
     down_to = partials.FAN_IN if size * min(n_parts, partials.FAN_IN) <= _DRIVER_BYTES else 1
     totals: dict[int, np.ndarray] = {}
-    for row in sorted(partials.summed(parts, ["lane"], n_parts, down_to).collect(), key=lambda r: r[partials.PART]):
+    rows = partials.summed(parts, ["lane"], n_parts, down_to).toArrow().to_pylist()
+    for row in sorted(rows, key=lambda r: r[partials.PART]):
         body = partials.array_of(row[partials.BODY]).reshape(3, nodes, -1)
         totals[row["lane"]] = totals[row["lane"]] + body if row["lane"] in totals else body
     return totals
@@ -341,14 +347,20 @@ def _value(side: tuple[float, float], settings: Settings) -> float:
     return -settings.rate * side[0] / below if below > 0 else 0.0
 
 
-def _after_tree(state: DataFrame, trees: dict[int, Tree], depth: int) -> DataFrame:
-    """The state with the trees' values added to the scores."""
+def _moved(margin: np.ndarray, codes: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """Scores with the values of more trees."""
+    for tree in trees:
+        margin = margin + tree.value[tree.leaves(codes, len(tree.value).bit_length() - 1)]
+    return margin
+
+
+def _after(state: DataFrame, pending: dict[int, list[Tree]]) -> DataFrame:
+    """The state with trees' values added to the scores."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (lane, _, _, codes, margin) in enumerate(_unpacked(batch)):
-                tree = trees[lane]
-                moved = margin + tree.value[tree.leaves(codes, depth)]
+                moved = _moved(margin, codes, pending[lane])
                 yield _packed(lane, *[batch.column(c)[i].as_py() for c in (1, 2, 3)], moved.astype("<f8").tobytes())
 
     return state.mapInArrow(job, _BLOCKS)
@@ -375,28 +387,29 @@ def fit(lanes: DataFrame, settings: Settings, task: str = "binary") -> dict[int,
     packed, cores = _blocks(lanes, edges, bases), lanes.sparkSession.sparkContext.defaultParallelism
     # A small table may come in fewer partitions than there are cores to use.
     packed = packed.repartition(cores) if lanes.rdd.getNumPartitions() < cores else packed
-    kept = written(packed, "boosting-state").persist(StorageLevel.MEMORY_AND_DISK)
-    state, n_parts = kept, kept.rdd.getNumPartitions()
     found: dict[int, list[Tree]] = {lane: [] for lane in edges}
+    tables = [written(packed, "boosting-state").persist(StorageLevel.MEMORY_AND_DISK)]
+    n_parts = tables[0].rdd.getNumPartitions()
+    pending: dict[int, list[Tree]] = {lane: [] for lane in edges}
     try:
         for number in range(settings.rounds if edges else 0):
-            trees, dropped = _grow(state, n_parts, layouts, number, settings, task), None
+            trees = _grow(tables[-1], n_parts, layouts, pending, number, settings, task)
+            # The table the newest one was made from has served.
+            while len(tables) > 1:
+                tables.pop(0).unpersist()
             for lane, tree in trees.items():
                 found[lane].append(tree)
-            if number + 1 == settings.rounds:
-                break
-            dropped, state = state, _after_tree(state, trees, settings.depth)
-            if (number + 1) % _TREES_PER_WRITE == 0:
-                state = written(state, "boosting-state")
-                n_parts = state.rdd.getNumPartitions()
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
-            if kept is not dropped:
-                kept.unpersist()
-            # The one before is what the next job makes the new one from.
-            kept = dropped
+                pending[lane].append(tree)
+            if (number + 1) % _TREES_PER_STEP == 0 and number + 1 < settings.rounds:
+                state = _after(tables[-1], pending)
+                if (number + 1) % (_TREES_PER_STEP * _STEPS_PER_WRITE) == 0:
+                    state = written(state, "boosting-state")
+                    n_parts = state.rdd.getNumPartitions()
+                tables.append(state.persist(StorageLevel.MEMORY_AND_DISK))
+                pending = {lane: [] for lane in edges}
     finally:
-        kept.unpersist()
-        state.unpersist()
+        for table in tables:
+            table.unpersist()
     return {lane: Ensemble(bases[lane], edges[lane], trees, task) for lane, trees in found.items()}
 
 
@@ -409,13 +422,16 @@ def _base(mean: float, task: str, settings: Settings) -> float:
     return float(np.log(p / (1 - p)))
 
 
-def _grow(state: DataFrame, n_parts: int, layouts: dict[int, _Layout], number: int, settings: Settings, task: str) -> dict[int, Tree]:
+def _grow(
+    state: DataFrame, n_parts: int, layouts: dict[int, _Layout], pending: dict[int, list[Tree]],
+    number: int, settings: Settings, task: str,
+) -> dict[int, Tree]:
     """The next tree of every lane, level by level."""
     trees = {lane: Tree.empty(settings.depth) for lane in layouts}
     chosen = {lane: _features(len(x.sizes), lane, number, settings) for lane, x in layouts.items()}
     for level in range(settings.depth):
         first = 2**level - 1
-        parts = _histogram_job(state, layouts, trees, level, number, settings, task)
+        parts = _histogram_job(state, layouts, pending, trees, level, number, settings, task)
         grown = False
         for lane, total in _summed(parts, n_parts, layouts, 2**level).items():
             tree = trees[lane]

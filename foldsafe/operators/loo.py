@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldsafe.errors import SchemaError
 from foldsafe.functions.numeric import known
 from foldsafe.functions.text import null_as_text
 from foldsafe.operators import quantiles
@@ -266,6 +267,58 @@ def impute_scale(
     return joined.withColumns(made).select(folded.columns)
 
 
+def clip_limits(
+    folded: DataFrame,
+    columns: Sequence[str],
+    n_splits: int,
+    scheme: str = "stratified",
+    low: float = 0.01,
+    high: float = 0.99,
+    small_rows: int = quantiles.SMALL_ROWS,
+) -> DataFrame:
+    """``(holdout, column, low, high)``: exact interpolated quantiles of the finite training values, for all holdouts at once.
+
+    A column without a finite training value has null limits.
+    """
+    if not 0 <= low <= high <= 1:
+        raise SchemaError("quantiles lie between 0 and 1, the lower one first")
+    series = {}
+    for h in range(n_splits):
+        for i, c in enumerate(columns):
+            value = known(F.col(f"`{c}`"))
+            used = trains_on(scheme, F.col(FOLD), h) & (F.abs(value) < float("inf"))
+            series[f"{h}:{i}"] = F.when(used, value)
+    ends = quantiles.exact(folded, series, [low, high], small_rows)
+    one_row = folded.agg(*[ends[name].alias(f"e{i}") for i, name in enumerate(series)])
+    structs = []
+    for i, name in enumerate(series):
+        h, c = name.split(":")
+        both = F.col(f"e{i}")
+        structs.append(F.struct(
+            F.lit(int(h)).alias("holdout"), F.lit(columns[int(c)]).alias("column"),
+            F.get(both, F.lit(0)).alias("low"), F.get(both, F.lit(1)).alias("high"),
+        ))
+    return one_row.select(rows_of(structs))
+
+
+def winsorise(folded: DataFrame, columns: Sequence[str], limits: DataFrame) -> DataFrame:
+    """Each row's values drawn in to its own fold's limits; rows that are never held out stay as they are.
+
+    Infinite values become the limit on their side, blanks stay blank (not-a-number becomes null). One row of limits per fold is
+    broadcast: its size is folds x columns.
+    """
+    wide = limits.groupBy("holdout").agg(*[
+        F.max(F.when(F.col("column") == c, F.col(end))).alias(f"_{end}_{i}")
+        for i, c in enumerate(columns) for end in ("low", "high")
+    ])
+    joined = folded.join(F.broadcast(wide), F.col(FOLD) == F.col("holdout"), "left")
+    made = {}
+    for i, c in enumerate(columns):
+        value, low, high = known(F.col(f"`{c}`")), F.col(f"_low_{i}"), F.col(f"_high_{i}")
+        made[c] = F.when(value < low, low).when(value > high, high).otherwise(value)
+    return joined.withColumns(made).select(folded.columns)
+
+
 def one_hot(
     folded: DataFrame,
     id_col: str,

@@ -232,6 +232,19 @@ def learn(
     return in_threads(folded.sparkSession, assemble, range(n_splits), n_splits)
 
 
+def width(prep: PipelineModel) -> int:
+    """How many slots the feature vector has, from the fitted stages alone."""
+    total = 0
+    for stage in prep.stages:
+        if isinstance(stage, NumericModel):
+            total += len(stage.recall()["columns"])
+        elif isinstance(stage, StringIndexerModel):
+            total += len(stage.labels)
+        elif isinstance(stage, LevelModel):
+            total += stage.recall()["size"]
+    return total
+
+
 def with_blanks(prep: PipelineModel) -> PipelineModel:
     """The same fitted pipeline, but blank numbers reach the feature vector as NaN instead of being filled."""
     out = []

@@ -167,7 +167,7 @@ def _fit_together(
         made[name] = [PipelineModel([*prep.stages, found[h]]) for h, prep in enumerate(used)]
 
     straight = {n: s for n, s in specs.items() if models.canonical(s.name) in models.LINEAR}
-    if straight and _width(folded, preps) <= linear.MOST_FEATURES:
+    if straight and max(map(preprocess.width, preps)) <= linear.MOST_FEATURES:
         with linear.Lanes(_lanes(folded, preps, scheme, id_col)) as lanes:
             for name, spec in straight.items():
                 own = models.linear_settings(spec.name, task, spec.params)
@@ -187,15 +187,6 @@ def _fit_together(
     return made
 
 
-def _width(folded: DataFrame, preps: list[PipelineModel]) -> int:
-    """The largest number of features of any holdout, from column metadata, without a job."""
-    found = []
-    for prep in preps:
-        kind = prep.transform(folded).schema[models.FEATURES].metadata.get("ml_attr", {})
-        found.append(kind.get("num_attrs", linear.MOST_FEATURES + 1))
-    return max(found)
-
-
 def _score_fold(
     folded: DataFrame, holdout: int, model: Transformer, name: str, id_col: str, task: str
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldsafe.config import FeaturesConfig
 from foldsafe.functions import numeric, text
-from foldsafe.operators import features, loo, splits
+from foldsafe.operators import features, loo, splits, target_encoding
 from foldsafe.plans.profile_queries import _DECK_SQL, _FAMILY_SQL, _TITLE_SQL
 from foldsafe.plans.registry import FOLDED, FOLDS, HOLDOUTS, SEED, query, rounded, sql_round, with_tables
 from foldsafe.sources import derived
@@ -319,3 +319,86 @@ def ohe_categories(spark, sf):
 )
 def onehot_loo(spark, sf):
     return loo.one_hot(folded(spark, sf, *_TEXTS, "ticket"), "row_id", [*_TEXTS, "ticket"], FOLDS)
+
+
+_ENCODED = ["embarked", "ticket"]
+_ENCODED_LONG = f"""{FOLDED}, {HOLDOUTS}, long AS ({" UNION ALL ".join(
+    f'''SELECT row_id, fold, target, '{c}' AS "column", coalesce(CAST({c} AS VARCHAR), 'nan') AS level FROM folded'''
+    for c in _ENCODED)})"""
+_SMOOTHING = 20
+
+
+@query(
+    "target_encode_loo",
+    with_tables(
+        "passengers",
+        extra=_ENCODED_LONG
+        + """, sums AS (SELECT "column", level, fold AS part, count(*) AS n, sum(target) AS s FROM long GROUP BY 1, 2, 3),
+        totals AS (SELECT fold AS part, count(*) AS n, sum(target) AS s FROM folded GROUP BY 1),
+        priors AS (SELECT f.fold, holdout, CAST(sum(s) AS DOUBLE) / sum(n) AS prior
+          FROM (SELECT DISTINCT fold FROM folded) f, holdouts, totals
+          WHERE part <> holdout AND part <> f.fold GROUP BY 1, 2),
+        views AS (SELECT l.row_id, l.fold, l."column", holdout, coalesce(sum(n), 0) AS n, coalesce(sum(s), 0) AS s
+          FROM long l CROSS JOIN holdouts LEFT JOIN sums o
+            ON o."column" = l."column" AND o.level = l.level AND part <> holdout AND part <> l.fold
+          GROUP BY 1, 2, 3, 4)""",
+        then=f"""SELECT row_id, v.fold, "column", v.holdout,
+        {sql_round(f"(CAST(s AS DOUBLE) + {_SMOOTHING} * prior) / (CAST(n AS DOUBLE) + {_SMOOTHING})")} AS encoded
+        FROM views v JOIN priors p ON p.fold = v.fold AND p.holdout = v.holdout""",
+    ),
+)
+def target_encode_loo(spark, sf):
+    rows = folded(spark, sf, *_ENCODED)
+    return rounded(target_encoding.smoothed(rows, "row_id", _ENCODED, "target", FOLDS, smoothing=_SMOOTHING), "encoded")
+
+
+@query(
+    "target_encode_ordered",
+    with_tables(
+        "passengers",
+        extra=_ENCODED_LONG
+        + f""", spread AS (SELECT *, md5(CAST(row_id AS VARCHAR) || '|{SEED}') AS h,
+          CASE WHEN fold <> holdout THEN target END AS y FROM long CROSS JOIN holdouts),
+        runs AS (SELECT *,
+          count(y) OVER before AS n_before, sum(y) OVER before AS s_before,
+          count(y) OVER (PARTITION BY holdout, "column", level) AS n_all,
+          sum(y) OVER (PARTITION BY holdout, "column", level) AS s_all
+          FROM spread WINDOW before AS (PARTITION BY holdout, "column", level ORDER BY h, row_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        then=f"""SELECT row_id, fold, "column", holdout, {sql_round(
+            "(CAST(coalesce(CASE WHEN fold = holdout THEN s_all ELSE s_before END, 0) AS DOUBLE) + 0.5) "
+            "/ (CAST(CASE WHEN fold = holdout THEN n_all ELSE n_before END AS DOUBLE) + 1)")} AS encoded FROM runs""",
+    ),
+)
+def target_encode_ordered(spark, sf):
+    rows = folded(spark, sf, *_ENCODED)
+    return rounded(target_encoding.ordered(rows, "row_id", _ENCODED, "target", FOLDS), "encoded")
+
+
+_CLIPPED = ["age", "fare", "sibsp"]
+_LIMITS = f"""{FOLDED}, {HOLDOUTS}, long AS ({" UNION ALL ".join(
+    f'''SELECT fold, '{c}' AS "column", CAST({c} AS DOUBLE) AS x FROM folded''' for c in _CLIPPED)}),
+limits AS (SELECT holdout, "column", quantile_cont(x, 0.01) AS low, quantile_cont(x, 0.99) AS high
+  FROM long JOIN holdouts ON fold <> holdout GROUP BY 1, 2)"""
+
+
+@query(
+    "winsorise_loo",
+    with_tables(
+        "passengers",
+        extra=_LIMITS,
+        then="SELECT row_id, fold, "
+        + ", ".join(
+            sql_round(f"""CASE WHEN {c} < max(low) FILTER (WHERE "column" = '{c}') THEN max(low) FILTER (WHERE "column" = '{c}')
+              WHEN {c} > max(high) FILTER (WHERE "column" = '{c}') THEN max(high) FILTER (WHERE "column" = '{c}')
+              ELSE CAST({c} AS DOUBLE) END""", 4)
+            + f" AS {c}"
+            for c in _CLIPPED
+        )
+        + f" FROM folded JOIN limits ON holdout = fold GROUP BY row_id, fold, {', '.join(_CLIPPED)}",
+    ),
+)
+def winsorise_loo(spark, sf):
+    rows = folded(spark, sf, *_CLIPPED).drop("target")
+    limits = loo.clip_limits(rows, _CLIPPED, FOLDS)
+    return rounded(loo.winsorise(rows, _CLIPPED, limits), *_CLIPPED, places=4)
