@@ -99,18 +99,16 @@ class Matrix:
         return ids
 
     def all(self) -> np.ndarray:
-        """All ids in order."""
-        ids = np.zeros(self.n, np.uint32)
-        places = np.arange(self.n, dtype=np.int64 if self.n >= 2**31 else np.int32)
-        for plane, words in enumerate(self.words):
-            bits = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little")
-            ones = np.cumsum(bits, dtype=places.dtype)
-            # Where each place goes in the next plane: ones after all zeros.
-            goes = np.where(bits, ones + places.dtype.type(self.zeros[plane] - 1), np.arange(self.n, dtype=places.dtype) - ones)
-            ids <<= np.uint32(1)
-            ids |= bits[places]
-            places = goes[places]
-        return ids
+        """All ids in order: from the last plane up, zeros and ones go back to where they were."""
+        kind = np.uint16 if len(self.words) <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
+        for plane in range(len(self.words) - 1, -1, -1):
+            one = np.unpackbits(self.words[plane].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            before = np.empty_like(ids)
+            before[~one] = ids[: self.zeros[plane]]
+            before[one] = ids[self.zeros[plane]:]
+            ids = before | one.astype(kind) << kind(len(self.words) - 1 - plane)
+        return ids.astype(np.uint32)
 
     def _range(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the occurrences of ids in [low, high) end up below the last plane."""
