@@ -87,14 +87,14 @@ def test_encoder_equals_library(library, rows):
 def test_encoder_forgets_and_other_files(monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(encoding, "_MOST_PIECES", 3)
+    monkeypatch.setattr(encoding, "_MOST_BYTES", 100)
     small = encoding.Encoder(tokenizer_path())
     rows = pa.array(["a b c d e", "f g h", "a b"])
     assert small.count(rows).tolist() == encoding.Encoder(tokenizer_path()).count(rows).tolist()
     piece = tokenizer_path("piece_bpe_32k.model")
     want = sentencepiece.SentencePieceProcessor(model_file=piece).encode(["Hello  there", ""], num_threads=1)
     assert encoding.Encoder(piece).encode(pa.array(["Hello  there", ""]))[0].tolist() == want[0]
-    assert not encoding.can_cut(tokenizer_path("word_bpe_49k.json"))
+    assert not encoding.can_cut(tokenizer_path("word_bpe_49k.json")) and encoding.can_cut_words(tokenizer_path("word_bpe_49k.json"))
 
 
 # quality
