@@ -303,6 +303,10 @@ def _gains(total: np.ndarray, layout: _Layout, chosen: np.ndarray, settings: Set
         # Without blanks both sides of the choice are one split; blanks to come then go where more rows went.
         none = blank[2] == 0
         more_left = rows_left[0] >= rows_right[0]
+        if settings.symmetric:
+            # One side for the whole level.
+            none = np.broadcast_to(none.all(0), none.shape)
+            more_left = np.broadcast_to(rows_left[0].sum(0) >= rows_right[0].sum(0), more_left.shape)
         allowed[0] &= ~(none & ~more_left)
         allowed[1] &= ~(none & more_left)
         yield f, np.where(allowed, gain, -np.inf), left
