@@ -21,6 +21,7 @@ from foldsafe.operators.profile import positive_rate
 from foldsafe.operators.ranks import running_totals
 
 DEFAULT_THRESHOLD = 0.5
+# The fields of a ledger entry.
 ENTRY = T.StructType(
     [
         T.StructField("timestamp", T.StringType()),
@@ -233,6 +234,7 @@ def _line(label: str, name: str) -> Column:
 
 def lines(top: DataFrame) -> DataFrame:
     """``(ranking, rank, text)``: one Markdown list item per ranked entry."""
+    # The wording and order of a summary's lines and headings.
     head = F.format_string(
         "- %s: model=%s, thr=%s, pred_pos_rate=%s; OOF AUC=%s, OOF acc=%s, LB=%s",
         *[

@@ -15,6 +15,7 @@ from foldsafe.operators.cells import CELL, NumericCells
 
 
 class Direction(str, Enum):
+    # These texts stand in result tables.
     MAXIMIZE = "maximize"
     MINIMIZE = "minimize"
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from foldsafe.errors import InferenceError
 
+# The fields of a run summary and of an evaluation.
 SUMMARY_SCHEMA = T.StructType(
     [
         T.StructField("model", T.StringType()),
