@@ -34,7 +34,8 @@ from foldsafe.operators.contracts import (
     require_threshold,
 )
 from foldsafe.operators.small import table
-from foldsafe.sources import csv, runs
+from foldsafe.sources import csv, run_folders, runs
+from foldsafe.sources.scratch import written
 
 log = logging.getLogger(__name__)
 
@@ -133,6 +134,40 @@ def train(
     return run
 
 
+def run_report(store: Store, out: str, run_id: str | None = None) -> str:
+    """The Markdown report of a run, read back from the store and written as text."""
+    name = store.run_id(run_id)
+    found = training.run_report(store.summaries().filter(F.col("run_id") == name))
+    row = found.first()
+    if row is None:
+        raise InferenceError(f"no summary for run {name}")
+    found.select(F.col("report").alias("value")).coalesce(1).write.text(out)
+    return row["report"]
+
+
+def import_runs(store: Store, root: str, id_type: str = "bigint") -> DataFrame:
+    """Take over runs that lie in a folder each: summaries, evaluations and out-of-fold rows.
+
+    Returns all run folders with their metrics. A run without a readable summary or score list is listed
+    but not taken over. Importing again replaces the rows of the same runs. Fold models are another
+    library's files: they stay where they are, and the run counts as one without fold models.
+    """
+    found = written(run_folders.records(store.spark, root), "run-folders")
+    known = run_folders.summaries(found).filter(F.col("model").isNotNull())
+    no_models = F.array().cast("array<string>")
+    # The run's name goes last, as in the table's own records.
+    record = known.withColumns({"pipelines": no_models, "saved_at": F.current_timestamp()})
+    runs.write_documents(record.select(*runs.SUMMARY_SCHEMA.names, "run_id"), f"{store.path}/cv_summary")
+    tried = run_folders.evaluations(found).join(known.select("run_id"), "run_id", "left_semi")
+    runs.write_documents(tried.withColumn("saved_at", F.current_timestamp()), f"{store.path}/oof_eval")
+    rows = run_folders.read_oof(store.spark, root, store.id_col, id_type)
+    named = rows.join(known.select("run_id", "model"), "run_id")
+    runs.write_oof(
+        named.select(store.id_col, F.lit(None).cast("int").alias("fold"), "oof", "run_id", "model"), f"{store.path}/oof"
+    )
+    return runs.run_metrics(found, run_folders.summaries(found), run_folders.evaluations(found))
+
+
 def predict(
     store: Store, df: DataFrame, out: str, run_id: str | None = None, threshold: float = 0.5
 ) -> DataFrame:

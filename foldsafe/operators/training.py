@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsafe.config import CVConfig, FeaturesConfig, ModelSpec
 from foldsafe.errors import InferenceError, TrainingError
+from foldsafe.functions import snapshot
 from foldsafe.operators import boosting, linear, loo, metrics, models, preprocess, scoring, splits
 from foldsafe.operators.contracts import require_columns, require_target
 from foldsafe.operators.fitted import BoostedModel, LinearModel
@@ -89,6 +90,64 @@ class Run:
         in_threads(self.oof.sparkSession, save, every, _FILE_THREADS)
 
 
+def _python_value(text: Column) -> Column:
+    """JSON scalars in the spelling of the report's settings."""
+    named = F.when(text == "true", "True").when(text == "false", "False").when(text.isNull(), "None")
+    return named.otherwise(text)
+
+
+def _short(number: Column) -> Column:
+    """A number to five places, without trailing zeros but with one digit after the point."""
+    whole = F.round(number, 5).cast("decimal(30,5)").cast("string")
+    shown = F.regexp_replace(F.regexp_replace(whole, "0+$", ""), r"\.$", ".0")
+    return F.when(F.isnan(number), "nan").otherwise(F.coalesce(shown, F.lit("None")))
+
+
+def _items(document: Column, line: Callable[[Column, Column], Column]) -> Column:
+    """One line per setting of a JSON object, in its order; null for anything else."""
+    entries = F.map_entries(F.from_json(snapshot.json_object(document), "map<string,string>"))
+    return F.array_join(F.transform(entries, lambda e: line(e["key"], _python_value(e["value"]))), "\n")
+
+
+def run_report(summaries: DataFrame) -> DataFrame:
+    """``(run_id, report)``: one Markdown document per run, made of its saved summary.
+
+    Settings that were not saved leave their part empty; folds without a score show as None.
+    """
+    # Headings and labels of a run's report.
+    scores = F.array_join(F.transform("fold_scores", _short), ", ")
+
+    def setting(key: Column, value: Column) -> Column:
+        return F.concat(F.lit("- "), key, F.lit(": "), value)
+
+    def snapshot_line(key: Column, value: Column) -> Column:
+        return F.concat(key, F.lit(": "), value)
+
+    blank = F.lit("")
+    text = F.concat_ws(
+        "\n",
+        F.lit("# Model Training Report"),
+        blank,
+        F.concat(F.lit("**Run Directory:** "), F.col("run_id")),
+        blank,
+        F.lit("## Best Model"),
+        F.concat(F.lit("- Name: `"), F.coalesce("model", F.lit("None")), F.lit("`")),
+        F.concat(F.lit("- Parameters: `"), F.coalesce("params", F.lit("{}")), F.lit("`")),
+        blank,
+        F.lit("## Cross-Validation Scores"),
+        F.concat(F.lit("- Fold scores: ["), F.coalesce(scores, blank), F.lit("]")),
+        F.concat(F.lit("- Mean CV score: "), _short(F.col("score_mean"))),
+        blank,
+        F.lit("## Features Used"),
+        F.nullif(_items(F.col("features_cfg"), setting), blank),
+        blank,
+        F.lit("## Config Snapshot"),
+        F.lit("### cv"),
+        F.nullif(_items(F.col("cv_cfg"), snapshot_line), blank),
+    )
+    return summaries.select("run_id", text.alias("report"))
+
+
 def _model_path(path: str, run_id: str, model: str, fold: int) -> str:
     return f"{path}/models/run_id={run_id}/model={model}/fold={fold}"
 

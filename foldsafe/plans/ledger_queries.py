@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldsafe.functions import snapshot
-from foldsafe.operators import ledger
+from foldsafe.operators import ledger, training
 from foldsafe.plans.registry import query, rounded, sql_round, with_tables
 from foldsafe.plans.source_queries import _METRICS, run_metrics
-from foldsafe.sources import derived, scratch
+from foldsafe.sources import derived, runs, scratch
 
 
 _FLAGS = """CASE WHEN f LIKE '{%' THEN concat_ws(', ',
@@ -187,3 +187,48 @@ def ledger_lines(spark, sf):
         parts[2].alias("run_line"),
         F.array_join(F.slice(parts, 4, 9), "\n").alias("rest"),
     )
+
+
+def _sql_short(value: str) -> str:
+    return f"regexp_replace(rtrim(printf('%.5f', {value}), '0'), '\\.$', '.0')"
+
+
+@query(
+    "run_report",
+    with_tables(
+        "runs",
+        extra="""saved AS (SELECT run_id, model, floor(score_mean * 1000) / 1000 AS a, score_std AS b,
+          CAST(right(run_id, 6) AS INT) AS n FROM runs),
+        line AS (SELECT *, chr(10) AS nl FROM saved)""",
+        then=f"""SELECT run_id, '# Model Training Report' || nl || nl || '**Run Directory:** ' || run_id || nl || nl
+        || '## Best Model' || nl || '- Name: `' || coalesce(model, 'None') || '`' || nl
+        || '- Parameters: `' || CASE WHEN n % 3 = 0 THEN '{{}}' ELSE '{{"alpha": ' || CAST(n AS STRING) || '}}' END || '`'
+        || nl || nl || '## Cross-Validation Scores' || nl || '- Fold scores: [' || {_sql_short('a')} || ', '
+        || CASE WHEN n % 5 = 0 THEN 'None' ELSE {_sql_short('b')} END || ']' || nl
+        || '- Mean CV score: ' || {_sql_short('a')} || nl || nl || '## Features Used' || nl
+        || CASE WHEN n % 4 = 0 THEN '' ELSE '- log_fare: True' || nl || '- bin_age: ' || CAST(n AS STRING) || nl END || nl
+        || '## Config Snapshot' || nl || '### cv' || nl || 'scheme: kfold' || nl || 'group_column: None' AS report
+        FROM line""",
+    ),
+)
+def run_report(spark, sf):
+    # Summaries are saved as a run saves them, in two versions, and each run's report is made of the later one.
+    n = F.substring("run_id", 5, 6).cast("int")
+    a, b = F.floor(F.col("score_mean") * 1000) / 1000, F.when(n % 5 != 0, F.col("score_std"))
+    first = derived.runs(spark, sf).select(
+        "run_id",
+        "model",
+        F.array(a, b).alias("fold_scores"),
+        a.alias("score_mean"),
+        F.when(n % 3 != 0, F.concat(F.lit('{"alpha": '), n, F.lit("}"))).alias("params"),
+        F.when(n % 4 == 0, F.lit("[1]"))
+        .otherwise(F.concat(F.lit('{"log_fare": true, "bin_age": '), n, F.lit("}")))
+        .alias("features_cfg"),
+        F.lit('{"scheme": "kfold", "group_column": null}').alias("cv_cfg"),
+        F.lit("2024-01-02 00:00:00").cast("timestamp").alias("saved_at"),
+    )
+    path = scratch.new_path(spark, "summaries")
+    runs.write_documents(first, path)
+    earlier = first.withColumns({"model": F.lit("earlier"), "saved_at": F.lit("2024-01-01 00:00:00").cast("timestamp")})
+    runs.write_documents(earlier, path)
+    return training.run_report(runs.last_saved(runs.read_documents(spark, path, runs.SUMMARY_SCHEMA)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldsafe.functions import snapshot
 from foldsafe.plans.registry import query, rounded, sql_round, with_tables
-from foldsafe.sources import csv, derived, runs, scratch
+from foldsafe.sources import csv, derived, run_folders, runs, scratch
 from foldsafe.sources.tables import load
 
 
@@ -121,6 +121,77 @@ def runs_scan(spark, sf):
     return rounded(found, "first_score")
 
 
+# Of the run folders some have a summary, some a list of scores, some both with a broken summary.
+_FOLDERS = f"""numbered AS (
+  SELECT *, CAST(right(run_id, 6) AS INT) AS n, 'model+' || CAST(CAST(right(run_id, 6) AS INT) % 25 AS STRING) AS m FROM runs),
+told AS (
+  SELECT *, CASE WHEN model IS NULL THEN 'none' WHEN n % 5 = 0 THEN 'scores' WHEN n % 7 = 0 THEN 'none'
+    ELSE 'summary' END AS kind FROM numbered)"""
+
+
+def run_notes(spark, sf):
+    """``(run_id, file, value)``: the files of a folder per run, of both generations."""
+    n = F.substring("run_id", 5, 6).cast("int")
+    low, high = F.col("score_mean") - F.col("score_std"), F.col("score_mean") + F.col("score_std")
+    scores = F.array(low, high).alias("fold_scores")
+    summary = F.to_json(F.struct("model", "metric", "direction", scores, "score_mean", "score_std"), {"pretty": True})
+    evaluation = F.to_json(
+        F.struct(
+            F.when(n % 4 == 1, F.lit("accuracy")).otherwise(F.lit("other")).alias("metric"),
+            F.col("score_std").alias("value"),
+        )
+    )
+    trained = F.col("model").isNotNull()
+
+    def file(name, value):
+        return F.struct(name.alias("file"), value.alias("value"))
+
+    files = F.array(
+        file(F.lit("report.md"), F.lit("# Report")),
+        F.when(trained & (n % 7 == 0), file(F.lit(run_folders.SUMMARY_FILE), F.lit('{"model": "x", broken'))),
+        F.when(trained & (n % 7 != 0) & (n % 5 != 0), file(F.lit(run_folders.SUMMARY_FILE), summary)),
+        F.when(
+            trained & (n % 5 == 0),
+            file(F.concat(F.lit("cv_scores_model+"), n % 25, F.lit(".json")), F.to_json(F.array(low, high))),
+        ),
+        F.when(n % 2 == 1, file(F.lit(run_folders.EVAL_FILE), evaluation)),
+    )
+    return derived.runs(spark, sf).select("run_id", F.inline(F.filter(files, lambda f: f.isNotNull())))
+
+
+@query(
+    "runs_scan_files",
+    with_tables(
+        "runs",
+        extra=_FOLDERS,
+        then=f"""SELECT run_id, NULLIF(kind, 'none') AS generation,
+        CASE kind WHEN 'summary' THEN model WHEN 'scores' THEN m END AS model,
+        CASE kind WHEN 'summary' THEN metric END AS metric, CASE kind WHEN 'summary' THEN direction END AS direction,
+        CASE WHEN kind <> 'none' THEN {sql_round('score_mean - score_std')} END AS first_score,
+        CASE WHEN kind <> 'none' THEN {sql_round('score_mean')} END AS score_mean,
+        CASE WHEN kind <> 'none' THEN {sql_round('score_std')} END AS score_std,
+        CASE WHEN n % 4 = 1 THEN score_std END AS oof_accuracy FROM told""",
+    ),
+)
+def runs_scan_files(spark, sf):
+    root = scratch.new_path(spark, "run-folders")
+    run_folders.write_files(run_notes(spark, sf), root)
+    found = run_folders.records(spark, root)
+    metrics = runs.run_metrics(found, run_folders.summaries(found), run_folders.evaluations(found))
+    shown = found.select("run_id", "generation").join(metrics, "run_id").select(
+        "run_id",
+        "generation",
+        "model",
+        "metric",
+        "direction",
+        F.get("fold_scores", F.lit(0)).alias("first_score"),
+        "score_mean",
+        "score_std",
+        "oof_accuracy",
+    )
+    return rounded(shown, "first_score", "score_mean", "score_std")
+
+
 @query("latest_run", with_tables("runs", then="SELECT max(run_id) AS run_id FROM runs"))
 def latest_run(spark, sf):
     return runs.latest(derived.runs(spark, sf))
