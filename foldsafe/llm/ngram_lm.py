@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldsafe.errors import SchemaError
+from foldsafe.errors import InferenceError, SchemaError
 from foldsafe.llm import textarrays
 from foldsafe.llm.textarrays import LOWER_TABLE, Texts, mix
 from foldsafe.sources import scratch
@@ -53,7 +53,9 @@ def _folder(df: DataFrame) -> str:
     path = scratch.new_path(df.sparkSession, "ngram-model")
     scheme, _, rest = path.partition(":")
     if path.startswith("/"):
-        return path
+        # Spark would resolve it by its default file system.
+        default = df.sparkSession.sparkContext.getConf().get("spark.hadoop.fs.defaultFS", "file:///")
+        scheme, rest = default.partition(":")[0], path
     if scheme != "file":
         raise SchemaError("the model's arrays need a shared folder that workers have mounted (a file: path)")
     return "/" + rest.lstrip("/")
@@ -67,10 +69,14 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(own, f"{folder}/{name}")
 
 
-def _mapped(folder: str, name: str, kind: type) -> np.ndarray:
+def _mapped(folder: str, name: str, kind: type, length: int) -> np.ndarray:
+    """An array of the given length; one that is not there, or not whole, is an error, never a score."""
     path = f"{folder}/{name}"
-    if not os.path.exists(path) or not os.path.getsize(path):
+    if not length:
         return np.zeros(0, kind)
+    held = os.path.getsize(path) if os.path.exists(path) else -1
+    if held != length * np.dtype(kind).itemsize:
+        raise InferenceError(f"{path} should hold {length} numbers and has {max(held, 0)} bytes: is the folder mounted here?")
     return np.memmap(path, kind, "r")
 
 
@@ -80,7 +86,7 @@ class Model:
     word_counts: list[int]  # words per word shard
     tokens: int
     texts: int
-    pair_shards: int = 1
+    pair_sizes: list[tuple[int, int]] = field(default_factory=list)  # pairs, and those counted in full, per pair shard
     stats_width: int = STATS_PER_SHARD  # words per file of word statistics
     pair_discounts: list[float] = field(default_factory=list)
     word_discounts: list[float] = field(default_factory=list)
@@ -231,8 +237,8 @@ class Words:
 
     def __init__(self, model: Model):
         shards = range(len(model.word_counts))
-        self.keys = [_mapped(model.folder, f"words-{s}", "<u8") for s in shards]
-        self.counts = [_mapped(model.folder, f"counts-{s}", "<i8") for s in shards]
+        self.keys = [_mapped(model.folder, f"words-{s}", "<u8", model.word_counts[s]) for s in shards]
+        self.counts = [_mapped(model.folder, f"counts-{s}", "<i8", model.word_counts[s]) for s in shards]
         self.first = np.concatenate(([0], np.cumsum(model.word_counts)))
         self.start = model.words  # number of the start mark, and of no word
 
@@ -290,16 +296,19 @@ def _learn_pairs(rows: DataFrame, model: Model, shards: int) -> Model:
     found = parts.groupBy("range").applyInArrow(_stats_task(model), "range long, sums binary").collect()
     sums = np.zeros(5, np.int64)
     pairs = np.zeros(5, np.int64)
+    sizes = [(0, 0)] * shards
     for row in found:
         values = np.frombuffer(row["sums"], "<i8")
-        if row["range"] < 0:
+        if row["range"] < -1:
+            sizes[-2 - row["range"]] = (int(values[0]), int(values[1]))
+        elif row["range"] < 0:
             pairs += values
         else:
             sums += values
     by_word = discounts(sums[:4])
     taken = by_word[1] * sums[0] + by_word[2] * sums[1] + by_word[3] * (sums[4] - sums[0] - sums[1])
     return replace(
-        model, pair_shards=shards, pair_discounts=discounts(pairs[:4]), word_discounts=by_word,
+        model, pair_sizes=sizes, pair_discounts=discounts(pairs[:4]), word_discounts=by_word,
         distinct_pairs=int(pairs[4]), word_free=float(taken) / float(pairs[4]),
     )
 
@@ -334,7 +343,9 @@ def _pair_task(model: Model):
         order = np.argsort(words, kind="stable")
         words, values = words[order], values[:, order]
         cut = np.searchsorted(words, np.arange(0, model.words + 1 + model.stats_width, model.stats_width))
-        out = {"range": [-1], "sums": [_count_of_counts(counts).tobytes()]}
+        # Negative ranges: counts of counts of all shards, and how long this shard's arrays are.
+        sizes = np.array([len(keys), np.count_nonzero(big), 0, 0, 0], "<i8")
+        out = {"range": [-1, -2 - shard], "sums": [_count_of_counts(counts).tobytes(), sizes.tobytes()]}
         for r in np.flatnonzero(np.diff(cut)).tolist():
             own = slice(cut[r], cut[r + 1])
             out["range"].append(r)
@@ -397,13 +408,15 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.words = model, Words(model)
-        ranges = range(-(-(model.words + 1) // model.stats_width))
+        ranges = range(-(-(model.words + 1) // model.stats_width) if model.words else 0)
         self.edges = np.minimum(np.arange(len(ranges) + 1) * model.stats_width, model.words + 1)
-        self.stats = {n: [_mapped(model.folder, f"{n}-{r}", "<u4") for r in ranges] for n in STATS}
+        widths = np.diff(self.edges).tolist()
+        self.stats = {n: [_mapped(model.folder, f"{n}-{r}", "<u4", widths[r]) for r in ranges] for n in STATS}
         names = ("pairs", "small", "bigkeys", "big")
         kinds = ("<u8", np.uint8, "<u8", "<i8")
         self.shards = [
-            [_mapped(model.folder, f"{n}-{s}", k) for n, k in zip(names, kinds)] for s in range(model.pair_shards)
+            [_mapped(model.folder, f"{n}-{s}", k, size) for n, k, size in zip(names, kinds, (n_pairs, n_pairs, n_big, n_big))]
+            for s, (n_pairs, n_big) in enumerate(model.pair_sizes)
         ]
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
