@@ -4,9 +4,9 @@
 | --- | --- | --- | --- |
 | email | local@domain | it has a dotted domain | local part and domain become keyed names under `.example` |
 | ipv4 | four numbers | each is at most 255 | its 32 bits |
-| date | 1999-12-31, 12/31/1999, 31.12.1999 | the day exists, 1900 to 2099 | the day number in those years |
+| date | 1999-12-31, 1999/12/31, 12/31/1999, 31.12.1999 | the day exists, 1900 to 2099 | the day number in those years |
 | ssn | 123-45-6789 | area, group and serial are assigned | among the assigned numbers |
-| phone | +1 (234) 555-6789 and the like | 7 to 15 digits | the digits after the country code |
+| phone | +1 (234) 555-6789 and the like | 7 to 15 digits | the digits after the calling code, in any spelling |
 | card | 13 to 19 digits, grouped or not | the Luhn digit is right | all but that digit, which is set anew |
 
 A permutation depends on the key and the kind's format, never on the document: equal values get equal
@@ -16,8 +16,8 @@ one register to the other, modulo its radix, so the map is one to one on a * b v
 stay as they are.
 
 Null text stays null with no kinds. Empty texts, repeated rows, ties and extra columns need no care:
-each row is changed alone, and other columns pass through (`pii_kinds` is replaced if present). One
-narrow pass, no shuffle, no state.
+each row is changed alone, and other columns pass through (the column for kinds is replaced if present).
+One narrow pass, no shuffle, no state. Not looked for: IBAN, IPv6, dates with the month as a word.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ KINDS = ("email", "ipv4", "date", "ssn", "phone", "card")
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 _IP = r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)(?!\p{L})"
 _DATE = (
-    r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
+    r"(?<![\p{L}\p{N}/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
     r"(?![\p{L}\p{N}])(?![/.-]\d)"
 )
 _SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?!-?[\p{L}\p{N}])"
@@ -46,6 +46,8 @@ _CARD = (
     r"|\d{4}(?<room>[ -])\d{6}\k<room>\d{5})(?![\p{L}\p{N}])"
 )
 PATTERN = "|".join((_EMAIL, _IP, _DATE, _SSN, _PHONE, _CARD))
+# Calling codes of one and of two digits; all others have three.
+_CALLING = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days from 1900 to 2099
 
 
@@ -147,8 +149,8 @@ def _ip(key: str, value: Column) -> tuple[Column, Column]:
 
 def _date(key: str, value: Column) -> tuple[Column, Column]:
     part = [F.element_at(F.split(value, "[-/.]"), i) for i in (1, 2, 3)]
-    iso = value.substr(5, 1) == "-"
-    slash = F.contains(value, F.lit("/"))
+    iso = value.substr(5, 1).isin("-", "/")
+    slash = F.contains(value, F.lit("/")) & ~iso
 
     def day(y: Column, m: Column, d: Column) -> Column:
         return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
@@ -171,7 +173,7 @@ def _date(key: str, value: Column) -> tuple[Column, Column]:
         n = F.when(two, full[2]).otherwise(F.dayofmonth(d).cast("string"))
         sep = F.when(slash, F.lit("/")).otherwise(F.lit("."))
         return (
-            F.when(iso, F.concat_ws("-", *full))
+            F.when(iso, F.concat(full[0], value.substr(5, 1), full[1], value.substr(5, 1), full[2]))
             .when(by_month, F.concat(m, sep, n, sep, full[0]))
             .otherwise(F.concat(n, sep, m, sep, full[0]))
         )
@@ -196,11 +198,11 @@ def _ssn(key: str, value: Column) -> tuple[Column, Column]:
 
 
 def _phone(key: str, value: Column) -> tuple[Column, Column]:
-    prefix = F.regexp_extract(value, r"^(?:\+\d{1,3}(?=[ .(-])|\+\d)", 0)
-    rest = F.substring(value, F.length(prefix) + 1, F.length(value))
-    digits = _digits(rest)
-    valid = (F.length(_digits(value)).between(7, 15)) & (F.length(digits) >= 6)
-    return valid, F.concat(prefix, _refill(rest, permute_digits(key, F.lit("phone"), digits)))
+    digits = _digits(value)
+    code = F.when(value.startswith("+"), F.regexp_extract(digits, _CALLING, 0)).otherwise("")
+    rest = F.substring(digits, F.length(code) + 1, F.length(digits))
+    valid = F.length(digits).between(7, 15) & (F.length(rest) >= 6)
+    return valid, _refill(value, F.concat(code, permute_digits(key, F.lit("phone"), rest)))
 
 
 def _card(key: str, value: Column) -> tuple[Column, Column]:
@@ -233,9 +235,9 @@ def _pseudonym(key: str, value: Column) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value")))
 
 
-def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The rows with personal data in `text` replaced, and `pii_kinds`: the kind of every value replaced, in order."""
-    columns = [c for c in df.columns if c != "pii_kinds"]
+def pseudonymise(df: DataFrame, key: str, text: str = "text", kinds_column: str | None = "pii_kinds") -> DataFrame:
+    """The rows with personal data in `text` replaced; `pii_kinds`, if wanted, lists the kind of every value replaced."""
+    columns = [c for c in df.columns if kinds_column is None or c.lower() != kinds_column.lower()]
     value = F.col(f"`{text}`")
     name = free_name(df, "_pii_found")
     has = F.rlike(value, F.lit("[0-9@]"))
@@ -248,7 +250,5 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     new_text = F.when(F.size(name) > 0, joined).otherwise(value)
     kinds = F.filter(F.transform(name, lambda f: f["kind"]), lambda k: k.isNotNull())
     none = F.array().cast("array<string>")
-    return marked.select(
-        *[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in columns],
-        F.coalesce(kinds, none).alias("pii_kinds"),
-    )
+    extra = [] if kinds_column is None else [F.coalesce(kinds, none).alias(kinds_column)]
+    return marked.select(*[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *extra)
