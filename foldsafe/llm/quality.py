@@ -21,7 +21,8 @@ than 20 words, or over 30 % of its words inside repeated 8-word windows), or if
 holds over `most_lost` of its words.
 
 Null text: no words, so it is rejected; its `clean_text` is null. Rows repeat or tie freely: each is
-judged alone. Extra columns pass through; a column of the input with a result's name is replaced.
+judged alone. Extra columns pass through; `clean_lines` replaces a column of the input with a result's name, in
+any case of letters, and `kept_documents` keeps every column of the input as it was.
 The work is one narrow pass: no shuffle, memory bounded by a chunk of text or the longest text.
 """
 
@@ -116,7 +117,8 @@ _WIDE_MARK = ((b"\xc2",), (b"\xe2\x80", b"\xe2\x81", b"\xe3\x80"))
 
 def clean_lines(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
     """Every row with its cleaned text, the counts behind the verdict, and `kept`."""
-    rest = [f for f in df.schema.fields if f.name not in RESULT.names]
+    made = {n.lower() for n in RESULT.names}
+    rest = [f for f in df.schema.fields if f.name.lower() not in made]
     schema = T.StructType(rest + RESULT.fields)
     names = [f.name for f in rest]
 
@@ -372,6 +374,10 @@ def _without(texts: Texts, begins: np.ndarray, gone: np.ndarray, cut: np.ndarray
 
 
 def kept_documents(df: DataFrame, text: str = "text", most_lost: float = MOST_LOST) -> DataFrame:
-    """The documents that pass, with cleaned text, in the columns they came with."""
-    judged = clean_lines(df, text, most_lost)
-    return judged.where("kept").withColumn(text, F.col("clean_text")).select(*df.columns)
+    """The documents that pass, with cleaned text, in the columns they came with, whatever their names."""
+    others = [c for c in df.columns if c != text]
+    # The other columns travel in one struct, by place, so none meets a result's name.
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)] or [F.lit(True).alias("c0")]
+    judged = clean_lines(df.select(F.col(f"`{text}`").alias("text"), F.struct(*fields).alias("rest")), "text", most_lost)
+    place = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text: F.col("clean_text")}
+    return judged.where("kept").select(*[place[c].alias(c) for c in df.columns])
