@@ -111,8 +111,10 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (language, n-gram); handed out and forgotten whenever many distinct ones are held."""
     names: dict[str, int] = {}
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     for batch in batches:
         labels = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], np.uint64)
         for first, texts in textarrays.chunks(batch.column(0)):
@@ -125,7 +127,15 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(map(len, keys)) > _KEEP:
                 summed = _summed(keys, counts)
                 keys, counts = [summed[0]], [summed[1]]
-    key, count = _summed(keys, counts)
+                # Less than half of the room left: the next sums would come ever sooner.
+                if 2 * len(summed[0]) > _KEEP:
+                    yield from _counted(*summed, names)
+                    keys, counts = [], []
+    if keys:
+        yield from _counted(*_summed(keys, counts), names)
+
+
+def _counted(key: np.ndarray, count: np.ndarray, names: dict[str, int]) -> Iterator[pa.RecordBatch]:
     words = pa.array(list(names), pa.string())
     step = 100_000
     for i in range(0, len(key), step):

@@ -2,13 +2,15 @@
 
 import os
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foldsafe.llm import ngram_lm, pii, quality
+from foldsafe.llm import language, ngram_lm, pii, quality
 
 GOOD = (
     "This is a plain line of clean prose that ends as a sentence should end, and it goes on long enough "
@@ -86,3 +88,23 @@ def test_stages_keep_columns_with_clashing_names(spark):
     assert "a@b.example.org" not in out.first()["text"]
     counted = corpus_pipeline.personal_data(spark, df.withColumn("n_chars", F.lit(0)), "").first()
     assert counted["n_chars"] == len(counted["text"])
+
+
+def test_gram_counts_handed_out_on_the_way(monkeypatch):
+    rows = [(f"{word} and some {i} more words of the text {i * 7919}", f"l{i % 3}") for i, word in enumerate(["alpha", "beta"] * 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([x for _, x in rows])], names=["text", "lang"])
+    parts = [batch.slice(i, 20) for i in range(0, len(rows), 20)]
+
+    def counts():
+        made, total = 0, Counter()
+        for out in language._count_task(iter(parts)):
+            made += 1
+            for x, gram, n in zip(*(out.column(i).to_pylist() for i in range(3))):
+                total[x, gram] += n
+        return made, total
+
+    whole = counts()
+    monkeypatch.setattr(language, "_KEEP", 200)
+    handed = counts()
+    assert whole[0] == 1 and handed[0] > 5 and handed[1] == whole[1]
+    assert list(language._count_task(iter([]))) == []
