@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldsafe.functions.numeric import AGE_EDGES, bin_labels, known, right_closed_bin
-from foldsafe.operators import quantiles
+from foldsafe.operators import moments, quantiles
 from foldsafe.operators.contracts import roles
 from foldsafe.operators.small import rows_of, table
+from foldsafe.sources.scratch import written
 
 _NUMBERS = ("mean", "std", "min", "q25", "q50", "q75", "max")
+# Correlations of up to this many columns are expressions of one aggregate.
+_FEW_COLUMNS = 16
+# Texts are told apart by 128 hashed bits; so many characters travel with the hashes.
+_PREFIX = 64
+# Hashes of candidates for the top text are broadcast up to this many, 24 bytes each.
+_FEW_CANDIDATES = 200_000
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -25,15 +32,6 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return column.isNull()
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value, n)`` of every non-null text value of several columns, from one scan."""
-    texts = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    long = texts.unpivot([], list(columns), "column", "value")
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-
-
 def _describe_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     quarter = quantiles.exact(df, {c: F.col(f"`{c}`") for c in columns}, (0.25, 0.5, 0.75))
     parts = []
@@ -70,21 +68,54 @@ def _describe_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _describe_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    found = value_counts(df, columns).groupBy("column").agg(
+    """Counts by 128-bit hashes of the values; full values are compared only among candidates for the top one.
+
+    A group of equal hashes is one value, so it carries the value's first characters along. The smallest of these among the
+    most frequent values of a column is what the top value begins with; rows that begin so and whose hash is
+    among the most frequent give the value by a minimum, which tasks take before anything moves.
+    """
+    texts = df.select([F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    long = texts.unpivot([], list(columns), "column", "value").filter(F.col("value").isNotNull())
+    hashed = long.withColumns(
+        {"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(1), "value"), "head": F.left("value", F.lit(_PREFIX))}
+    )
+    counts = hashed.groupBy("column", "h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min("head").alias("head"), F.min(F.length("value")).alias("length")
+    )
+    counts = written(counts, "text-counts")
+    found = counts.groupBy("column").agg(
         F.sum("n").alias("count"),
         F.count(F.lit(1)).alias("unique"),
-        # The most frequent value; among equals the first in text order.
-        F.min(F.struct((-F.col("n")).alias("rank"), F.col("value"))).alias("best"),
+        F.min(F.struct((-F.col("n")).alias("rank"), F.col("head"), F.col("length"))).alias("best"),
     )
+    # One row a column.
+    rows = found.collect()
+    best = table(
+        df.sparkSession,
+        "column string, count bigint, unique bigint, freq bigint, head string, length int",
+        [
+            [r["column"], r["count"], r["unique"], -r["best"]["rank"], r["best"]["head"], r["best"]["length"]]
+            for r in rows
+        ],
+    )
+    # Values of up to the prefix's length are known already: they sort before all that go on.
+    top = best.filter(F.col("length") <= _PREFIX).select("column", F.col("head").alias("top"))
+    if any(r["best"]["length"] > _PREFIX for r in rows):
+        longer = best.filter(F.col("length") > _PREFIX).select("column", "head", "freq")
+        chosen = counts.join(F.broadcast(longer), ["column", "head"]).filter("n = freq").select("column", "h1", "h2")
+        few = chosen.limit(_FEW_CANDIDATES + 1).count() <= _FEW_CANDIDATES
+        begun = hashed.join(F.broadcast(longer), ["column", "head"], "left_semi")
+        tops = begun.join(F.broadcast(chosen) if few else chosen, ["column", "h1", "h2"], "left_semi")
+        top = top.unionByName(tops.groupBy("column").agg(F.min("value").alias("top")))
     # A column without any value has no counts: it comes in from the list of columns.
     named = table(df.sparkSession, "column string", [[c] for c in columns])
     empty = [F.lit(None).cast("double").alias(name) for name in _NUMBERS]
-    return named.join(found, "column", "left").select(
+    return named.join(best, "column", "left").join(top, "column", "left").select(
         "column",
-        F.coalesce("count", F.lit(0)).alias("count"),
-        F.coalesce("unique", F.lit(0)).alias("unique"),
-        F.col("best.value").alias("top"),
-        (-F.col("best.rank")).alias("freq"),
+        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        F.coalesce("unique", F.lit(0)).cast("bigint").alias("unique"),
+        "top",
+        "freq",
         *empty,
     )
 
@@ -178,7 +209,12 @@ def pivot_rate(
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair in one aggregate, over rows where both are known."""
+    """Pearson correlation of every pair in one aggregate, over rows where both are known.
+
+    An aggregate holds the square of the columns as expressions: more than a few go through blocks of sums.
+    """
+    if len(columns) > _FEW_COLUMNS:
+        return moments.correlations(df, columns)
     pairs = list(combinations_with_replacement(columns, 2))
     found = df.agg(
         *[F.corr(known(F.col(a)), known(F.col(b))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
