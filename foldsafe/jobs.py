@@ -239,12 +239,8 @@ def ensemble_predict(
         _aligned(store.oof(run_ids), labels, store)
         means = ensemble.mean_oof(store.oof(run_ids), labels, store.id_col, store.target)
         threshold = thresholds.prevalence_cut(means, "p", labels, store.target).threshold
-    scored = {
-        name: scoring.fold_average(training.load_fold_models(store.spark, store.path, name), df)
-        for name in run_ids
-    }
-    long = ensemble.stack(scored, store.id_col, "p")
-    means = ensemble.mean(long, store.id_col)
+    loaded = {name: training.load_fold_models(store.spark, store.path, name) for name in run_ids}
+    means = scoring.run_average(loaded, df)
     result = ensemble.submission(means, store.id_col, threshold, store.target)
     csv.write(result, out)
     return result

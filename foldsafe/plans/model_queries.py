@@ -254,8 +254,7 @@ def ensemble_runs(spark, sf):
     # The cut is right if at least as many means reach it as there are ones, and fewer lie above it.
     ones, reach, above = means.agg(F.sum("target"), F.count_if(F.col("p") >= cut), F.count_if(F.col("p") > cut)).first()
     inputs = df.drop("target")
-    scored = {r.run_id: scoring.fold_average(r.fold_models, inputs) for r in both_runs}
-    averaged = ensemble.mean(ensemble.stack(scored, "row_id", "p"), "row_id")
+    averaged = scoring.run_average({r.run_id: r.fold_models for r in both_runs}, inputs)
     found = ensemble.submission(averaged, "row_id", cut, "label")
     alone = [_one_by_one(r.fold_models, inputs).withColumnRenamed("alone", r.run_id) for r in both_runs]
     score = (F.col("first") + F.col("second")) / 2

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import functions as F
 
-from foldsafe import CVConfig, FeatureColumns, FeaturesConfig, MetricError, ModelSpec, SchemaError, TrainingError
+from foldsafe import CVConfig, FeatureColumns, FeaturesConfig, InferenceError, MetricError, ModelSpec, SchemaError, TrainingError
 from foldsafe.operators import models, preprocess, scoring, stages, training
 
 RNG = np.random.default_rng(3)
@@ -141,6 +141,22 @@ def test_scoring_does_not_shuffle_the_table(run, table):
     assert "Exchange hash" not in plan.executedPlan().toString()
 
 
+def test_runs_are_averaged_in_one_narrow_pass(run, table):
+    """Every model of every run as columns: no shuffle, one scan, and repeated ids keep a row each."""
+    test = table.drop("y", "z")
+    runs = {"all": run.fold_models, "first": run.fold_models[:1]}
+    plan = scoring.run_average(runs, test)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and plan.count("Scan ") <= test._jdf.queryExecution().executedPlan().toString().count("Scan ")
+    each = [{r["row_id"]: r["p"] for r in scoring.fold_average(m, test).collect()} for m in runs.values()]
+    twice = test.union(test.limit(5)).withColumn("p", F.lit("own"))
+    got = scoring.run_average(runs, twice).collect()
+    assert len(got) == N + 5 and got[0].__fields__.count("p") == 1
+    for r in got:
+        assert r["p"] == pytest.approx((each[0][r["row_id"]] + each[1][r["row_id"]]) / 2)
+    with pytest.raises(InferenceError):
+        scoring.run_average({}, test)
+
+
 class _Fake(Transformer):
     """A model that gives only the named outputs."""
 
