@@ -7,6 +7,8 @@ from typing import Any
 
 from foldsafe.errors import SchemaError
 
+# More distinct labels than this are taken for a measured value, not for classes.
+MOST_CLASSES = 1000
 SCHEMES = ("kfold", "stratified", "group", "timeseries")
 
 
@@ -14,7 +16,8 @@ SCHEMES = ("kfold", "stratified", "group", "timeseries")
 class CVConfig:
     """How rows are put into folds.
 
-    ``group_column`` is needed by the ``group`` scheme and ``time_column`` by ``timeseries``.
+    ``group_column`` is needed by the ``group`` scheme and ``time_column`` by ``timeseries``. A target of more
+    than ``most_classes`` values is refused by the ``stratified`` scheme.
     """
 
     # Setting names and defaults users already have in their configurations.
@@ -24,6 +27,7 @@ class CVConfig:
     random_state: int = 42
     group_column: str | None = None
     time_column: str | None = None
+    most_classes: int = MOST_CLASSES
 
     def __post_init__(self) -> None:
         if self.scheme not in SCHEMES:
@@ -35,6 +39,13 @@ class CVConfig:
         if self.scheme == "timeseries" and not self.time_column:
             raise SchemaError("the timeseries scheme needs time_column")
 
+    def flags(self) -> dict[str, Any]:
+        """The settings as the ledger keeps them: the class limit only where it was changed."""
+        flat = asdict(self)
+        if self.most_classes == MOST_CLASSES:
+            del flat["most_classes"]
+        return flat
+
 
 @dataclass(frozen=True)
 class FeatureColumns:

@@ -272,7 +272,7 @@ def log_submission(
         float(leaderboard_score),
         json.dumps(features.flags()) if features else None,
         json.dumps(models) if models else None,
-        json.dumps(vars(cv)) if cv else None,
+        json.dumps(cv.flags()) if cv else None,
     )
     entry = store.spark.createDataFrame([row], columns).withColumn(
         "timestamp", snapshot.ledger_stamp(F.current_timestamp())

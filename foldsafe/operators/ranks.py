@@ -16,6 +16,8 @@ _KEY = "_key"
 _SUB = "_sub"
 # Sorts after every hex digit, so values above a cell's lower edge come after the edge's own rows.
 _PAST_EDGE = "z"
+# Cuts of all classes together are broadcast up to this many, some 100 bytes each.
+_FEW_CUTS = 100_000
 
 
 def _with_keys(
@@ -55,21 +57,27 @@ def _with_keys(
     )
 
 
-def _cell_starts(keyed: DataFrame) -> DataFrame:
+def _cell_starts(keyed: DataFrame, classes: bool) -> DataFrame:
     """Rows per cell with the position each cell starts at, within its class and overall.
 
-    The unpartitioned window runs over the cell table, whose size is cells x classes.
+    Cells are added up within their class, so those of one class meet in a task: their number is set by the
+    cells' digits, not by the rows. Of all classes only the totals meet, one row each.
     """
     counts = keyed.groupBy(_CLASS, CELL, _SUB).agg(F.count(F.lit(1)).alias("rows"))
-    everywhere = Window.orderBy(_CLASS, CELL, _SUB)
     own_class = Window.partitionBy(_CLASS)
-    overall = counts.withColumn("first", F.sum("rows").over(everywhere) - F.col("rows"))
-    return overall.withColumns(
+    placed = counts.withColumns(
         {
-            "class_first": F.min("first").over(own_class),
+            "start": F.sum("rows").over(own_class.orderBy(CELL, _SUB)) - F.col("rows"),
             "class_rows": F.sum("rows").over(own_class),
         }
     )
+    if not classes:
+        starts = placed.withColumn("class_first", F.lit(0).cast("bigint"))
+    else:
+        totals = counts.groupBy(_CLASS).agg(F.sum("rows").alias("all"))
+        earlier = F.sum("all").over(Window.orderBy(_CLASS)) - F.col("all")
+        starts = _matched(placed, totals.select(_CLASS, earlier.alias("class_first")), [_CLASS])
+    return starts.withColumn("first", F.col("class_first") + F.col("start"))
 
 
 def _matched(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -93,7 +101,7 @@ def global_rank(
     key as the window, so Spark shuffles the rows once for both.
     """
     keyed = _with_keys(df, id_col, seed, class_col, order_col)
-    starts = _cell_starts(keyed).select(_CLASS, CELL, _SUB, "first")
+    starts = _cell_starts(keyed, class_col is not None).select(_CLASS, CELL, _SUB, "first")
     inside = Window.partitionBy(_CLASS, CELL, _SUB).orderBy(_KEY)
     return (
         _matched(keyed, starts, [_CLASS, CELL, _SUB])
@@ -150,11 +158,13 @@ def cut_blocks(
     class_col: str | None = None,
     order_col: str | None = None,
     name: str = "block",
+    n_classes: int = 1,
 ) -> DataFrame:
     """Add the number of the consecutive block each row falls in, 0 to ``n_cuts``.
 
     ``position(i, rows, first)`` gives the place, within a class of ``rows`` rows whose first row
-    is the ``first``-th overall, at which block ``i`` (1 to ``n_cuts``) starts.
+    is the ``first``-th overall, at which block ``i`` (1 to ``n_cuts``) starts. ``n_classes`` is their counted
+    number: the cuts of a few are broadcast, those of more are joined.
 
     Only the rows in the few cells that hold a cut are sorted; they yield the exact key at each
     cut. Every row then compares its own key with those, so the wide table is never shuffled.
@@ -164,10 +174,9 @@ def cut_blocks(
     places = F.transform(
         numbers, lambda i: position(i, F.col("class_rows"), F.col("class_first")).cast("bigint")
     )
-    start = F.col("first") - F.col("class_first")
+    small = F.broadcast if n_classes * n_cuts <= _FEW_CUTS else (lambda table: table)
     holding = (
-        _cell_starts(keyed)
-        .withColumn("start", start)
+        _cell_starts(keyed, class_col is not None)
         .withColumn(
             "places",
             F.filter(
@@ -179,9 +188,9 @@ def cut_blocks(
         .select(_CLASS, CELL, _SUB, "start", "places")
     )
     inside = Window.partitionBy(_CLASS, CELL, _SUB).orderBy(_KEY)
-    # At most n_cuts cells per class are broadcast, whatever the number of rows.
+    # At most n_cuts cells per class, whatever the number of rows.
     at_cuts = (
-        _matched(keyed.select(_CLASS, CELL, _SUB, _KEY), F.broadcast(holding), [_CLASS, CELL, _SUB])
+        _matched(keyed.select(_CLASS, CELL, _SUB, _KEY), small(holding), [_CLASS, CELL, _SUB])
         .withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
         .filter(F.array_contains("places", F.col("place")))
         # Empty blocks share one place: keep each copy, so later blocks keep their number.
@@ -191,7 +200,7 @@ def cut_blocks(
     own = F.col(_KEY)
     passed = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda cut: cut <= own))
     return (
-        _matched(keyed, F.broadcast(per_class), [_CLASS], "left")
+        _matched(keyed, small(per_class), [_CLASS], "left")
         .withColumn(name, passed)
         .drop(_CLASS, CELL, _SUB, _KEY, "_cuts")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldsafe.config import CVConfig
+from foldsafe.config import MOST_CLASSES, CVConfig
 from foldsafe.errors import SchemaError
 from foldsafe.functions.numeric import hash_key
 from foldsafe.functions.text import null_as_text
@@ -22,8 +22,6 @@ from foldsafe.sources.scratch import written
 FOLD = "fold"
 # Groups with at least 1/(this x folds) of all rows are placed one by one, the rest by volume.
 _PLACED_PER_FOLD = 1000
-# More distinct labels than this are taken for a measured value, not for classes.
-_MOST_CLASSES = 1000
 
 
 def kfold(
@@ -45,7 +43,7 @@ def stratified(
     target: str,
     n_splits: int = 5,
     seed: int = 42,
-    most_classes: int = _MOST_CLASSES,
+    most_classes: int = MOST_CLASSES,
 ) -> DataFrame:
     """Folds of equal size in which each class has an equal share, both to within one row.
 
@@ -69,7 +67,7 @@ def stratified(
         each = F.transform(earlier, lambda f: up_to(first + rows, f) - up_to(first, f))
         return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
-    return ranks.cut_blocks(df, id_col, n_splits - 1, dealt, seed, target, None, FOLD)
+    return ranks.cut_blocks(df, id_col, n_splits - 1, dealt, seed, target, None, FOLD, classes)
 
 
 def timeseries(df: DataFrame, id_col: str, time_col: str, n_splits: int = 5, seed: int = 42) -> DataFrame:
@@ -182,7 +180,7 @@ def assign(df: DataFrame, cfg: CVConfig, id_col: str, target: str | None = None)
     if cfg.scheme == "kfold":
         return kfold(df, id_col, cfg.n_splits, cfg.random_state, cfg.shuffle)
     if cfg.scheme == "stratified":
-        return stratified(df, id_col, target, cfg.n_splits, cfg.random_state)
+        return stratified(df, id_col, target, cfg.n_splits, cfg.random_state, cfg.most_classes)
     if cfg.scheme == "group":
         return group(df, cfg.group_column, cfg.n_splits, cfg.random_state)
     return timeseries(df, id_col, cfg.time_column, cfg.n_splits, cfg.random_state)

@@ -178,3 +178,37 @@ def test_no_one_task_window_over_rows(rows):
     for line in plan.splitlines():
         if "Window" in line and "row_number" in line:
             assert "_sub#" in line.split("windowspecdefinition(")[1].split("ASC")[0]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_many_classes_when_the_limit_is_raised(spark, monkeypatch, broadcast):
+    """1201 classes, one with a third of the rows and one of nulls: rows dealt in turn in class order."""
+    if not broadcast:
+        monkeypatch.setattr(ranks, "_FEW_CUTS", 10)
+    label = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") < 9, None).otherwise(F.col("id") % 1201)
+    many = spark.range(3603).select(F.col("id").alias("row_id"), label.cast("int").alias("target")).persist()
+    with pytest.raises(SchemaError):
+        splits.assign(many, CVConfig(scheme="stratified"), "row_id", "target")
+    cfg = CVConfig(scheme="stratified", n_splits=3, most_classes=2000)
+    got = _folds(splits.assign(many, cfg, "row_id", "target"))
+    members = defaultdict(list)
+    for r in many.collect():
+        members[r["target"]].append(r["row_id"])
+    want, first = {}, 0
+    for key in sorted(members, key=lambda c: -1 if c is None else c):
+        shares = Counter((first + i) % 3 for i in range(len(members[key])))
+        first += len(members[key])
+        dealt = [fold for fold in range(3) for _ in range(shares[fold])]
+        want.update(zip(sorted(members[key], key=_md5), dealt))
+    assert got == want
+    assert cfg.flags()["most_classes"] == 2000 and "most_classes" not in CVConfig().flags()
+
+
+def test_cells_of_several_classes_do_not_meet_in_one_task(rows):
+    """The only window without a partition runs over the classes' totals."""
+    plan = ranks.global_rank(rows, "row_id", 42, "target")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    # The classes are an order in that one only; the others are cut by them.
+    bare = [line for line in windows if "[_class" in line[line.rindex("["):] and " ASC " in line[line.rindex("["):]]
+    assert len(windows) > 1 and all(", [_class" in line for line in windows)
+    assert len(bare) == 1 and "sum(all" in bare[0]
